@@ -66,7 +66,7 @@ BASES = st.builds(
     st.sampled_from(["https://a.com", "http://a.com/", "https://a.com/d/", "", "rel/", "ftp://f", "https:"]), PATHS, TAIL)
 
 
-@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=2, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(BASES, TARGETS), min_size=300, max_size=400))
 def test_matches_standard_join(spark, pairs):
     got = both(spark, pairs)
@@ -74,7 +74,7 @@ def test_matches_standard_join(spark, pairs):
     assert not wrong, wrong[:5]
 
 
-@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=1, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.text(), st.text()), min_size=100, max_size=200))
 def test_any_text_gives_a_string_and_a_rank(spark, pairs):
     got = both(spark, pairs)
