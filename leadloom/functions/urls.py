@@ -1,10 +1,7 @@
 """URL rules: resolve and normalise, rank, filter, hash, label.
 
-Resolution follows RFC 3986 the way common URL-join functions do it. It is
-written once as a list of steps. ``with_normalized_url`` binds every step as a
-set of columns, so each regular expression runs once per row inside generated
-code. ``resolve_url`` binds the same steps inside one expression, for use in
-array lambdas.
+Resolution follows RFC 3986 the way common URL-join functions do it, written
+as a list of steps over named parts.
 """
 
 from __future__ import annotations
@@ -22,6 +19,10 @@ from leadloom.functions.patterns import any_of
 _PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 _DOT_SEGMENT = r"(?:^|/)\.\.?(?:/|\z)"
 _IP_LITERAL = r"^(?:v[0-9A-Fa-f]+\..+|[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(?:%.+)?)\z"
+# Links that resolve by copying: no spaces, query, parameters, dots or brackets.
+_PLAIN_URL = r"^https?://[^/?#;\[\]\x00-\x20]+(?:/[^?#;\[\]\x00-\x20]*)?\z"
+_PLAIN_PATH = r"^/(?!/)[^?#;\[\]\x00-\x20]*\z"
+_PLAIN_ORIGIN = r"^(https?://[^/?#\[\]\x00-\x20]+)(?:[/?#]|\z)"
 _NO_STRINGS = "array<string>"
 
 Scope = dict[str, Column]
@@ -67,7 +68,8 @@ def _remove_dot_segments(path: Column) -> Column:
 
 
 def _clean(s: Scope) -> Scope:
-    return {"b": _strip_controls(F.coalesce(s["base"], F.lit(""))),
+    base = F.coalesce(s["base"], F.lit(""))
+    return {"no_base": base == "", "b": _strip_controls(base),
             "t": _strip_controls(F.coalesce(s["target"], F.lit("")))}
 
 
@@ -98,69 +100,58 @@ def _params(s: Scope) -> Scope:
 def _merge(s: Scope) -> Scope:
     """Path of the result before dot segments are removed."""
     base_dir = F.regexp_extract(s["b_path"], r"(?s)^(.*/)", 1)
-    base_dir = F.when((base_dir == "") & (s["b_path"] == "") & (s["b_netloc"] != ""), "/").otherwise(base_dir)
+    base_dir = F.when(s["b_path"] == "", "/").otherwise(base_dir)
     relative = F.regexp_replace(F.concat(base_dir, s["t_path"]), "/+", "/")
     return {
         "merged": F.when(s["t_netloc"] != "", s["t_path"])
         .when(s["t_path"].startswith("/"), s["t_path"])
         .otherwise(relative),
-        "bad": F.coalesce(_bad_netloc(s["t_netloc"]) | ((s["b"] != "") & _bad_netloc(s["b_netloc"])),
-                          F.lit(False)),
+        # Without a base a link is only taken apart to drop its fragment.
+        "bad": F.when(s["no_base"], s["target"].contains("#") & _bad_netloc(s["t_netloc"]))
+        .otherwise(_bad_netloc(s["t_netloc"]) | _bad_netloc(s["b_netloc"])),
     }
 
 
-def _join(s: Scope) -> Scope:
-    keeps_raw = (s["b"] == "") | (s["b_scheme"] != s["t_scheme"]) | ~s["t_scheme"].isin(*uses_relative)
+def _choose(s: Scope) -> Scope:
+    """Parts of the result; ``verbatim`` links of another scheme stay as written."""
+    foreign = s["no_base"] | (s["b_scheme"] != s["t_scheme"]) | ~s["t_scheme"].isin(*uses_relative)
+    own = foreign | (s["t_netloc"] != "")
+    same_page = ~own & (s["t_path"] == "") & (s["t_params"] == "")
     dotted = F.when(s["merged"].rlike(_DOT_SEGMENT), _remove_dot_segments(s["merged"])).otherwise(s["merged"])
-    resolved = F.when(dotted == "", "/").otherwise(dotted)
-    query = F.when(s["t_query"] == "", s["b_query"]).otherwise(s["t_query"])
     return {
-        "joined": F.when(
-            keeps_raw,
-            F.when(s["target"].contains("#"),
-                   _unsplit(s["t_own_scheme"], s["t_netloc"], F.concat(s["t_path"], s["t_params"]), s["t_query"]))
-            .otherwise(s["target"]),
-        )
-        .when(s["t_netloc"] != "",
-              _unsplit(s["t_scheme"], s["t_netloc"], F.concat(s["t_path"], s["t_params"]), s["t_query"]))
-        .when((s["t_path"] == "") & (s["t_params"] == ""),
-              _unsplit(s["t_scheme"], s["b_netloc"], F.concat(s["b_path"], s["b_params"]), query))
-        .otherwise(_unsplit(s["t_scheme"], s["b_netloc"], F.concat(resolved, s["t_params"]), s["t_query"])),
+        "verbatim": foreign & ~s["target"].contains("#"),
+        "scheme": F.when(foreign, s["t_own_scheme"]).otherwise(s["t_scheme"]),
+        "netloc": F.when(own, s["t_netloc"]).otherwise(s["b_netloc"]),
+        "path": F.when(own, F.concat(s["t_path"], s["t_params"]))
+        .when(same_page, F.concat(s["b_path"], s["b_params"]))
+        .otherwise(F.concat(F.when(dotted == "", "/").otherwise(dotted), s["t_params"])),
+        "query": F.when(same_page & (s["t_query"] == ""), s["b_query"]).otherwise(s["t_query"]),
     }
 
 
-_STEPS: tuple[Callable[[Scope], Scope], ...] = (_clean, _parts, _params, _merge, _join)
+def _join(s: Scope) -> Scope:
+    return {"joined": F.when(s["verbatim"], s["target"]).otherwise(
+        _unsplit(s["scheme"], s["netloc"], s["path"], s["query"]))}
+
+
+_STEPS: tuple[Callable[[Scope], Scope], ...] = (_clean, _parts, _params, _merge, _choose, _join)
 
 
 def _normalized(s: Scope) -> Column:
     """No fragment and no trailing slashes; unusable input becomes ''."""
-    usable = F.coalesce(s["target"] != "", F.lit(False)) & ~s["bad"]
+    usable = F.coalesce((s["target"] != "") & ~s["bad"], F.lit(False))
     return F.when(usable, F.rtrim(s["joined"], F.lit("/"))).otherwise("")
 
 
 def _absolute(s: Scope) -> Column:
     """The resolved URL as a browser shows it: fragment and slashes are kept."""
-    usable = F.coalesce(s["target"] != "", F.lit(False)) & ~s["bad"]
+    usable = F.coalesce((s["target"] != "") & ~s["bad"], F.lit(False))
     fragment = F.when(s["fragment"] != "", F.concat(F.lit("#"), s["fragment"])).otherwise("")
     return F.when(usable, F.concat(s["joined"], fragment)).otherwise("")
 
 
-def with_normalized_url(df: DataFrame, base: str | Column, target: str | Column, out: str) -> DataFrame:
-    """Add column ``out``: ``target`` resolved against ``base`` and normalised."""
-    as_column = lambda c: F.col(c) if isinstance(c, str) else c
-    names = {"base": f"__{out}_base", "target": f"__{out}_target"}
-    df = df.withColumns({names["base"]: as_column(base), names["target"]: as_column(target)})
-    scope: Scope = {k: F.col(v) for k, v in names.items()}
-    for i, step in enumerate(_STEPS):
-        new = step(scope)
-        columns = {f"__{out}_{i}_{k}": v for k, v in new.items()}
-        df = df.withColumns(columns)
-        scope.update({k: F.col(f"__{out}_{i}_{k}") for k in new})
-        names.update({f"{i}_{k}": f"__{out}_{i}_{k}" for k in new})
-    return df.withColumn(out, _normalized(scope)).drop(*names.values())
-
-
 def _let(scope: Scope, steps: Sequence[Callable[[Scope], Scope]], final: Callable[[Scope], Column]) -> Column:
+    """Name the results of each step, so that no expression is written out twice."""
     if not steps:
         return final(scope)
     new = steps[0](scope)
@@ -171,11 +162,32 @@ def _let(scope: Scope, steps: Sequence[Callable[[Scope], Scope]], final: Callabl
 
 
 def normalize_url(base: Column, target: Column) -> Column:
-    return _let({"base": base, "target": target}, _STEPS, _normalized)
+    """``target`` resolved against ``base``, without fragment and trailing slashes.
+
+    Empty or unusable input gives ''. Plain absolute and root-relative links
+    need no parsing and take a short way through generated code.
+    """
+    origin = F.regexp_extract(base, _PLAIN_ORIGIN, 1)
+    plain_path = target.rlike(_PLAIN_PATH) & ~target.contains("/.") & (origin != "")
+    return (
+        F.when(target.rlike(_PLAIN_URL), F.rtrim(target, F.lit("/")))
+        .when(plain_path, F.rtrim(F.concat(origin, target), F.lit("/")))
+        .otherwise(_let({"base": base, "target": target}, _STEPS, _normalized))
+    )
 
 
 def resolve_url(base: Column, target: Column) -> Column:
-    return _let({"base": base, "target": target}, _STEPS, _absolute)
+    """Like ``normalize_url``, but fragment and trailing slashes stay."""
+    origin = F.regexp_extract(base, _PLAIN_ORIGIN, 1)
+    plain_path = target.rlike(_PLAIN_PATH) & ~target.contains("/.") & (origin != "")
+    return (
+        F.when(target.rlike(_PLAIN_URL), target).when(plain_path, F.concat(origin, target))
+        .otherwise(_let({"base": base, "target": target}, _STEPS, _absolute))
+    )
+
+
+def with_normalized_url(df: DataFrame, base: str, target: str, out: str) -> DataFrame:
+    return df.withColumn(out, normalize_url(F.col(base), F.col(target)))
 
 
 def rank_url(url: Column, high: Sequence[str] = HIGH_VALUE_WORDS, low: Sequence[str] = LOW_VALUE_WORDS) -> Column:
