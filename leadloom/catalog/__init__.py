@@ -6,7 +6,7 @@ import importlib
 
 from leadloom.catalog.registry import ENTRIES, Entry
 
-_MODULES = ("web",)
+_MODULES = ("web", "leads")
 
 
 def load() -> dict[str, Entry]:

@@ -10,7 +10,7 @@ from leadloom.config import EMAIL_IGNORED_SUFFIXES, HIGH_VALUE_WORDS, HuntConfig
 from leadloom.functions import html as H
 from leadloom.functions.context import cut_observation
 from leadloom.functions.language import detect_language, passes_language_guard
-from leadloom.functions.urls import rank_url, with_normalized_url
+from leadloom.functions.urls import normalize_url, rank_url, with_normalized_url
 
 
 def page_links(pages: DataFrame, keys: Sequence[str] = ("page_id",), page_url: str = "url") -> DataFrame:
@@ -65,3 +65,11 @@ def observations(pages: DataFrame, config: HuntConfig = HuntConfig(),
     return raw.withColumn("status", status).select(
         *kept, "emails", "language", "status",
         F.when(F.col("status") == "ok", text).otherwise("").alias("text"))
+
+
+def with_page_links(pages: DataFrame, observe: Callable[..., DataFrame] = observations, **options) -> DataFrame:
+    """Observations plus ``links``: the normalised URLs of all links on the page, in page order."""
+    body = F.col("html")
+    href = F.filter(F.transform(H.anchors(body), H.anchor_href), lambda h: h != "")
+    linked = pages.withColumn("links", F.transform(href, lambda h: normalize_url(F.col("url"), h)))
+    return observe(linked, **options)
