@@ -172,8 +172,7 @@ def evaluate_rules(spark, sf):
     from leadloom.catalog.web import HIGH, LOW
 
     pages = read_table(spark, sf, "pages")
-    decided = E.evaluate_by_rules(P.with_page_links(pages, P.observations, ignored_suffixes=SUFFIXES),
-                                  topic_words=TOPIC, off_topic_words=OFF_TOPIC, high=HIGH, low=LOW)
+    decided = E.evaluate_by_rules(P.observations(pages, ignored_suffixes=SUFFIXES), topic_words=TOPIC, off_topic_words=OFF_TOPIC, high=HIGH, low=LOW)
     return decided.select("page_id", "decision.decision", F.col("decision.discovery_summary").alias("summary"),
                           F.size("decision.next_target_urls").cast("bigint").alias("n_targets"), "decision.email")
 

@@ -35,10 +35,8 @@ def remove_noise(expr: str) -> str:
 
 
 def strip_tags(expr: str) -> str:
-    expr = rep(rep(expr, r"[ \t\r\n\f]+", " "), H.BLOCK_TAG, "\n")
-    expr = decode(rep(expr, H.ANY_TAG, ""))
-    expr = rep(expr, r"[ \t ]+", " ")
-    return rep(rep(expr, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+\z", "")
+    expr = decode(rep(rep(rep(expr, H.SOURCE_SPACE, " "), H.BLOCK_TAG, "\n"), H.ANY_TAG, ""))
+    return f"trim({rep(rep(expr, H.TEXT_SPACE, ' '), H.LINE_SPACE, chr(10))}, {lit(' ' + chr(10))})"
 
 
 def anchor_text(expr: str) -> str:

@@ -139,12 +139,13 @@ def node_label(spark, sf):
 
 @query("html_text", f"SELECT page_id, {S.strip_tags(S.remove_noise('html'))} AS text FROM pages")
 def html_text(spark, sf):
-    return read_table(spark, sf, "pages", ["page_id", "html"]).select("page_id", H.html_text(F.col("html")).alias("text"))
+    pages = P.spread(read_table(spark, sf, "pages", ["page_id", "html"]))
+    return pages.select("page_id", H.html_text(F.col("html")).alias("text"))
 
 
 @query("link_markdown", f"WITH {S.markdown_ctes('pages')} SELECT page_id, body AS text FROM md")
 def link_markdown(spark, sf):
-    return read_table(spark, sf, "pages").select("page_id", H.page_text(F.col("html"), F.col("url")).alias("text"))
+    return P.page_text(read_table(spark, sf, "pages")).select("page_id", F.col("body").alias("text"))
 
 
 LINKS_SQL = f"""
@@ -201,7 +202,7 @@ WITH l AS ({S.language_cte('documents', 'doc_id, lang', 'text')})
 SELECT doc_id, coalesce(language, 'unknown') AS language, coalesce(language = 'en', true) AS kept,
        coalesce(language = lang, false) AS agrees FROM l""")
 def language_guard(spark, sf):
-    docs = read_table(spark, sf, "documents", ["doc_id", "text", "lang"]).select(
+    docs = P.spread(read_table(spark, sf, "documents", ["doc_id", "text", "lang"])).select(
         "doc_id", "lang", language.detect_language(F.col("text")).alias("language"))
     return docs.select("doc_id", F.coalesce("language", F.lit("unknown")).alias("language"),
                        language.passes_language_guard(F.col("language")).alias("kept"),

@@ -19,14 +19,18 @@ from leadloom.functions.urls import resolve_url
 
 # Comments, noise subtrees and the document title, in one left-to-right pass, so
 # that a "<script>" inside a comment (or the reverse) cannot mislead the scan.
-REMOVED = "(?is)<!--.*?(?:-->|\\z)|" + "|".join(
-    rf"<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)" for tag in (*NOISE_TAGS, "title"))
+REMOVED = r"(?is)<(?:!--.*?(?:-->|\z)|" + "|".join(
+    rf"{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)" for tag in (*NOISE_TAGS, "title")) + ")"
 ANCHOR = r"(?is)<a\s[^>]*>.*?</a\s*>"
 ANCHOR_OPEN = r"(?is)^<a\s[^>]*>"
 ANCHOR_HREF = r"""(?is)^<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
-BLOCK_TAG = (r"(?i)<br\s*/?>|</?(?:address|article|aside|blockquote|body|dd|div|dl|dt|fieldset|figcaption|figure|"
+BLOCK_TAG = (r"(?i)<(?:br\s*/?|/?(?:address|article|aside|blockquote|body|dd|div|dl|dt|fieldset|figcaption|figure|"
              r"footer|form|h1|h2|h3|h4|h5|h6|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|"
-             r"tfoot|th|thead|tr|ul)(?:\s[^>]*)?/?>")
+             r"tfoot|th|thead|tr|ul)(?:\s[^>]*)?/?)>")
+# Single spaces are left alone; a match per word would cost more than the rest.
+SOURCE_SPACE = r"[ \t\r\n\f]{2,}|[\t\r\n\f]"
+TEXT_SPACE = "[ \t\u00a0]{2,}|[\t\u00a0]"
+LINE_SPACE = r" \n[ \n]*|\n[ \n]+"
 ANY_TAG = r"</?[A-Za-z!?][^>]*>"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
             ("&apos;", "'"), ("&amp;", "&"))
@@ -45,11 +49,10 @@ def decode_entities(text: Column) -> Column:
 
 def strip_tags(fragment: Column) -> Column:
     """Visible text of an HTML fragment; block tags break lines."""
-    text = F.regexp_replace(fragment, r"[ \t\r\n\f]+", " ")
-    text = F.regexp_replace(text, BLOCK_TAG, "\n")
+    text = F.regexp_replace(F.regexp_replace(fragment, SOURCE_SPACE, " "), BLOCK_TAG, "\n")
     text = decode_entities(F.regexp_replace(text, ANY_TAG, ""))
-    text = F.regexp_replace(text, r"[ \t ]+", " ")
-    return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+\z", "")
+    text = F.regexp_replace(F.regexp_replace(text, TEXT_SPACE, " "), LINE_SPACE, "\n")
+    return F.btrim(text, F.lit(" \n"))
 
 
 def remove_noise(html: Column) -> Column:
@@ -69,36 +72,37 @@ def anchor_href(anchor: Column) -> Column:
     return decode_entities(F.regexp_replace(quoted, r"""^["']|["']\z""", ""))
 
 
-def anchors(html: Column) -> Column:
-    """All ``<a>`` elements outside removed subtrees, in page order."""
-    return F.regexp_extract_all(remove_noise(html), F.lit(ANCHOR), F.lit(0))
+def find_anchors(clean: Column) -> Column:
+    """All ``<a>`` elements of a page without noise, in page order."""
+    return F.regexp_extract_all(clean, F.lit(ANCHOR), F.lit(0))
 
 
-def link_markdown(html: Column, page_url: Column) -> Column:
+def parse_anchors(anchors: Column, page_url: Column) -> Column:
+    """Array of ``struct(element, href, link_text, absolute)``, one per ``<a>``."""
+    return F.transform(
+        F.transform(anchors, lambda a: F.struct(
+            a.alias("element"), anchor_href(a).alias("href"), anchor_text(a).alias("link_text"))),
+        lambda a: F.struct(a["element"].alias("element"), a["href"].alias("href"), a["link_text"].alias("link_text"),
+                           resolve_url(page_url, a["href"]).alias("absolute")))
+
+
+def link_markdown(clean: Column, parsed: Column) -> Column:
     """Rewrite ``<a>`` elements with href and visible text to ``[text](absolute-href)``.
 
-    Text between anchors is left as HTML for ``strip_tags``. ``<`` of a link is
-    kept out of tag removal by entity-encoding text and target.
+    ``clean`` is the page without noise, ``parsed`` its anchors. The result is
+    still HTML between the links, so link text and target are entity-encoded
+    and ``strip_tags`` gives them back as they were.
     """
-    body = remove_noise(html)
-    found = F.regexp_extract_all(body, F.lit(ANCHOR), F.lit(0))
-    between = F.split(body, ANCHOR, -1)
-
     def encode(c: Column) -> Column:
         return F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
-    def rewrite(anchor: Column) -> Column:
-        text, href = anchor_text(anchor), anchor_href(anchor)
-        link = F.concat(F.lit("["), encode(text), F.lit("]("), encode(resolve_url(page_url, href)), F.lit(")"))
-        return F.when((text != "") & (href != ""), link).otherwise(anchor)
+    def rewrite(a: Column) -> Column:
+        link = F.concat(F.lit("["), encode(a["link_text"]), F.lit("]("), encode(a["absolute"]), F.lit(")"))
+        return F.when((a["link_text"] != "") & (a["href"] != ""), link).otherwise(a["element"])
 
-    pieces = F.zip_with(between, F.transform(found, rewrite),
+    pieces = F.zip_with(F.split(clean, ANCHOR, -1), F.transform(parsed, rewrite),
                         lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.when(F.size(found) > 0, F.array_join(pieces, "")).otherwise(body)
-
-
-def page_text(html: Column, page_url: Column) -> Column:
-    return strip_tags(link_markdown(html, page_url))
+    return F.array_join(pieces, "")
 
 
 def all_emails(html: Column) -> Column:

@@ -13,41 +13,39 @@ from leadloom.functions.patterns import any_of
 from leadloom.functions.urls import rank_url
 
 
-def rule_decision(text: Column, emails: Column, links: Column, topic_words: Sequence[str] = TOPIC_WORDS,
-                  off_topic_words: Sequence[str] = OFF_TOPIC_WORDS, high: Sequence[str] = HIGH_VALUE_WORDS,
-                  low: Sequence[str] = LOW_VALUE_WORDS) -> Column:
-    """Decision struct from written rules.
+def evaluate_by_rules(pages: DataFrame, topic_words: Sequence[str] = TOPIC_WORDS,
+                      off_topic_words: Sequence[str] = OFF_TOPIC_WORDS, high: Sequence[str] = HIGH_VALUE_WORDS,
+                      low: Sequence[str] = LOW_VALUE_WORDS) -> DataFrame:
+    """Add ``decision`` to pages with text, emails and links (array of normalised URLs).
 
     CONVERT needs a topic word and a clean e-mail; FOLLOW needs a topic word
     and a visible contact-like link; off-topic pages are always pruned.
-    ``links`` is an array of normalised URLs visible on the page.
     """
-    lowered = F.lower(text)
-    on_topic = lowered.rlike(any_of(topic_words))
-    off_topic = lowered.rlike(any_of(off_topic_words)) if off_topic_words else F.lit(False)
-    targets = F.array_sort(F.array_distinct(F.filter(links, lambda u: rank_url(u, high, low) == 0)))
-    has_email, has_target = F.size(emails) > 0, F.size(targets) > 0
-    decision = (
+    lowered, targets = F.lower("text"), F.filter("links", lambda u: rank_url(u, high, low) == 0)
+    # Facts first, as columns: each is computed once and then used several times.
+    facts = pages.withColumns({
+        "__on": F.coalesce(lowered.rlike(any_of(topic_words)), F.lit(False)),
+        "__off": F.coalesce(lowered.rlike(any_of(off_topic_words)), F.lit(False)) if off_topic_words else F.lit(False),
+        "__targets": F.coalesce(F.array_sort(F.array_distinct(targets)), F.array().cast("array<string>")),
+    })
+    on_topic, off_topic = F.col("__on"), F.col("__off")
+    has_email, has_target = F.size("emails") > 0, F.size("__targets") > 0
+    facts = facts.withColumn("__decision", (
         F.when(off_topic | ~on_topic, "PRUNE").when(has_email, "CONVERT")
-        .when(has_target, "FOLLOW").otherwise("PRUNE")
-    )
+        .when(has_target, "FOLLOW").otherwise("PRUNE")))
     summary = (
         F.when(off_topic, "off-topic page").when(~on_topic, "no topic match")
         .when(has_email, "topic match with e-mail").when(has_target, "topic match, contact link visible")
         .otherwise("topic match without contact")
     )
-    follows = decision == "FOLLOW"
-    return F.struct(
-        decision.alias("decision"), summary.alias("discovery_summary"),
-        F.when(follows, targets).otherwise(F.array().cast("array<string>")).alias("next_target_urls"),
+    decision = F.struct(
+        F.col("__decision").alias("decision"), summary.alias("discovery_summary"),
+        F.when(F.col("__decision") == "FOLLOW", F.col("__targets")).otherwise(F.array().cast("array<string>"))
+        .alias("next_target_urls"),
         F.lit("Unknown").alias("company"), F.lit("Unknown").alias("person"),
-        F.when(decision == "CONVERT", F.element_at(emails, 1)).alias("email"), F.lit("").alias("reason"),
+        F.when(F.col("__decision") == "CONVERT", F.element_at("emails", 1)).alias("email"), F.lit("").alias("reason"),
     )
-
-
-def evaluate_by_rules(pages: DataFrame, **rules) -> DataFrame:
-    """Add ``decision`` to pages with text, emails and links (array of URLs)."""
-    return pages.withColumn("decision", rule_decision(F.col("text"), F.col("emails"), F.col("links"), **rules))
+    return facts.withColumn("decision", decision).drop("__on", "__off", "__targets", "__decision")
 
 
 def answer_with_model(prompts: DataFrame, make_model: Callable[[], Callable[[list[str]], list[str]]],

@@ -9,18 +9,41 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from leadloom.config import EMAIL_IGNORED_SUFFIXES, HIGH_VALUE_WORDS, HuntConfig, LOW_VALUE_WORDS
 from leadloom.functions import html as H
 from leadloom.functions.context import cut_observation
-from leadloom.functions.language import detect_language, passes_language_guard
-from leadloom.functions.urls import normalize_url, rank_url, with_normalized_url
+from leadloom.functions.language import best_language, passes_language_guard, stop_word_hits
+from leadloom.functions.urls import rank_url, with_normalized_url
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work when the input comes in fewer partitions than that.
+
+    Parsing is heavy per row. A large table already has many partitions and is
+    left alone, so nothing is shuffled there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def with_links(pages: DataFrame, url: str = "url") -> DataFrame:
+    """Replace ``html`` by ``clean`` (no noise) and ``anchors`` (parsed, absolute)."""
+    others = [c for c in pages.columns if c != "html"]
+    clean = pages.select(*others, H.remove_noise(F.col("html")).alias("clean"))
+    return clean.withColumn("anchors", H.parse_anchors(H.find_anchors(F.col("clean")), F.col(url)))
 
 
 def page_links(pages: DataFrame, keys: Sequence[str] = ("page_id",), page_url: str = "url") -> DataFrame:
     """One row per ``<a href>``: keys, page_url, pos, href, link_text, url (normalised)."""
-    found = pages.select(*keys, F.col(page_url).alias("page_url"),
-                         F.posexplode(H.anchors(F.col("html"))).alias("pos", "anchor"))
+    found = spread(pages.select(*keys, F.col(page_url).alias("page_url"), "html"))
+    found = found.select(*keys, "page_url", F.posexplode(H.find_anchors(H.remove_noise(F.col("html")))).alias("pos", "a"))
     found = found.select(*keys, "page_url", F.col("pos").cast("bigint").alias("pos"),
-                         H.anchor_href(F.col("anchor")).alias("href"),
-                         H.anchor_text(F.col("anchor")).alias("link_text")).where("href != ''")
-    return with_normalized_url(found, "page_url", "href", "url")
+                         H.anchor_href(F.col("a")).alias("href"), H.anchor_text(F.col("a")).alias("link_text"))
+    return with_normalized_url(found.where("href != ''"), "page_url", "href", "url")
+
+
+def page_text(pages: DataFrame) -> DataFrame:
+    """Replace ``html`` by ``body``: visible text with links as ``[text](absolute-href)``."""
+    linked = with_links(spread(pages))
+    return linked.withColumn("body", H.strip_tags(H.link_markdown(F.col("clean"), F.col("anchors")))).drop(
+        "clean", "anchors")
 
 
 def top_links(links: DataFrame, keys: Sequence[str] = ("page_id",), max_leafs: int = 4, url: str = "url",
@@ -41,35 +64,37 @@ def top_links(links: DataFrame, keys: Sequence[str] = ("page_id",), max_leafs: i
 
 def observations(pages: DataFrame, config: HuntConfig = HuntConfig(),
                  ignored_suffixes: Sequence[str] = EMAIL_IGNORED_SUFFIXES, language: str = "en",
-                 detector: Callable[[Column], Column] = detect_language) -> DataFrame:
-    """Page text ready for evaluation: keeps every input column but ``html``.
+                 detector: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Pages ready for evaluation: every input column but ``html``, and more.
+
+    Adds ``emails`` (clean ones), ``links`` (normalised URLs in page order),
+    ``language``, ``status`` (ok, blank or other_language) and ``text``, which
+    has the e-mail header and is cut to the limit. Pages that are not ok have
+    an empty text. ``detector`` may be any text-to-language Column function, a
+    pandas UDF included.
 
-    Adds ``emails`` (clean ones), ``language``, ``text`` (with e-mail header,
-    cut to the limit) and ``status``: ok, blank or other_language. Pages that
-    are not ok have an empty text. ``detector`` may be any text-to-language
-    Column function, a pandas UDF included.
+    Values used more than once are columns of their own, so each is computed
+    once per page.
     """
-    kept = [c for c in pages.columns if c != "html"]
-    raw = pages.select(
-        *kept,
-        H.clean_emails(H.all_emails(F.col("html")), ignored_suffixes).alias("emails"),
-        H.page_text(F.col("html"), F.col("url")).alias("body"),
-    )
-    raw = raw.withColumn("language", detector(F.col("body")))
+    others = [c for c in pages.columns if c != "html"]
+    found = with_links(spread(pages).withColumn(
+        "emails", H.clean_emails(H.all_emails(F.col("html")), ignored_suffixes)))
+    usable = F.filter("anchors", lambda a: a["href"] != "")
+    seen = found.select(
+        *others, "emails",
+        F.transform(usable, lambda a: F.rtrim(F.substring_index(a["absolute"], "#", 1), F.lit("/"))).alias("links"),
+        H.strip_tags(H.link_markdown(F.col("clean"), F.col("anchors"))).alias("body"))
+    if detector is None:
+        seen = seen.withColumn("hits", stop_word_hits(F.col("body"))).withColumn(
+            "language", best_language(F.col("hits")))
+    else:
+        seen = seen.withColumn("language", detector(F.col("body")))
     status = (
         F.when(F.coalesce(F.trim("body"), F.lit("")) == "", "blank")
         .when(~passes_language_guard(F.col("language"), language), "other_language")
         .otherwise("ok")
     )
     text = cut_observation(H.with_email_header(F.col("body"), F.col("emails")), config.max_observation_chars)
-    return raw.withColumn("status", status).select(
-        *kept, "emails", "language", "status",
+    return seen.withColumn("status", status).select(
+        *others, "emails", "links", "language", "status",
         F.when(F.col("status") == "ok", text).otherwise("").alias("text"))
-
-
-def with_page_links(pages: DataFrame, observe: Callable[..., DataFrame] = observations, **options) -> DataFrame:
-    """Observations plus ``links``: the normalised URLs of all links on the page, in page order."""
-    body = F.col("html")
-    href = F.filter(F.transform(H.anchors(body), H.anchor_href), lambda h: h != "")
-    linked = pages.withColumn("links", F.transform(href, lambda h: normalize_url(F.col("url"), h)))
-    return observe(linked, **options)
