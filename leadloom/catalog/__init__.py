@@ -6,7 +6,7 @@ import importlib
 
 from leadloom.catalog.registry import ENTRIES, Entry
 
-_MODULES = ("web", "leads", "search", "outreach", "evaluation", "hunt")
+_MODULES = ("web", "leads", "search", "outreach", "evaluation", "hunt", "streams")
 
 
 def load() -> dict[str, Entry]:
