@@ -15,7 +15,7 @@ from leadloom.functions.urls import with_normalized_url
 from leadloom.operators import graph as G, leads as L, pages as P
 from leadloom.operators.evaluate import evaluate_by_rules
 from leadloom.plans import crawl as C
-from leadloom.session import scratch_path
+from leadloom.session import scratch_path, write_scratch
 from leadloom.sources.tables import export_graph, import_graph, read_table
 
 HIGH, LOW = (".net", ".org"), ("blog",)
@@ -74,7 +74,9 @@ def hunted(spark, sf):
     """Crawl and outcome, kept per session and folder: several queries read the same tables."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _DONE:
-        result = C.crawl(roots(spark, sf), site(spark, sf), observe, evaluate, config=CONFIG)
+        # Built once: a crawl reads its page table in every round.
+        pages = write_scratch(site(spark, sf), "site")
+        result = C.crawl(roots(spark, sf), pages, observe, evaluate, config=CONFIG)
         _DONE[key] = (result, C.settle(result, stored_leads(spark, sf), verdicts(spark, sf)))
     return _DONE[key]
 
@@ -276,6 +278,7 @@ def crawl_min_depth(spark, sf):
     # The best four links of a page are chosen before they are collected, so the arrays stay short.
     best = P.top_links(links, ["source"], max_leafs=4)
     pages = best.groupBy("source").agg(F.collect_list("url").alias("links")).withColumnRenamed("source", "url")
+    pages = write_scratch(pages, "site")
     start = read_table(spark, sf, "supplier").where("s_acctbal < 0").select(
         F.col("s_suppkey").alias("root_order"), F.lit("suppliers").alias("query"), name("s", "s_suppkey").alias("href"))
     follow = F.struct(F.lit("FOLLOW").alias("decision"), F.lit("linked").alias("discovery_summary"),

@@ -14,7 +14,7 @@ from leadloom.functions.patterns import any_of
 from leadloom.operators import evaluate as E, leads as L, pages as P
 from leadloom.schemas import LEAD_STORE
 from leadloom.sources.schema_sync import sync_schema
-from leadloom.sources.tables import read_table
+from leadloom.sources.tables import read_for_parsing, read_table
 
 TOPIC, OFF_TOPIC = ("thion", "oner", "eder", "shat"), ("reand", "theth")
 
@@ -171,7 +171,7 @@ SELECT page_id, decision, summary, CASE WHEN decision = 'FOLLOW' THEN n ELSE 0 E
 def evaluate_rules(spark, sf):
     from leadloom.catalog.web import HIGH, LOW
 
-    pages = read_table(spark, sf, "pages")
+    pages = read_for_parsing(spark, sf, "pages")
     decided = E.evaluate_by_rules(P.observations(pages, ignored_suffixes=SUFFIXES), topic_words=TOPIC, off_topic_words=OFF_TOPIC, high=HIGH, low=LOW)
     return decided.select("page_id", "decision.decision", F.col("decision.discovery_summary").alias("summary"),
                           F.size("decision.next_target_urls").cast("bigint").alias("n_targets"), "decision.email")

@@ -10,7 +10,7 @@ from leadloom.config import (
 )
 from leadloom.functions.urls import with_normalized_url
 from leadloom.operators import campaigns as K, search as R
-from leadloom.sources.tables import read_table
+from leadloom.sources.tables import read_for_parsing, read_table
 
 
 def campaigns(spark, sf):
@@ -126,5 +126,5 @@ SELECT query_id, doc_id, score, position FROM (SELECT *, row_number() OVER (PART
 FROM m) WHERE position <= 10""")
 def corpus_search(spark, sf):
     found = R.corpus_search(R.parse_boolean_query(phrase_queries(spark, sf)),
-                            read_table(spark, sf, "documents", ["doc_id", "text"]))
+                            read_for_parsing(spark, sf, "documents", ["doc_id", "text"]))
     return found.withColumn("position", F.col("position").cast("bigint"))

@@ -10,7 +10,7 @@ from leadloom.config import EMAIL_HEADER_PREFIX, EMAIL_HEADER_SUFFIX, HuntConfig
 from leadloom.functions import context, html as H, language, urls
 from leadloom.functions.patterns import any_of
 from leadloom.operators import leads as L, pages as P
-from leadloom.sources.tables import fetch_pages, read_table
+from leadloom.sources.tables import fetch_pages, read_for_parsing, read_table
 
 # Word lists for the stored pages, whose words are invented.
 HIGH, LOW = ("/the", "/and", "/of"), ("/in", "/nicht")
@@ -139,13 +139,13 @@ def node_label(spark, sf):
 
 @query("html_text", f"SELECT page_id, {S.strip_tags(S.remove_noise('html'))} AS text FROM pages")
 def html_text(spark, sf):
-    pages = P.spread(read_table(spark, sf, "pages", ["page_id", "html"]))
+    pages = read_for_parsing(spark, sf, "pages", ["page_id", "html"])
     return pages.select("page_id", H.html_text(F.col("html")).alias("text"))
 
 
 @query("link_markdown", f"WITH {S.markdown_ctes('pages')} SELECT page_id, body AS text FROM md")
 def link_markdown(spark, sf):
-    return P.page_text(read_table(spark, sf, "pages")).select("page_id", F.col("body").alias("text"))
+    return P.page_text(read_for_parsing(spark, sf, "pages")).select("page_id", F.col("body").alias("text"))
 
 
 LINKS_SQL = f"""
@@ -159,7 +159,7 @@ links AS (SELECT page_id, CAST(pos AS BIGINT) AS pos, href, link_text, {S.rooted
 
 @query("page_links", f"WITH {LINKS_SQL} SELECT page_id, pos, href, link_text, url FROM links")
 def page_links(spark, sf):
-    return P.page_links(read_table(spark, sf, "pages")).select("page_id", "pos", "href", "link_text", "url")
+    return P.page_links(read_for_parsing(spark, sf, "pages")).select("page_id", "pos", "href", "link_text", "url")
 
 
 @query("top_links", f"""
@@ -168,7 +168,7 @@ ranked AS (SELECT DISTINCT page_id, url, {S.rank('url', HIGH, LOW)} AS link_rank
 SELECT page_id, url, CAST(link_rank AS BIGINT) AS link_rank, leaf FROM (
   SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY link_rank, url) AS leaf FROM ranked) WHERE leaf <= 4""")
 def top_links(spark, sf):
-    best = P.top_links(P.page_links(read_table(spark, sf, "pages")), max_leafs=4, high=HIGH, low=LOW)
+    best = P.top_links(P.page_links(read_for_parsing(spark, sf, "pages")), max_leafs=4, high=HIGH, low=LOW)
     return best.select("page_id", "url", F.col("link_rank").cast("bigint").alias("link_rank"),
                        F.col("leaf").cast("bigint").alias("leaf"))
 
@@ -178,9 +178,9 @@ SELECT source, id, array_to_string(emails, ',') AS emails, CAST(len(emails) AS B
   SELECT 'page' AS source, page_id AS id, {S.emails('html')} AS emails FROM pages
   UNION ALL SELECT 'document', doc_id, {S.emails('text')} FROM documents)""")
 def page_emails(spark, sf):
-    texts = read_table(spark, sf, "pages", ["page_id", "html"]).select(
+    texts = read_for_parsing(spark, sf, "pages", ["page_id", "html"]).select(
         F.lit("page").alias("source"), F.col("page_id").alias("id"), "html").unionByName(
-        read_table(spark, sf, "documents", ["doc_id", "text"]).select(
+        read_for_parsing(spark, sf, "documents", ["doc_id", "text"]).select(
             F.lit("document").alias("source"), F.col("doc_id").alias("id"), F.col("text").alias("html")))
     found = texts.select("source", "id", H.all_emails(F.col("html")).alias("e"))
     return found.select("source", "id", F.array_join("e", ",").alias("emails"), F.size("e").cast("bigint").alias("n_emails"))
@@ -202,7 +202,7 @@ WITH l AS ({S.language_cte('documents', 'doc_id, lang', 'text')})
 SELECT doc_id, coalesce(language, 'unknown') AS language, coalesce(language = 'en', true) AS kept,
        coalesce(language = lang, false) AS agrees FROM l""")
 def language_guard(spark, sf):
-    docs = P.spread(read_table(spark, sf, "documents", ["doc_id", "text", "lang"])).select(
+    docs = read_for_parsing(spark, sf, "documents", ["doc_id", "text", "lang"]).select(
         "doc_id", "lang", language.detect_language(F.col("text")).alias("language"))
     return docs.select("doc_id", F.coalesce("language", F.lit("unknown")).alias("language"),
                        language.passes_language_guard(F.col("language")).alias("kept"),
@@ -222,7 +222,7 @@ SELECT page_id, status, coalesce(language, 'unknown') AS language, CAST(len(emai
   CASE WHEN status = 'ok' THEN left(CASE WHEN len(emails) > 0 THEN {S.lit(EMAIL_HEADER_PREFIX)} || array_to_string(emails, ', ')
        || {S.lit(EMAIL_HEADER_SUFFIX)} || body ELSE body END, 2000) ELSE '' END AS text FROM observed""")
 def page_observation(spark, sf):
-    seen = P.observations(read_table(spark, sf, "pages"), HuntConfig(max_observation_chars=2000), SUFFIXES)
+    seen = P.observations(read_for_parsing(spark, sf, "pages"), HuntConfig(max_observation_chars=2000), SUFFIXES)
     return seen.select("page_id", "status", F.coalesce("language", F.lit("unknown")).alias("language"),
                        F.size("emails").cast("bigint").alias("n_emails"), "text")
 
@@ -272,6 +272,6 @@ visited AS (SELECT DISTINCT url FROM links WHERE link_text LIKE '%the%')
 SELECT DISTINCT sha256(url) AS url_hash, url, TIMESTAMP '2026-03-15 00:00:00' AS visited_at FROM links
 WHERE url NOT IN (SELECT url FROM visited)""")
 def visited_append(spark, sf):
-    links = P.page_links(read_table(spark, sf, "pages"))
+    links = P.page_links(read_for_parsing(spark, sf, "pages"))
     visited = links.where(F.col("link_text").contains("the")).select(urls.url_hash(F.col("url")).alias("url_hash")).distinct()
     return L.new_visited_rows(links.select("url"), visited, F.expr("TIMESTAMP_NTZ '2026-03-15 00:00:00'"))

@@ -7,6 +7,7 @@ as a list of steps over named parts.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 from urllib.parse import uses_netloc, uses_params, uses_relative
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -186,8 +187,14 @@ def resolve_url(base: Column, target: Column) -> Column:
     )
 
 
+@lru_cache(maxsize=128)
+def _normalized_columns(base: str, target: str) -> Column:
+    """Built once per pair of names: the expression is long and never changes."""
+    return normalize_url(F.col(base), F.col(target))
+
+
 def with_normalized_url(df: DataFrame, base: str, target: str, out: str) -> DataFrame:
-    return df.withColumn(out, normalize_url(F.col(base), F.col(target)))
+    return df.withColumn(out, _normalized_columns(base, target))
 
 
 def rank_url(url: Column, high: Sequence[str] = HIGH_VALUE_WORDS, low: Sequence[str] = LOW_VALUE_WORDS) -> Column:

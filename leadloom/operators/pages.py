@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -13,27 +14,43 @@ from leadloom.functions.language import best_language, passes_language_guard, st
 from leadloom.functions.urls import rank_url, with_normalized_url
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when the input comes in fewer partitions than that.
+# Long expressions over fixed column names are built once and reused.
 
-    Parsing is heavy per row. A large table already has many partitions and is
-    left alone, so nothing is shuffled there.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+@lru_cache(maxsize=None)
+def _clean_column() -> Column:
+    return H.remove_noise(F.col("html"))
+
+
+@lru_cache(maxsize=None)
+def _anchors_column(url: str) -> Column:
+    return H.parse_anchors(H.find_anchors(F.col("clean")), F.col(url))
+
+
+@lru_cache(maxsize=None)
+def _body_column() -> Column:
+    return H.strip_tags(H.link_markdown(F.col("clean"), F.col("anchors")))
+
+
+@lru_cache(maxsize=None)
+def _emails_column(ignored_suffixes: tuple[str, ...]) -> Column:
+    return H.clean_emails(H.all_emails(F.col("html")), ignored_suffixes)
+
+
+@lru_cache(maxsize=None)
+def _language_columns() -> tuple[Column, Column]:
+    return stop_word_hits(F.col("body")), best_language(F.col("hits"))
 
 
 def with_links(pages: DataFrame, url: str = "url") -> DataFrame:
     """Replace ``html`` by ``clean`` (no noise) and ``anchors`` (parsed, absolute)."""
     others = [c for c in pages.columns if c != "html"]
-    clean = pages.select(*others, H.remove_noise(F.col("html")).alias("clean"))
-    return clean.withColumn("anchors", H.parse_anchors(H.find_anchors(F.col("clean")), F.col(url)))
+    clean = pages.select(*others, _clean_column().alias("clean"))
+    return clean.withColumn("anchors", _anchors_column(url))
 
 
 def page_links(pages: DataFrame, keys: Sequence[str] = ("page_id",), page_url: str = "url") -> DataFrame:
     """One row per ``<a href>``: keys, page_url, pos, href, link_text, url (normalised)."""
-    found = spread(pages.select(*keys, F.col(page_url).alias("page_url"), "html"))
-    found = found.select(*keys, "page_url", F.posexplode(H.find_anchors(H.remove_noise(F.col("html")))).alias("pos", "a"))
+    found = pages.select(*keys, F.col(page_url).alias("page_url"), F.posexplode(H.find_anchors(_clean_column())).alias("pos", "a"))
     found = found.select(*keys, "page_url", F.col("pos").cast("bigint").alias("pos"),
                          H.anchor_href(F.col("a")).alias("href"), H.anchor_text(F.col("a")).alias("link_text"))
     return with_normalized_url(found.where("href != ''"), "page_url", "href", "url")
@@ -41,8 +58,8 @@ def page_links(pages: DataFrame, keys: Sequence[str] = ("page_id",), page_url: s
 
 def page_text(pages: DataFrame) -> DataFrame:
     """Replace ``html`` by ``body``: visible text with links as ``[text](absolute-href)``."""
-    linked = with_links(spread(pages))
-    return linked.withColumn("body", H.strip_tags(H.link_markdown(F.col("clean"), F.col("anchors")))).drop(
+    linked = with_links(pages)
+    return linked.withColumn("body", _body_column()).drop(
         "clean", "anchors")
 
 
@@ -77,16 +94,16 @@ def observations(pages: DataFrame, config: HuntConfig = HuntConfig(),
     once per page.
     """
     others = [c for c in pages.columns if c != "html"]
-    found = with_links(spread(pages).withColumn(
-        "emails", H.clean_emails(H.all_emails(F.col("html")), ignored_suffixes)))
+    found = with_links(pages.withColumn(
+        "emails", _emails_column(tuple(ignored_suffixes))))
     usable = F.filter("anchors", lambda a: a["href"] != "")
     seen = found.select(
         *others, "emails",
         F.transform(usable, lambda a: F.rtrim(F.substring_index(a["absolute"], "#", 1), F.lit("/"))).alias("links"),
-        H.strip_tags(H.link_markdown(F.col("clean"), F.col("anchors"))).alias("body"))
+        _body_column().alias("body"))
     if detector is None:
-        seen = seen.withColumn("hits", stop_word_hits(F.col("body"))).withColumn(
-            "language", best_language(F.col("hits")))
+        hits, best = _language_columns()
+        seen = seen.withColumn("hits", hits).withColumn("language", best)
     else:
         seen = seen.withColumn("language", detector(F.col("body")))
     status = (

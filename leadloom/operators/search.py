@@ -68,8 +68,7 @@ def corpus_search(queries: DataFrame, documents: DataFrame, num_results: int = 1
     query_terms = queries.select(*keys, F.explode("terms").alias("term"))
     postings = documents.select(doc_id, F.explode(_tokens(F.col(text))).alias("term"))
     wanted = query_terms.select("term").distinct()
-    postings = postings.join(wanted, "term", "left_semi")
-    frequency = postings.groupBy("term").agg(F.count("*").alias("n_docs"))
+    frequency = postings.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_docs"))
     # A word without postings rules its query out, hence the inner join below.
     rarest = (
         query_terms.join(frequency, "term", "left").groupBy(*keys)
@@ -77,13 +76,12 @@ def corpus_search(queries: DataFrame, documents: DataFrame, num_results: int = 1
         .where("r.n > 0").select(*keys, F.col("r.term").alias("term"))
     )
     candidates = rarest.join(postings, "term").drop("term")
-    lowered = documents.select(F.col(doc_id), F.lower(F.col(text)).alias("__text"),
-                               _tokens(F.col(text)).alias("__words"))
-    matched = (
-        candidates.join(queries.select(*keys, "phrases", "terms"), list(keys)).join(lowered, doc_id)
-        .where(F.size(F.array_except("terms", "__words")) == 0)
-        .where(F.forall("phrases", lambda p: F.col("__text").contains(p)))
-    )
+    # Only candidates are read in full again.
+    texts = candidates.join(queries.select(*keys, "phrases", "terms"), list(keys)).join(
+        documents.select(doc_id, F.col(text).alias("__raw")), doc_id)
+    texts = texts.withColumns({"__text": F.lower("__raw"), "__words": _tokens(F.col("__raw"))}).drop("__raw")
+    matched = texts.where(F.size(F.array_except("terms", "__words")) == 0).where(
+        F.forall("phrases", lambda p: F.col("__text").contains(p)))
 
     def occurrences(phrase):
         shorter = F.length(F.replace(F.col("__text"), phrase, F.lit("")))

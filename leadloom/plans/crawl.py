@@ -64,7 +64,10 @@ def _first_visits(frontier: DataFrame, seen: list[DataFrame]) -> DataFrame:
     rest = [c for c in frontier.columns if c not in ("url_hash", *_PATH)]
     packed = frontier.groupBy("url_hash").agg(F.min(F.struct(*_PATH, *rest)).alias("r"))
     fresh = packed.select("url_hash", "r.*")
-    return reduce(lambda df, known: df.join(known.select("url_hash"), "url_hash", "left_anti"), seen, fresh)
+    if not seen:
+        return fresh
+    known = reduce(DataFrame.unionByName, [s.select("url_hash") for s in seen])
+    return fresh.join(known, "url_hash", "left_anti")
 
 
 def _children(visits: DataFrame, config: HuntConfig) -> DataFrame:

@@ -15,6 +15,19 @@ def read_table(spark: SparkSession, folder: str, name: str, columns: Sequence[st
     return df.select(*columns) if columns else df
 
 
+def read_for_parsing(spark: SparkSession, folder: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """A stored table whose rows are costly to process.
+
+    If it has fewer pieces than there are cores (one small file, one row
+    group), the rows are spread over all cores. A large table has many pieces
+    and is read as it is, without a shuffle. The count is known from the scan
+    alone; nothing runs for it.
+    """
+    df = read_table(spark, folder, name, columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fetch_pages(requests: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
     """Stored HTML of the requested URLs (exact match)."""
     return pages.join(requests.select(url).distinct(), url, "left_semi")
