@@ -102,7 +102,7 @@ def crawl(hits: DataFrame, pages: DataFrame, observe: Step, evaluate: Step, visi
     frontier = root_frontier(hits)
     for depth in range(config.max_depth + 2):
         frontier = write_scratch(frontier.withColumn("url_hash", url_hash(F.col("url"))), "frontier")
-        if frontier.isEmpty():
+        if depth > 0 and frontier.isEmpty():
             break
         if depth > config.max_depth:
             frontiers.append(frontier.withColumn("fresh", F.lit(False)))
