@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from leadloom.catalog import sql as S
+from leadloom.catalog import search, sql as S
 from leadloom.catalog.leads import TOPIC
 from leadloom.catalog.registry import query
 from leadloom.catalog.web import JUNK
@@ -14,7 +16,9 @@ from leadloom.functions.patterns import any_of
 from leadloom.functions.urls import with_normalized_url
 from leadloom.operators import graph as G, leads as L, pages as P
 from leadloom.operators.evaluate import evaluate_by_rules
+from leadloom.catalog.search import HITS_SQL
 from leadloom.plans import crawl as C
+from leadloom.plans.hunt import run_cycle
 from leadloom.session import scratch_path, write_scratch
 from leadloom.sources.tables import export_graph, import_graph, read_table
 
@@ -114,11 +118,9 @@ verdict AS (SELECT url, CASE WHEN NOT usable THEN 'blank' WHEN NOT topic THEN 'P
 """
 
 
-def _rounds_sql(depth_limit: int, leafs: int) -> str:
-    parts = [f"""f0 AS (SELECT page_id AS root_order, 'lang ' || regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)/', 1) AS query,
-        CAST([] AS INTEGER[]) AS order_path, 0 AS depth, {_NORM.format('url')} AS url, 'QUERY: lang ' ||
-        regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)/', 1) AS parent_id, CAST([] AS VARCHAR[]) AS ledger, CAST([] AS VARCHAR[]) AS ancestors
-        FROM pages WHERE contains(url, '?'))"""]
+def _rounds_sql(depth_limit: int, leafs: int, roots_sql: str) -> str:
+    parts = [f"""f0 AS (SELECT root_order, query, CAST([] AS INTEGER[]) AS order_path, 0 AS depth, {_NORM.format('href')} AS url,
+        'QUERY: ' || query AS parent_id, CAST([] AS VARCHAR[]) AS ledger, CAST([] AS VARCHAR[]) AS ancestors FROM ({roots_sql}))"""]
     for d in range(depth_limit + 1):
         old = "".join(f" AND url NOT IN (SELECT url FROM v{i})" for i in range(d))
         parts.append(f"""v{d} AS (SELECT o.* EXCLUDE (rn) REPLACE (list_append(ledger, '[{d}] ' || o.url) AS ledger),
@@ -134,9 +136,11 @@ def _rounds_sql(depth_limit: int, leafs: int) -> str:
     return ",\n".join(parts)
 
 
-_CRAWL_SQL = "WITH RECURSIVE " + _SITE_SQL.strip() + "\n" + _rounds_sql(3, 4)
+_ROOTS_SQL = """SELECT page_id AS root_order, url AS href, 'lang ' || regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)/', 1) AS query
+    FROM pages WHERE contains(url, '?')"""
+_CRAWL_SQL = "WITH RECURSIVE " + _SITE_SQL.strip() + "\n" + _rounds_sql(3, 4, _ROOTS_SQL)
 # Roots one after another; each takes its first candidate whose e-mail is free.
-_LEADS_SQL = f"""{_CRAWL_SQL},
+_SETTLE_SQL = f"""
 stored AS (SELECT DISTINCT 'info@' || regexp_extract(url, '{HOST}', 1) AS email FROM pages WHERE contains(url, '/de/')),
 refused AS (SELECT DISTINCT 'info@' || regexp_extract(url, '{HOST}', 1) AS email FROM pages WHERE contains(url, '/fr/')),
 found AS (SELECT root_order, order_path, query, url, ancestors, 'Unknown' AS company,
@@ -149,6 +153,7 @@ turns AS (SELECT CAST(0 AS BIGINT) AS turn, CAST([] AS VARCHAR[]) AS taken, CAST
 leads AS (SELECT cand.* FROM cand JOIN turns ON cand.turn = turns.turn AND cand.order_path = turns.path),
 branches AS (SELECT v.url, v.depth, v.summary, count(l.url) AS n_leads FROM visits v LEFT JOIN
     (SELECT unnest(ancestors) AS url FROM leads) l ON l.url = v.url WHERE outcome = 'FOLLOW' GROUP BY v.url, v.depth, v.summary)"""
+_LEADS_SQL = f"{_CRAWL_SQL}, {_SETTLE_SQL}"
 _FRESH = "EXISTS (SELECT 1 FROM visits v WHERE v.root_order = f.root_order AND v.order_path = f.order_path)"
 _EVENTS_SQL = f"""{_LEADS_SQL},
 events_all AS (
@@ -287,3 +292,21 @@ def crawl_min_depth(spark, sf):
     result = C.crawl(start, pages, lambda df: df.withColumn("text", F.col("url")),
                      lambda df: df.withColumn("decision", follow), config=HuntConfig(max_depth=3, max_leafs=4))
     return result.visits.select("url", F.col("depth").cast("bigint").alias("depth"))
+
+
+@query("hunt_cycle", f"""WITH RECURSIVE {HITS_SQL}, {_SITE_SQL.strip()}
+{_rounds_sql(3, 4, "SELECT CASE query WHEN 'lang de' THEN 0 WHEN 'lang en' THEN 10 WHEN 'lang es' THEN 20 ELSE 30 END + hit_rank - 1 AS root_order, query, href FROM hits")},
+{_SETTLE_SQL},
+first_rows AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY root_order) AS rn FROM leads)
+SELECT email, company AS company_name, 'Unknown' AS founder_name, 'topic match with e-mail' AS reason, false AS contacted,
+  false AS delivery_failed, TIMESTAMP '2026-03-15 00:00:00' AS date_found FROM first_rows
+WHERE rn = 1 AND email NOT IN (SELECT email FROM stored)""")
+def hunt_cycle(spark, sf):
+    """Search hits to new rows of the lead store, all steps in one go."""
+    order = F.create_map(*[F.lit(x) for pair in (("lang de", 0), ("lang en", 1), ("lang es", 2), ("lang fr", 3)) for x in pair])
+    results = search.results(spark, sf).withColumn("query_order", F.try_element_at(order, F.col("query")))
+    config = replace(CONFIG, blocked_tlds=search.CONFIG.blocked_tlds, blocked_hosts=search.CONFIG.blocked_hosts)
+    store = stored_leads(spark, sf)
+    cycle = run_cycle(results, write_scratch(site(spark, sf), "site"), store, verdicts(spark, sf), observe, evaluate,
+                      F.expr("TIMESTAMP_NTZ '2026-03-15 00:00:00'"), config=config)
+    return cycle.new_leads

@@ -80,8 +80,8 @@ def results(spark, sf):
         .otherwise(F.col("url")).alias("href"))
 
 
-_CONFIG = HuntConfig(blocked_tlds=(".org",), blocked_hosts=("tion.example.net",))
-_HITS = r"""
+CONFIG = HuntConfig(blocked_tlds=(".org",), blocked_hosts=("tion.example.net",))
+HITS_SQL = r"""
 results AS (SELECT 'lang ' || regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)/', 1) AS query, page_id AS position,
     CASE WHEN contains(url, 'spam-farm') THEN NULL WHEN contains(url, 'cheap-pills') THEN '' ELSE url END AS href FROM pages),
 raw AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY position) AS rn FROM results),
@@ -91,13 +91,13 @@ hits AS (SELECT * FROM (SELECT query, position, href, row_number() OVER (PARTITI
     FROM usable) WHERE hit_rank <= 10)"""
 
 
-@query("search_topn", f"WITH {_HITS} SELECT query, position, href, hit_rank FROM hits")
+@query("search_topn", f"WITH {HITS_SQL} SELECT query, position, href, hit_rank FROM hits")
 def search_topn(spark, sf):
-    hits = R.search_topn(results(spark, sf), 10, _CONFIG)
+    hits = R.search_topn(results(spark, sf), 10, CONFIG)
     return hits.withColumn("hit_rank", F.col("hit_rank").cast("bigint"))
 
 
-@query("hits_to_pages", f"""WITH {_HITS}
+@query("hits_to_pages", f"""WITH {HITS_SQL}
 SELECT query, position, rtrim(regexp_replace(href, '#.*', ''), '/') AS url, page_id FROM results JOIN pages
 ON rtrim(regexp_replace(href, '#.*', ''), '/') = rtrim(regexp_replace(pages.url, '#.*', ''), '/') WHERE href <> ''""")
 def hits_to_pages(spark, sf):

@@ -42,7 +42,8 @@ def best_candidate(accuracy: DataFrame) -> DataFrame:
 def train_split(examples: DataFrame, key: str = "url", n_train: int = 3) -> DataFrame:
     """Mark the first ``n_train`` examples as train and the rest as dev."""
     first = examples.select(key).orderBy(key).limit(n_train).withColumn("__train", F.lit(True))
-    return examples.join(first, key, "left").withColumn(
+    # At most n_train rows, hence safe to send everywhere.
+    return examples.join(F.broadcast(first), key, "left").withColumn(
         "split", F.when(F.col("__train"), "train").otherwise("dev")).drop("__train")
 
 

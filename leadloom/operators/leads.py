@@ -7,6 +7,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from leadloom.config import PLACEHOLDER_MARKER
 from leadloom.functions.hashing import key_hash
 
+_FILLER_KEYS = 4096
+
+
+def _lookup_key(rows: DataFrame, email: Column, needed: Column) -> Column:
+    """Join key of rows whose e-mail is worth looking up.
+
+    The others (no address, placeholders) may be most of the table and share
+    few values. They get one of many keys that match nothing, so they spread
+    over all tasks instead of meeting in one.
+    """
+    filler = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*rows.columns), F.lit(_FILLER_KEYS)).cast("string"))
+    return F.when(needed, email).otherwise(filler)
+
 
 def clean_lead(df: DataFrame) -> DataFrame:
     """Trim e-mail, company and person; missing company and person become N/A."""
@@ -25,8 +38,10 @@ def is_deliverable(email: Column, verdict: Column, verification: bool = True) ->
 
 def with_deliverability(leads: DataFrame, verdicts: DataFrame, verification: bool = True) -> DataFrame:
     """Left join of verdicts (email, result); no verdict counts as unknown."""
-    judged = verdicts.groupBy("email").agg(F.max("result").alias("verdict"))
-    return leads.join(judged, "email", "left").withColumn(
+    judged = verdicts.groupBy(F.col("email").alias("__key")).agg(F.max("result").alias("verdict"))
+    has_at = F.coalesce(F.col("email").contains("@"), F.lit(False))
+    keyed = leads.withColumn("__key", _lookup_key(leads, F.col("email"), has_at))
+    return keyed.join(judged, "__key", "left").drop("__key").withColumn(
         "deliverable", is_deliverable(F.col("email"), F.col("verdict"), verification))
 
 
@@ -44,12 +59,12 @@ def flag_for_enrichment(leads: DataFrame) -> DataFrame:
 def not_yet_stored(leads: DataFrame, store: DataFrame, only_contacted: bool = False) -> DataFrame:
     """Drop leads whose e-mail is stored; placeholders always pass.
 
-    The stored keys are unique, so the join never multiplies rows.
     """
     known = store.where("contacted") if only_contacted else store
-    known = known.select(F.col("email").alias("__known")).distinct()
-    joined = leads.join(known, leads["email"] == F.col("__known"), "left")
-    return joined.where(F.col("__known").isNull() | F.col("email").contains(PLACEHOLDER_MARKER)).drop("__known")
+    known = known.select(F.col("email").alias("__key")).distinct()
+    placeholder = F.coalesce(F.col("email").contains(PLACEHOLDER_MARKER), F.lit(False))
+    keyed = leads.withColumn("__key", _lookup_key(leads, F.col("email"), ~placeholder))
+    return keyed.join(known, "__key", "left_anti").drop("__key")
 
 
 def build_leads(converted: DataFrame) -> DataFrame:
