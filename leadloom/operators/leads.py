@@ -17,7 +17,7 @@ def _lookup_key(rows: DataFrame, email: Column, needed: Column) -> Column:
     few values. They get one of many keys that match nothing, so they spread
     over all tasks instead of meeting in one.
     """
-    filler = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*rows.columns), F.lit(_FILLER_KEYS)).cast("string"))
+    filler = F.concat(F.lit("no lookup "), F.pmod(F.xxhash64(*rows.columns), F.lit(_FILLER_KEYS)).cast("string"))
     return F.when(needed, email).otherwise(filler)
 
 

@@ -3,8 +3,9 @@
 A window over one key runs in one task. When a key may hold a large share of
 all rows, the key is cut along its order into *slices* at quantiles of the
 ``position`` column, so no (key, slice) group can hold more than about one
-n-th of the table. The window runs inside the slice, and only one small row
-per (key, slice) is needed to carry values across slice borders.
+n-th of the table. The window runs inside the slice. What a slice needs from
+the slices before it comes as one extra row that sorts first in its group, so
+the table itself is shuffled once and joined with nothing.
 
 ``position`` is a BIGINT or DOUBLE column that never decreases along the
 order. Rows that tie on it stay together, so it should be close to unique.
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from leadloom.session import parallelism
 
-_SLICE = "__slice"
+_SLICE, _MARK = "__slice", "__mark"
 
 
 def slice_bounds(df: DataFrame, position: str, pieces: int) -> list[float]:
@@ -43,17 +44,10 @@ def _sliced(df: DataFrame, position: str, pieces: int | None, bounds: Sequence[f
     return df.withColumn(_SLICE, _slice_of(F.col(position), bounds))
 
 
-def _attach(df: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join the one-row-per-(key, slice) table; its columns are prefixed."""
-    on = [*keys, _SLICE]
-    carried = carried.select(*[F.col(c).alias(f"__c_{c}") for c in on],
-                             *[c for c in carried.columns if c not in on])
-    match = [df[c].eqNullSafe(F.col(f"__c_{c}")) for c in keys]
-    match.append(df[_SLICE] == F.col(f"__c_{_SLICE}"))
-    condition = match[0]
-    for m in match[1:]:
-        condition = condition & m
-    return df.join(carried, condition, "left").drop(*[f"__c_{c}" for c in on])
+def _with_carry(df: DataFrame, carried: DataFrame) -> DataFrame:
+    """Rows (mark 1) plus one carrying row per key and slice (mark 0)."""
+    return df.withColumn(_MARK, F.lit(1)).unionByName(
+        carried.withColumn(_MARK, F.lit(0)), allowMissingColumns=True)
 
 
 def running_total(df: DataFrame, value: str | Column, order: Sequence[str], position: str, out: str,
@@ -62,16 +56,14 @@ def running_total(df: DataFrame, value: str | Column, order: Sequence[str], posi
     """Sum of ``value`` over the rows *before* this one in (keys, order)."""
     df = _sliced(df, position, pieces, bounds).withColumn(
         "__value", F.col(value) if isinstance(value, str) else value)
-    local = Window.partitionBy(*keys, _SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     totals = df.groupBy(*keys, _SLICE).agg(F.sum("__value").alias("__total"))
     # At most one row per key and slice, so this window stays small.
     across = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, _SLICE, F.sum("__total").over(across).alias("__offset"))
-    df = df.withColumn("__local", F.sum("__value").over(local))
-    zero = F.lit(0).cast("bigint")
-    return _attach(df, offsets, keys).withColumn(
-        out, F.coalesce("__local", zero) + F.coalesce("__offset", zero)
-    ).drop(_SLICE, "__value", "__local", "__offset")
+    carried = totals.select(*keys, _SLICE, F.sum("__total").over(across).alias("__value"))
+    within = Window.partitionBy(*keys, _SLICE).orderBy(_MARK, *order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = _with_carry(df, carried).withColumn(
+        out, F.coalesce(F.sum("__value").over(within), F.lit(0).cast("bigint")))
+    return summed.where(F.col(_MARK) == 1).drop(_SLICE, _MARK, "__value")
 
 
 def number_rows(df: DataFrame, order: Sequence[str], position: str, out: str, keys: Sequence[str] = (),
@@ -86,11 +78,9 @@ def previous_value(df: DataFrame, value: Column, order: Sequence[str], position:
                    bounds: Sequence[float] | None = None) -> DataFrame:
     """``value`` of the row before this one in (keys, order); NULL for the first."""
     df = _sliced(df, position, pieces, bounds).withColumn("__value", F.struct(value.alias("v")))
-    local = Window.partitionBy(*keys, _SLICE).orderBy(*order)
     last = df.groupBy(*keys, _SLICE).agg(F.max_by("__value", F.struct(*order)).alias("__last"))
     across = Window.partitionBy(*keys).orderBy(_SLICE)
-    carried = last.select(*keys, _SLICE, F.lag("__last").over(across).alias("__carried"))
-    df = df.withColumn("__local", F.lag("__value").over(local))
-    return _attach(df, carried, keys).withColumn(
-        out, F.coalesce("__local", "__carried")["v"]
-    ).drop(_SLICE, "__value", "__local", "__carried")
+    carried = last.select(*keys, _SLICE, F.lag("__last").over(across).alias("__value"))
+    within = Window.partitionBy(*keys, _SLICE).orderBy(_MARK, *order)
+    lagged = _with_carry(df, carried).withColumn(out, F.lag("__value").over(within)["v"])
+    return lagged.where(F.col(_MARK) == 1).drop(_SLICE, _MARK, "__value")
