@@ -11,7 +11,7 @@ from leadloom.config import PLACEHOLDER_MARKER
 from leadloom.functions.hashing import HASH_SPACE, key_hash
 from leadloom.operators.leads import oldest_uncontacted
 from leadloom.operators.slices import number_rows, running_total
-from leadloom.session import parallelism
+from leadloom.session import parallelism, write_scratch
 
 _FIELDS = ("founder_name", "company_name")
 
@@ -68,6 +68,8 @@ def send_schedule(leads: DataFrame, sender: str = "sender", interval_sec: int =
         "gap_sec": jittered_gap(F.col("email"), interval_sec, seed),
         "__position": F.unix_seconds(F.col("date_found").cast("timestamp")) * (1 << 20) + F.shiftright(tie, 12),
     })
+    # Read three times below; written once, so that joins before it run once.
+    queued = write_scratch(queued, "queued")
     return running_total(queued, "gap_sec", ["__position", "email"], "__position", "send_offset_sec",
                          keys=[sender]).drop("__position")
 

@@ -86,6 +86,20 @@ def _children(visits: DataFrame, config: HuntConfig) -> DataFrame:
         "order_path", F.array_append("order_path", F.col("leaf"))).drop("rank", "leaf")
 
 
+def _decide(opened: DataFrame, observe: Step, evaluate: Step, config: HuntConfig) -> DataFrame:
+    """Outcome and decision of pages that were found, by url_hash."""
+    seen = observe(opened)
+    seen = seen.withColumns({
+        "blank": F.coalesce(F.trim("text"), F.lit("")) == "",
+        "context": path_context(F.col("ledger"), config.max_path_chars)})
+    decision = lambda name: F.col(f"decision.{name}").alias(name)
+    return evaluate(seen).select(
+        "url_hash", *_PATH, "query", "depth", "url", "ledger", "ancestors",
+        F.when(F.col("blank"), "blank").otherwise(route(F.col("decision.decision"))).alias("outcome"),
+        summary_or_default(F.col("decision.discovery_summary")).alias("summary"),
+        F.col("decision.next_target_urls").alias("targets"), decision("company"), decision("person"), decision("email"))
+
+
 def crawl(hits: DataFrame, pages: DataFrame, observe: Step, evaluate: Step, visited: DataFrame | None = None,
           config: HuntConfig = HuntConfig()) -> CrawlResult:
     """Follow links from ``hits`` down to ``config.max_depth``.
@@ -95,47 +109,36 @@ def crawl(hits: DataFrame, pages: DataFrame, observe: Step, evaluate: Step, visi
     evaluate: adds ``decision``; it also sees ``context``, the path so far.
 
     Junk and visited URLs leave before the page join, and ``observe`` runs
-    after it, so only pages that are really opened are parsed.
+    after it, so only pages that are really opened are parsed. The join is an
+    inner one against a written table of known size: while a round is small,
+    Spark sends its URLs to the pages and shuffles no page.
     """
     seen = [visited.select("url_hash")] if visited is not None else []
-    frontiers, rounds = [], []
-    frontier = root_frontier(hits)
+    attempts, firsts, decisions = [], [], []
     for depth in range(config.max_depth + 2):
-        frontier = write_scratch(frontier.withColumn("url_hash", url_hash(F.col("url"))), "frontier")
-        if depth > 0 and frontier.isEmpty():
-            break
+        frontier = root_frontier(hits) if depth == 0 else _children(decisions[-1], config)
+        frontier = frontier.withColumn("url_hash", url_hash(F.col("url")))
+        attempts.append(frontier)
         if depth > config.max_depth:
-            frontiers.append(frontier.withColumn("fresh", F.lit(False)))
             break
-        fresh = _first_visits(frontier, seen).withColumn(
-            "ledger", add_to_ledger(F.col("ledger"), F.col("depth"), F.col("url")))
-        fresh = fresh.withColumn("junk", is_junk(F.col("url"), config.junk_domains))
-        junk = fresh.where("junk").drop("junk")
-        opened = observe(fresh.where(~F.col("junk")).drop("junk").join(pages, "url", "left"))
-        blank = F.coalesce(F.trim("text"), F.lit("")) == ""
-        # Both branches read the opened pages, so they are evaluated in one pass.
-        opened = opened.withColumns({"blank": blank, "context": path_context(F.col("ledger"), config.max_path_chars)})
-        decided = evaluate(opened)
-        outcome = F.when(F.col("blank"), "blank").otherwise(route(F.col("decision.decision")))
-        keep = [*fresh.drop("junk").columns]
-        none = lambda t: F.lit(None).cast(t)
-        decided = decided.select(
-            *keep, outcome.alias("outcome"),
-            summary_or_default(F.col("decision.discovery_summary")).alias("summary"),
-            F.col("decision.next_target_urls").alias("targets"), F.col("decision.company").alias("company"),
-            F.col("decision.person").alias("person"), F.col("decision.email").alias("email"))
-        pruned = junk.select(
-            *keep, F.lit("junk").alias("outcome"), none("string").alias("summary"),
-            none("array<string>").alias("targets"), *[none("string").alias(c) for c in ("company", "person", "email")])
-        visits = write_scratch(decided.unionByName(pruned), "visits")
-        rounds.append(visits)
-        seen.append(visits)
-        owners = visits.select(*_PATH, F.lit(True).alias("fresh"))
-        frontiers.append(frontier.join(owners, _PATH, "left").withColumn(
-            "fresh", F.coalesce("fresh", F.lit(False))))
-        frontier = _children(visits, config)
+        first = _first_visits(frontier, seen).withColumns({
+            "ledger": add_to_ledger(F.col("ledger"), F.col("depth"), F.col("url")),
+            "junk": is_junk(F.col("url"), config.junk_domains)})
+        first = write_scratch(first, "first-visits")
+        if depth > 0 and first.isEmpty():
+            break
+        seen.append(first)
+        firsts.append(first)
+        opened = first.where(~F.col("junk")).drop("junk").join(pages, "url")
+        decisions.append(write_scratch(_decide(opened, observe, evaluate, config), "decisions"))
     union = lambda parts: reduce(DataFrame.unionByName, parts)
-    return CrawlResult(union(frontiers), union(rounds), config)
+    decided = union(decisions).select("url_hash", "outcome", "summary", "targets", "company", "person", "email")
+    every = union(firsts)
+    visits = every.join(decided, "url_hash", "left").withColumn("outcome", F.coalesce(
+        "outcome", F.when(F.col("junk"), "junk").otherwise("blank"))).drop("junk")
+    owners = every.select(*_PATH, F.lit(True).alias("fresh"))
+    tried = union(attempts).join(owners, _PATH, "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+    return CrawlResult(write_scratch(tried, "frontier"), write_scratch(visits, "visits"), config)
 
 
 def first_lead_per_root(candidates: DataFrame) -> DataFrame:
