@@ -1,6 +1,6 @@
 """Time the headline queries: one JSON line on stdout.
 
-Every query runs once to warm up and then BENCH_REPEAT times (default 2); the
+Every query runs once to warm up and then BENCH_REPEAT times (default 1); the
 median counts. Results go to a noop sink, so all columns are computed and
 nothing is collected. ``BENCH_QUERIES`` picks queries by name.
 """
@@ -39,7 +39,7 @@ def run(spark, name: str, folder: str) -> float:
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "1"))
     chosen = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
     spark = build_session("bench", master=f"local[{cpus}]", shuffle_partitions=int(cpus), spark__ui__enabled="false",
                           spark__driver__memory="16g")

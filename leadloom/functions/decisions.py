@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from leadloom.config import ERROR_PREFIX, NO_SUMMARY, UNKNOWN_NAME
+
 DECISIONS = ("CONVERT", "FOLLOW", "PRUNE")
 _NO_STRINGS = "array<string>"
-ERROR_PREFIX = "Execution Error: "
 
 
 def parse_decision(json: Column) -> Column:
@@ -36,8 +37,8 @@ def parse_decision(json: Column) -> Column:
         when_valid(fields["discovery_summary"]).otherwise(F.concat(F.lit(ERROR_PREFIX), error))
         .alias("discovery_summary"),
         when_valid(targets).otherwise(F.array().cast(_NO_STRINGS)).alias("next_target_urls"),
-        when_valid(F.coalesce(fields["company"], F.lit("Unknown"))).alias("company"),
-        when_valid(F.coalesce(fields["person"], F.lit("Unknown"))).alias("person"),
+        when_valid(F.coalesce(fields["company"], F.lit(UNKNOWN_NAME))).alias("company"),
+        when_valid(F.coalesce(fields["person"], F.lit(UNKNOWN_NAME))).alias("person"),
         when_valid(fields["email"]).alias("email"),
         when_valid(F.coalesce(fields["reason"], F.lit(""))).alias("reason"),
     )
@@ -48,4 +49,4 @@ def route(decision: Column) -> Column:
 
 
 def summary_or_default(summary: Column) -> Column:
-    return F.coalesce(summary, F.lit("No summary provided"))
+    return F.coalesce(summary, F.lit(NO_SUMMARY))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from leadloom.config import HIGH_VALUE_WORDS, LOW_VALUE_WORDS, OFF_TOPIC_WORDS, TOPIC_WORDS
+from leadloom.config import HIGH_VALUE_WORDS, LOW_VALUE_WORDS, OFF_TOPIC_WORDS, TOPIC_WORDS, UNKNOWN_NAME
 from leadloom.functions.decisions import parse_decision
 from leadloom.functions.patterns import any_of
 from leadloom.functions.urls import rank_url
@@ -42,7 +42,7 @@ def evaluate_by_rules(pages: DataFrame, topic_words: Sequence[str] = TOPIC_WORDS
         F.col("__decision").alias("decision"), summary.alias("discovery_summary"),
         F.when(F.col("__decision") == "FOLLOW", F.col("__targets")).otherwise(F.array().cast("array<string>"))
         .alias("next_target_urls"),
-        F.lit("Unknown").alias("company"), F.lit("Unknown").alias("person"),
+        F.lit(UNKNOWN_NAME).alias("company"), F.lit(UNKNOWN_NAME).alias("person"),
         F.when(F.col("__decision") == "CONVERT", F.element_at("emails", 1)).alias("email"), F.lit("").alias("reason"),
     )
     return facts.withColumn("decision", decision).drop("__on", "__off", "__targets", "__decision")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leadloom.config import PLACEHOLDER_MARKER
+from leadloom.config import MISSING_NAME, PLACEHOLDER_MARKER, STORE_FOUNDER, STORE_REASON
 from leadloom.functions.hashing import key_hash
 
 _FILLER_KEYS = 4096
@@ -24,8 +24,8 @@ def _lookup_key(rows: DataFrame, email: Column, needed: Column) -> Column:
 def clean_lead(df: DataFrame) -> DataFrame:
     """Trim e-mail, company and person; missing company and person become N/A."""
     text = lambda c, default: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(default)))
-    return df.withColumns({"email": text("email", ""), "company": text("company", "N/A"),
-                           "person": text("person", "N/A")})
+    return df.withColumns({"email": text("email", ""), "company": text("company", MISSING_NAME),
+                           "person": text("person", MISSING_NAME)})
 
 
 def is_deliverable(email: Column, verdict: Column, verification: bool = True) -> Column:
@@ -89,8 +89,8 @@ def new_store_rows(leads: DataFrame, store: DataFrame, order: list[str]) -> Data
     those in ``order``. Output has the store schema.
     """
     rows = leads.select(
-        "email", "company_name", F.coalesce("founder_name", F.lit("Founder")).alias("founder_name"),
-        F.coalesce("reason", F.lit("No reason provided.")).alias("reason"), "date_found",
+        "email", "company_name", F.coalesce("founder_name", F.lit(STORE_FOUNDER)).alias("founder_name"),
+        F.coalesce("reason", F.lit(STORE_REASON)).alias("reason"), "date_found",
         *[c for c in order if c not in ("date_found",)])
     fresh = first_per_key(rows, "email", order).join(store.select("email"), "email", "left_anti")
     return fresh.select("email", "company_name", "founder_name", "reason", F.lit(False).alias("contacted"),

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from leadloom.config import PLACEHOLDER_MARKER
+from leadloom.config import (
+    DRAFT_COMPANY, DRAFT_FOUNDER, NOTIFICATION_LABELS, NOTIFICATION_TITLE, PLACEHOLDER_MARKER,
+)
 from leadloom.functions.hashing import HASH_SPACE, key_hash
 from leadloom.operators.leads import oldest_uncontacted
 from leadloom.operators.slices import number_rows, running_total
@@ -25,8 +27,8 @@ def render_outreach(leads: DataFrame, template: str) -> DataFrame:
     unknown = set(re.findall(r"\{([^{}]*)\}", template)) - set(_FIELDS)
     if unknown:
         raise ValueError(f"unknown placeholders in template: {sorted(unknown)}")
-    values = {"founder_name": or_default(F.col("founder_name"), "Founder"),
-              "company_name": or_default(F.col("company_name"), "your company")}
+    values = {"founder_name": or_default(F.col("founder_name"), DRAFT_FOUNDER),
+              "company_name": or_default(F.col("company_name"), DRAFT_COMPANY)}
     # Text and fields alternate, so a name that looks like a placeholder stays as it is.
     pieces = re.split(r"(\{(?:founder_name|company_name)\})", template)
     parts = [values[p[1:-1]] if p[1:-1] in values and p.startswith("{") else F.lit(p) for p in pieces if p]
@@ -34,9 +36,10 @@ def render_outreach(leads: DataFrame, template: str) -> DataFrame:
 
 
 def notification(email: Column, company: Column, founder: Column) -> Column:
-    bold = lambda label, c: F.concat(F.lit(f"<b>{label}:</b> "), c)
-    return F.concat(F.concat_ws("\n", F.lit("<b>Outreach Sent Successfully!</b>\n"), bold("Contact", email),
-                                bold("Company", company), bold("Name", founder)), F.lit("\n"))
+    """Title, empty line, one labelled line each."""
+    lines = [F.concat(F.lit(f"<b>{label}:</b> "), value)
+             for label, value in zip(NOTIFICATION_LABELS, (email, company, founder))]
+    return F.concat(F.concat_ws("\n", F.lit(NOTIFICATION_TITLE), F.lit(""), *lines), F.lit("\n"))
 
 
 def outreach_backlog(store: DataFrame, new_leads: DataFrame, n: int = 1) -> DataFrame:

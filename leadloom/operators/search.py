@@ -79,9 +79,10 @@ def corpus_search(queries: DataFrame, documents: DataFrame, num_results: int = 1
     # Only candidates are read in full again.
     texts = candidates.join(queries.select(*keys, "phrases", "terms"), list(keys)).join(
         documents.select(doc_id, F.col(text).alias("__raw")), doc_id)
-    texts = texts.withColumns({"__text": F.lower("__raw"), "__words": _tokens(F.col("__raw"))}).drop("__raw")
-    matched = texts.where(F.size(F.array_except("terms", "__words")) == 0).where(
-        F.forall("phrases", lambda p: F.col("__text").contains(p)))
+    texts = texts.withColumn("__text", F.lower("__raw")).drop("__raw")
+    # The substring test is cheap and rules most candidates out before words are compared.
+    matched = texts.where(F.forall("phrases", lambda p: F.col("__text").contains(p))).where(
+        F.size(F.array_except("terms", _tokens(F.col("__text")))) == 0)
 
     def occurrences(phrase):
         shorter = F.length(F.replace(F.col("__text"), phrase, F.lit("")))

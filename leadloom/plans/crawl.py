@@ -16,7 +16,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from leadloom.config import HuntConfig, PLACEHOLDER_MARKER
+from leadloom.config import EVENT_TITLES, HuntConfig, PLACEHOLDER_MARKER, QUERY_NODE_PREFIX
 from leadloom.functions.context import add_to_ledger, annotate_last, path_context
 from leadloom.functions.decisions import route, summary_or_default
 from leadloom.functions.urls import is_junk, rank_url, url_hash, with_normalized_url
@@ -56,7 +56,7 @@ def root_frontier(hits: DataFrame) -> DataFrame:
     return roots.select(
         F.col("root_order").cast("bigint").alias("root_order"), "query",
         F.array().cast("array<int>").alias("order_path"), F.lit(0).alias("depth"), "url",
-        F.concat(F.lit("QUERY: "), F.col("query")).alias("parent_id"), no_strings.alias("ledger"),
+        F.concat(F.lit(QUERY_NODE_PREFIX), F.col("query")).alias("parent_id"), no_strings.alias("ledger"),
         no_strings.alias("ancestors"))
 
 
@@ -209,22 +209,22 @@ def node_events(result: CrawlResult, converted: DataFrame, leads: DataFrame, bra
     last = (result.config.max_depth + 2) * _SEQ_ROUND
     queries = frontier.where("depth = 0").select("query").distinct()
     parts = [
-        queries.select(F.lit(0).cast("bigint").alias("seq"), F.concat(F.lit("QUERY: "), "query").alias("node_id"),
-                       F.lit("query").alias("state"), F.lit("Search Engine Query").alias("title"),
+        queries.select(F.lit(0).cast("bigint").alias("seq"), F.concat(F.lit(QUERY_NODE_PREFIX), "query").alias("node_id"),
+                       F.lit("query").alias("state"), F.lit(EVENT_TITLES["query"]).alias("title"),
                        nothing.alias("parent_id")),
-        event(frontier, _SEQ_PENDING, "pending", F.concat(F.lit("Depth: "), F.col("depth").cast("string")),
+        event(frontier, _SEQ_PENDING, "pending", F.concat(F.lit(EVENT_TITLES["pending"]), F.col("depth").cast("string")),
               F.col("parent_id")),
-        event(frontier.where(~F.col("fresh")), _SEQ_SKIP, "skip", F.lit("Visited or Depth Limit")),
-        event(visits.where("outcome = 'junk'"), _SEQ_JUNK, "prune", F.lit("Junk Domain Match")),
-        event(visits.where("outcome = 'blank'"), _SEQ_BLANK, "prune", F.lit("Extraction Failed")),
+        event(frontier.where(~F.col("fresh")), _SEQ_SKIP, "skip", F.lit(EVENT_TITLES["skipped"])),
+        event(visits.where("outcome = 'junk'"), _SEQ_JUNK, "prune", F.lit(EVENT_TITLES["junk"])),
+        event(visits.where("outcome = 'blank'"), _SEQ_BLANK, "prune", F.lit(EVENT_TITLES["blank"])),
         event(visits.where("outcome = 'PRUNE'"), _SEQ_DECIDED, "prune",
-              F.concat(F.lit("Reason: "), F.col("summary"))),
-        event(branches.where(~F.col("has_targets")), _SEQ_DECIDED, "skip", F.lit("No valid links found")),
-        event(refused, _SEQ_DECIDED, "skip", F.lit("Already Contacted")),
-        event(leads, _SEQ_DECIDED, "convert", F.concat(F.lit("LEAD: "), F.col("company"))),
+              F.concat(F.lit(EVENT_TITLES["pruned"]), F.col("summary"))),
+        event(branches.where(~F.col("has_targets")), _SEQ_DECIDED, "skip", F.lit(EVENT_TITLES["no_links"])),
+        event(refused, _SEQ_DECIDED, "skip", F.lit(EVENT_TITLES["refused"])),
+        event(leads, _SEQ_DECIDED, "convert", F.concat(F.lit(EVENT_TITLES["lead"]), F.col("company"))),
         branches.where("has_targets").select(
             (F.lit(last) + result.config.max_depth - F.col("depth")).cast("bigint").alias("seq"),
-            F.col("url").alias("node_id"), "state", F.concat(F.lit("Branch Result: "), F.col("summary")).alias("title"),
+            F.col("url").alias("node_id"), "state", F.concat(F.lit(EVENT_TITLES["branch"]), F.col("summary")).alias("title"),
             nothing.alias("parent_id")),
     ]
     return reduce(DataFrame.unionByName, parts)
