@@ -13,12 +13,18 @@ limit.
   blocks of b bits.
 
 Copies collapse to one node per distinct fingerprint first. A block may hold
-any number of nodes, so no block is expanded into all its pairs: each block
-compares all members with its smallest one (the hub). Linked nodes are then
-merged, blocks whose members are all one component are done, and only what is
-left is compared in pairs (small blocks) or with the next hub (large blocks,
-again and again). Every two members of a block are compared or already joined
-through others, so no link between components is lost.
+any number of nodes, so large blocks are not expanded into all their pairs.
+
+* 64 bits: two values differ in at most two bits exactly if some value differs
+  from both in at most one. Nodes of large blocks meet on these values, 65 per
+  node, and each value links its nodes to the smallest one.
+* Wide: each block compares its members with its smallest one (the hub).
+  Linked nodes are merged, blocks whose members are all one component are
+  done, and what is left is compared in pairs (small blocks) or with the next
+  hub (large blocks, again and again).
+
+Either way every two members of a block are compared or joined through others,
+so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -152,33 +158,60 @@ def _verified(pairs: DataFrame, nodes: DataFrame, words: int, limit: int) -> Dat
             .where(_distance(F.col("fa"), F.col("fb"), words) <= limit).select("a", "b"))
 
 
-def link_components(nodes: DataFrame, keys: Column, words: int, limit: int, pairs_up_to: int = 64) -> DataFrame:
-    """(node, component) of all nodes linked to another one through shared block keys within ``limit`` bits.
+def link_exact(nodes: DataFrame, max_distance: int = 2, blocks: int = 4, pairs_up_to: int = 256) -> DataFrame:
+    """(node, component) of all nodes linked to another one; 64-bit fingerprints, at most two differing bits."""
+    if max_distance > 2:
+        raise ValueError("64-bit fingerprints link at two differing bits or fewer")
+    members = write_scratch(nodes.select("node", F.col("fp")[0].alias("v"), F.explode(
+        pigeonhole_keys(F.col("fp"), max_distance, blocks)).alias("key")), "blocks")
+    sizes = write_scratch(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    near = F.bit_count(F.col("a.v").bitwiseXOR(F.col("b.v"))) <= max_distance
+    small = members.join(sizes.where(F.col("n") <= pairs_up_to), "key", "left_semi")
+    pairs = small.alias("a").join(small.alias("b"), (F.col("a.key") == F.col("b.key"))
+                                  & (F.col("a.node") < F.col("b.node")) & near).select(
+        F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    large = members.join(sizes.where(F.col("n") > pairs_up_to), "key", "left_semi").select("node", "v").distinct()
+    flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("v").bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1).cast("bigint"), i)))
+    around = large.select("node", "v", F.explode(F.concat(F.array("v"), flips)).alias("value"))
+    hubs = around.groupBy("value").agg(F.min(F.struct("node", "v")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    stars = around.join(hubs, "value").where(
+        (F.col("node") != F.col("hub.node")) & (F.bit_count(F.col("v").bitwiseXOR(F.col("hub.v"))) <= max_distance)).select(
+        F.col("hub.node").alias("a"), F.col("node").alias("b"))
+    return components(pairs.unionByName(stars))
+
+
+def link_wide(nodes: DataFrame, words: int, limit: int, block_bits: int = 24, pairs_up_to: int = 1024) -> DataFrame:
+    """(node, component) of all nodes linked to another one through shared blocks within ``limit`` bits.
 
     ``nodes``: (node, fp), one row per distinct fingerprint. See the module text.
     """
-    members = write_scratch(nodes.select("node", F.explode(keys).alias("key")), "blocks")
+    members = write_scratch(nodes.select("node", F.explode(block_keys(F.col("fp"), words, block_bits)).alias("key")),
+                            "blocks")
     shared = members.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     joined = None
     while True:
         met = members.join(shared, "key").where("node <> hub")
         found = _verified(met.select(F.col("hub").alias("a"), F.col("node").alias("b")), nodes, words, limit)
         joined = write_scratch(components(found if joined is None else found.unionByName(_as_edges(joined))), "joined")
-        members = write_scratch(met.select("key", "node").join(joined, "node", "left")
-                                .select("key", "node", F.coalesce("component", "node").alias("c")), "blocks")
+        # Members without the hub, which has been compared with all of them; only blocks with two components go on.
+        members = write_scratch(met.select("key", "node", "hub").join(joined, "node", "left").select(
+            "key", "node", "hub", F.coalesce("component", "node").alias("c")), "blocks")
         shared = write_scratch(
             members.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n"), F.min("c").alias("c0"),
-                                       F.max("c").alias("c1")).where("c0 < c1").drop("c0", "c1"), "open")
+                                       F.max("c").alias("c1")).where("c0 < c1").select("key", "hub", "n"), "open")
+        members = members.select("key", "node", "c")
         small = members.join(shared.where(F.col("n") <= pairs_up_to), "key", "left_semi")
-        pairs = (small.select("key", F.col("node").alias("a"), F.col("c").alias("ca"))
-                 .join(small.select("key", F.col("node").alias("b"), F.col("c").alias("cb")), "key")
-                 .where("ca < cb").select("a", "b"))
+        pairs = small.alias("a").join(small.alias("b"), (F.col("a.key") == F.col("b.key"))
+                                      & (F.col("a.c") < F.col("b.c"))).select(
+            F.col("a.node").alias("a"), F.col("b.node").alias("b"))
         found = write_scratch(_verified(pairs, nodes, words, limit), "links")
         if not found.isEmpty():
             joined = write_scratch(components(found.unionByName(_as_edges(joined))), "joined")
         shared = shared.where(F.col("n") > pairs_up_to)
         if shared.isEmpty():
             return joined
+        members = members.select("key", "node")
 
 
 def _as_edges(joined: DataFrame) -> DataFrame:
@@ -200,9 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = write_scratch(fingerprints(docs, id_col, text_col, shingle=shingle, words=words, once=once)
                          .withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     nodes = write_scratch(rows.groupBy("fp").agg(F.min("row").alias("node"), F.min("id").alias("least")), "nodes")
-    keys = pigeonhole_keys(F.col("fp"), max_distance, blocks) if words == 1 else block_keys(
-        F.col("fp"), words, block_bits)
-    joined = link_components(nodes, keys, words, max_distance)
+    joined = link_exact(nodes, max_distance, blocks) if words == 1 else link_wide(nodes, words, max_distance, block_bits)
     placed = write_scratch(nodes.join(joined, "node", "left")
                            .select("fp", "least", F.coalesce("component", "node").alias("group")), "placed")
     named = placed.groupBy("group").agg(F.min("least").alias("component"))
