@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leadloom.catalog.registry import query
-from leadloom.config import (
-    DISCOVERY_PHRASES, FALLBACK_QUERY, HuntConfig, NO_LOCATION_TEXT, QUERY_CATEGORIES,
-)
+from leadloom.config import FALLBACK_QUERY, HuntConfig, NO_LOCATION_TEXT
 from leadloom.functions.urls import with_normalized_url
 from leadloom.operators import campaigns as K, search as R
 from leadloom.sources.tables import read_for_parsing, read_table
@@ -36,18 +34,19 @@ def campaign_intent(spark, sf):
     return K.campaign_intent(campaigns(spark, sf)).select("campaign_id", "location_text", "intent")
 
 
-def _slots_sql():
-    rows, position = [], 0
-    for name, quota, phrases in QUERY_CATEGORIES:
-        for i in range(quota):
-            rows.append(f"({position}, '{name}', '{phrases[i % len(phrases)]}', "
-                        f"'{DISCOVERY_PHRASES[position % len(DISCOVERY_PHRASES)]}')")
-            position += 1
-    return ", ".join(rows)
+def categories(spark, sf):
+    """Two queries per region (a handful of rows): its suppliers and its makers."""
+    rows = read_table(spark, sf, "region", ["r_regionkey", "r_name"]).orderBy("r_regionkey").collect()
+    return [(r.r_name, 2, (f"{r.r_name.lower()} suppliers", f"{r.r_name.lower()} makers")) for r in rows]
+
+
+DISCOVERY = ("contact", "imprint")
 
 
 _QUERIES = f"""{_CAMPAIGNS},
-slots(slot, category, phrase, discovery) AS (VALUES {_slots_sql()}),
+slots AS (SELECT 2 * (row_number() OVER (ORDER BY r_regionkey) - 1) + i AS slot, r_name AS category,
+    lower(r_name) || [' suppliers', ' makers'][i + 1] AS phrase, ['contact', 'imprint'][i + 1] AS discovery
+  FROM region, (SELECT unnest([0, 1]) AS i)),
 queries AS (SELECT campaign_id, CAST(slot AS BIGINT) AS slot, category, locations[slot % len(locations) + 1] AS location,
     '"' || phrase || '" AND "' || locations[slot % len(locations) + 1] || '" AND "' || discovery || '"' AS query
   FROM campaigns, slots WHERE len(locations) > 0)"""
@@ -55,7 +54,7 @@ queries AS (SELECT campaign_id, CAST(slot AS BIGINT) AS slot, category, location
 
 @query("campaign_queries", f"WITH {_QUERIES} SELECT campaign_id, slot, category, location, query FROM queries")
 def campaign_queries(spark, sf):
-    return K.campaign_queries(campaigns(spark, sf))
+    return K.campaign_queries(campaigns(spark, sf), categories(spark, sf), DISCOVERY)
 
 
 @query("campaign_query_check", f"""WITH {_QUERIES},
@@ -67,7 +66,7 @@ n AS (SELECT campaign_id, len(qs) AS n_queries, len(list_filter(qs, lambda q:
 SELECT *, n_queries BETWEEN 5 AND 10 AND n_located = n_queries AND n_generic = 0 AS passed FROM n""")
 def campaign_query_check(spark, sf):
     every = campaigns(spark, sf)
-    return K.check_query_sets(K.with_fallback_query(every, K.campaign_queries(every)))
+    return K.check_query_sets(K.with_fallback_query(every, K.campaign_queries(every, categories(spark, sf), DISCOVERY)))
 
 
 def results(spark, sf):

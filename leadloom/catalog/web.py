@@ -220,9 +220,9 @@ observed AS (SELECT md.page_id, url, language, {S.clean_emails(S.emails('html'),
 WITH {OBSERVED_SQL}
 SELECT page_id, status, coalesce(language, 'unknown') AS language, CAST(len(emails) AS BIGINT) AS n_emails,
   CASE WHEN status = 'ok' THEN left(CASE WHEN len(emails) > 0 THEN {S.lit(EMAIL_HEADER_PREFIX)} || array_to_string(emails, ', ')
-       || {S.lit(EMAIL_HEADER_SUFFIX)} || body ELSE body END, 2000) ELSE '' END AS text FROM observed""")
+       || {S.lit(EMAIL_HEADER_SUFFIX)} || body ELSE body END, 16000) ELSE '' END AS text FROM observed""")
 def page_observation(spark, sf):
-    seen = P.observations(read_for_parsing(spark, sf, "pages"), HuntConfig(max_observation_chars=2000), SUFFIXES)
+    seen = P.observations(read_for_parsing(spark, sf, "pages"), HuntConfig(), SUFFIXES)
     return seen.select("page_id", "status", F.coalesce("language", F.lit("unknown")).alias("language"),
                        F.size("emails").cast("bigint").alias("n_emails"), "text")
 
@@ -247,14 +247,14 @@ SELECT doc_id, '<context>' || chr(10) || 'profile of ' || source || chr(10) || '
   '<context>' || chr(10) || 'find ' || lang || chr(10) || '</context>' || chr(10) || 'March 2026' || chr(10) ||
   '<scratchpad>' || chr(10) || '[0] https://' || source || '.test/' || doc_id || chr(10) || '</scratchpad>' || chr(10) ||
   'https://' || source || '.test/' || doc_id || chr(10) ||
-  '<document>' || chr(10) || left(text, 4000) || chr(10) || '</document>' AS prompt FROM documents""")
+  '<document>' || chr(10) || text || chr(10) || '</document>' AS prompt FROM documents""")
 def prompt_build(spark, sf):
     docs = read_table(spark, sf, "documents", ["doc_id", "text", "lang", "source"])
     url = F.concat(F.lit("https://"), "source", F.lit(".test/"), F.col("doc_id").cast("string"))
     memory = context.path_context(context.add_to_ledger(F.array().cast("array<string>"), F.lit(0), url), 10_000)
     return docs.select("doc_id", context.evaluation_prompt(
         F.concat(F.lit("profile of "), "source"), F.concat(F.lit("find "), "lang"), F.to_date(F.lit("2026-03-15")),
-        memory, url, context.cut_observation(F.col("text"), 4000)).alias("prompt"))
+        memory, url, F.col("text")).alias("prompt"))
 
 
 @query("unvisited_urls", """

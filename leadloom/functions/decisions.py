@@ -21,7 +21,8 @@ def parse_decision(json: Column) -> Column:
               "person string, email string, reason string")
     valid = F.coalesce(fields["decision"].isin(*DECISIONS) & fields["discovery_summary"].isNotNull(), F.lit(False))
     raw = fields["next_target_urls"]
-    listed = F.when(raw.startswith("["), F.from_json(raw, _NO_STRINGS)).when(raw != "", F.array(raw))
+    # A scalar may start with a bracket too, as the link form [text](url) does.
+    listed = F.coalesce(F.when(raw.startswith("["), F.from_json(raw, _NO_STRINGS)), F.when(raw != "", F.array(raw)))
     targets = F.filter(F.coalesce(listed, F.array().cast(_NO_STRINGS)), lambda t: t.isNotNull() & (t != ""))
     error = (
         F.when(fields["decision"].isNull() & fields["discovery_summary"].isNull(), "unreadable decision")

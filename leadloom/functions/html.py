@@ -1,7 +1,8 @@
 """HTML to text, links and e-mail addresses, as Column expressions.
 
-The patterns avoid back-references and nested repetition, so they run in time
-close to linear in the page length and mean the same in other engines.
+The patterns avoid back-references and nested repetition and swallow what is
+never closed, so they run in time close to linear in the page length and mean
+the same in other engines.
 """
 
 from __future__ import annotations
@@ -19,20 +20,24 @@ from leadloom.functions.urls import resolve_url
 
 # Comments, noise subtrees and the document title, in one left-to-right pass, so
 # that a "<script>" inside a comment (or the reverse) cannot mislead the scan.
-REMOVED = r"(?is)<(?:!--.*?(?:-->|\z)|" + "|".join(
-    rf"{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)" for tag in (*NOISE_TAGS, "title")) + ")"
-ANCHOR = r"(?is)<a\s[^>]*>.*?</a\s*>"
+# What is never closed runs to the end of the page, so every pattern reads a
+# page once, whatever it holds. A self-closed svg has no content.
+REMOVED = r"(?is)<(?:!--.*?(?:-->|\z)|svg\b[^>]*/>|" + "|".join(
+    rf"{tag}\b[^>]*(?:>.*?(?:</{tag}\s*>|\z)|\z)" for tag in (*NOISE_TAGS, "title")) + ")"
+ANCHOR = r"(?is)<a\s[^>]*(?:>.*?(?:</a\s*>|\z)|\z)"
 ANCHOR_OPEN = r"(?is)^<a\s[^>]*>"
 ANCHOR_HREF = r"""(?is)^<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 BLOCK_TAG = (r"(?i)<(?:br\s*/?|/?(?:address|article|aside|blockquote|body|dd|div|dl|dt|fieldset|figcaption|figure|"
              r"footer|form|h1|h2|h3|h4|h5|h6|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|"
-             r"tfoot|th|thead|tr|ul)(?:\s[^>]*)?/?)>")
+             r"tfoot|th|thead|tr|ul)(?:\s[^>]*)?/?)(?:>|\z)")
 # Single spaces are left alone; a match per word would cost more than the rest.
 SOURCE_SPACE = r"[ \t\r\n\f]{2,}|[\t\r\n\f]"
 TEXT_SPACE = "[ \t\u00a0]{2,}|[\t\u00a0]"
 LINE_SPACE = r" \n[ \n]*|\n[ \n]+"
-ANY_TAG = r"</?[A-Za-z!?][^>]*>"
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+ANY_TAG = r"</?[A-Za-z!?][^>]*(?:>|\z)"
+ENTITIES = (("&nbsp;", " "), ("&#160;", " "), ("&#64;", "@"), ("&#x40;", "@"), ("&commat;", "@"), ("&#46;", "."),
+            ("&#x2e;", "."), ("&copy;", "©"), ("&reg;", "®"), ("&euro;", "€"), ("&ndash;", "–"), ("&mdash;", "—"),
+            ("&hellip;", "…"), ("&#x27;", "'"), ("&#38;", "&amp;"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
             ("&apos;", "'"), ("&amp;", "&"))
 # An address can only start where a run of address characters starts, or where
 # the previous match ended; a long run without "@" is then read once.

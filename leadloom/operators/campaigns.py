@@ -6,9 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from leadloom.config import (
-    DISCOVERY_PHRASES, FALLBACK_QUERY, GENERIC_JOB_WORDS, NO_LOCATION_TEXT, QUERY_CATEGORIES,
-)
+from leadloom.config import FALLBACK_QUERY, GENERIC_JOB_WORDS, NO_LOCATION_TEXT
 from leadloom.functions.patterns import any_of
 
 
@@ -20,12 +18,11 @@ def campaign_intent(campaigns: DataFrame) -> DataFrame:
         "intent", F.replace(F.trim("intent"), F.lit("{locations}"), F.col("location_text")))
 
 
-def campaign_queries(campaigns: DataFrame,
-                     categories: Sequence[tuple[str, int, Sequence[str]]] = QUERY_CATEGORIES,
-                     discovery: Sequence[str] = DISCOVERY_PHRASES) -> DataFrame:
-    """Boolean queries per campaign in the category mix, each with one location.
+def campaign_queries(campaigns: DataFrame, categories: Sequence[tuple[str, int, Sequence[str]]],
+                     discovery: Sequence[str]) -> DataFrame:
+    """Boolean queries per campaign in the caller's category mix, each with one location.
 
-    The slots (category, phrase) are a short literal array, exploded in the row,
+    ``categories``: (name, number of queries, phrases). The slots (category, phrase) are a short literal array, exploded in the row,
     so nothing is shuffled. Slot i takes location i modulo the list length.
     """
     slots, position = [], 0

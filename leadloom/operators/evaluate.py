@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from leadloom.config import HIGH_VALUE_WORDS, LOW_VALUE_WORDS, OFF_TOPIC_WORDS, TOPIC_WORDS, UNKNOWN_NAME
+from leadloom.config import ERROR_PREFIX, HIGH_VALUE_WORDS, LOW_VALUE_WORDS, OFF_TOPIC_WORDS, TOPIC_WORDS, UNKNOWN_NAME
 from leadloom.functions.decisions import parse_decision
 from leadloom.functions.patterns import any_of
 from leadloom.functions.urls import rank_url
@@ -53,27 +53,44 @@ def answer_with_model(prompts: DataFrame, make_model: Callable[[], Callable[[lis
     """Run a caller's text model over prompt rows, one Arrow batch at a time.
 
     ``make_model`` runs once per partition and returns a function from a list
-    of prompts to a list of answers. An error inside the model marks the rows
-    of its batch and leaves the job running.
+    of prompts to a list of answers. If a batch fails, its prompts are tried
+    one by one, so an error marks its own row only and the job goes on.
     """
     schema = T.StructType([prompts.schema[k] for k in keys] + [
         T.StructField(answer, T.StringType()), T.StructField("error", T.StringType())])
 
+    def ask(model, texts: list[str]) -> tuple[list, list]:
+        try:
+            found = list(model(texts))
+            if len(found) != len(texts):
+                raise ValueError(f"{len(found)} answers to {len(texts)} prompts")
+            return found, [None] * len(texts)
+        except Exception as exc:  # noqa: BLE001 - reported per row
+            if len(texts) == 1:
+                return [None], [str(exc)]
+        parts = [ask(model, [t]) for t in texts]
+        return [a for p, _ in parts for a in p], [e for _, q in parts for e in q]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_model()
         for batch in batches:
             out = batch[list(keys)].copy()
-            try:
-                out[answer], out["error"] = model(batch[prompt].tolist()), None
-            except Exception as exc:  # noqa: BLE001 - reported per row
-                out[answer], out["error"] = None, str(exc)
+            out[answer], out["error"] = ask(model, batch[prompt].tolist()) if len(batch) else ([], [])
             yield out
 
     return prompts.select(*keys, prompt).mapInPandas(run, schema)
 
 
 def evaluate_with_model(pages: DataFrame, make_model: Callable[[], Callable[[list[str]], list[str]]],
-                        prompt: Column, keys: Sequence[str] = ("url",)) -> DataFrame:
-    """Model answers (JSON) parsed to decisions: keys + ``decision``."""
-    answers = answer_with_model(pages.withColumn("prompt", prompt), make_model, keys)
-    return answers.select(*keys, parse_decision(F.col("answer")).alias("decision"))
+                        prompt: Column) -> DataFrame:
+    """``pages`` with ``decision``, parsed from model answers (JSON); usable as the ``evaluate`` step of a crawl.
+
+    A failed row is PRUNE, with the error's message in its summary.
+    """
+    columns = pages.columns
+    answers = answer_with_model(pages.withColumn("__prompt", prompt), make_model, columns, "__prompt", "__answer")
+    parsed = answers.withColumn("decision", parse_decision(F.col("__answer")))
+    summary = F.when(F.col("error").isNotNull(), F.concat(F.lit(ERROR_PREFIX), "error")).otherwise(
+        F.col("decision.discovery_summary"))
+    return parsed.select(*[F.col(f"`{c}`") for c in columns],
+                         F.col("decision").withField("discovery_summary", summary).alias("decision"))

@@ -42,10 +42,15 @@ def hits_to_pages(hits: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def parse_boolean_query(queries: DataFrame, query: str = "query") -> DataFrame:
-    """Add ``phrases``: the quoted phrases of '"a b" AND "c"', lower-cased, distinct."""
+    """Add ``phrases``: the quoted phrases of '"a b" AND "c"', lower-cased, distinct.
+
+    A query without quotes is searched by its words, joined by AND.
+    """
     quoted = F.regexp_extract_all(F.lower(F.col(query)), F.lit(r'"([^"]+)"'), F.lit(1))
-    return queries.withColumn("phrases", F.array_distinct(F.filter(
-        F.transform(quoted, lambda p: F.trim(p)), lambda p: p != "")))
+    listed = F.array_distinct(F.filter(F.transform(quoted, lambda p: F.trim(p)), lambda p: p != ""))
+    words = F.filter(_tokens(F.col(query)), lambda w: ~w.isin("and", "or"))
+    return queries.withColumn("phrases", listed).withColumn(
+        "phrases", F.when(F.size("phrases") == 0, words).otherwise(F.col("phrases")))
 
 
 def _tokens(text):

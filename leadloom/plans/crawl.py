@@ -26,6 +26,7 @@ from leadloom.session import write_scratch
 Step = Callable[[DataFrame], DataFrame]
 
 _PATH = ["root_order", "order_path"]
+_FRONTIER = [*_PATH, "query", "depth", "url", "parent_id", "ledger", "ancestors"]
 _SEQ_ROUND, _SEQ_PENDING, _SEQ_SKIP, _SEQ_JUNK, _SEQ_BLANK, _SEQ_DECIDED = 100, 10, 20, 30, 40, 50
 
 
@@ -100,10 +101,13 @@ def _decide(opened: DataFrame, observe: Step, evaluate: Step, config: HuntConfig
         F.col("decision.next_target_urls").alias("targets"), decision("company"), decision("person"), decision("email"))
 
 
-def crawl(hits: DataFrame, pages: DataFrame, observe: Step, evaluate: Step, visited: DataFrame | None = None,
-          config: HuntConfig = HuntConfig()) -> CrawlResult:
+def crawl(hits: DataFrame | None, pages: DataFrame, observe: Step, evaluate: Step, visited: DataFrame | None = None,
+          config: HuntConfig = HuntConfig(), resume: DataFrame | None = None) -> CrawlResult:
     """Follow links from ``hits`` down to ``config.max_depth``.
 
+    resume: attempts (rows of an earlier ``frontier``) that join the rounds of
+    their depth, with or without ``hits``.
+
     pages: ``url`` (normalised, unique) and what ``observe`` needs.
     observe: adds ``text`` (blank if unusable) to joined pages.
     evaluate: adds ``decision``; it also sees ``context``, the path so far.
@@ -116,8 +120,11 @@ def crawl(hits: DataFrame, pages: DataFrame, observe: Step, evaluate: Step, visi
     seen = [visited.select("url_hash")] if visited is not None else []
     attempts, firsts, decisions = [], [], []
     for depth in range(config.max_depth + 2):
-        frontier = root_frontier(hits) if depth == 0 else _children(decisions[-1], config)
-        frontier = frontier.withColumn("url_hash", url_hash(F.col("url")))
+        sources = [_children(decisions[-1], config)] if depth else [root_frontier(hits)] if hits is not None else []
+        if resume is not None:
+            waiting = resume.where(F.col("depth") == depth)
+            sources.append(waiting.select(*(sources[0].columns if sources else _FRONTIER)))
+        frontier = reduce(DataFrame.unionByName, sources).withColumn("url_hash", url_hash(F.col("url")))
         attempts.append(frontier)
         if depth > config.max_depth:
             break
@@ -125,7 +132,7 @@ def crawl(hits: DataFrame, pages: DataFrame, observe: Step, evaluate: Step, visi
             "ledger": add_to_ledger(F.col("ledger"), F.col("depth"), F.col("url")),
             "junk": is_junk(F.col("url"), config.junk_domains)})
         first = write_scratch(first, "first-visits")
-        if depth > 0 and first.isEmpty():
+        if depth > 0 and resume is None and first.isEmpty():
             break
         seen.append(first)
         firsts.append(first)
@@ -162,7 +169,9 @@ def settle_leads(candidates: DataFrame) -> DataFrame:
         proposals = write_scratch(first_lead_per_root(remaining), "proposals")
         holders = proposals.where(~F.col("email").contains(PLACEHOLDER_MARKER)).groupBy("email").agg(
             F.min("root_order").alias("holder"))
-        lost = remaining.join(holders, "email").where(F.col("root_order") > F.col("holder")).select(*_PATH)
+        # Placeholders never compete; left in, all of them would meet on one key.
+        real = remaining.where(~F.col("email").contains(PLACEHOLDER_MARKER))
+        lost = real.join(holders, "email").where(F.col("root_order") > F.col("holder")).select(*_PATH)
         lost = write_scratch(lost, "lost")
         if lost.isEmpty():
             return proposals
@@ -238,6 +247,55 @@ def settle(result: CrawlResult, store: DataFrame, verdicts: DataFrame, verificat
     return HuntOutcome(leads, branches, node_events(result, converted, leads, branches))
 
 
+def _beyond_exit(visits: DataFrame, leads: DataFrame) -> DataFrame:
+    """Visits that a root would not have made, because its lead came before them."""
+    chosen = leads.select("root_order", F.col("order_path").alias("chosen_path"))
+    return visits.join(chosen, "root_order").where(F.col("order_path") > F.col("chosen_path")).drop("chosen_path")
+
+
+def opened_visits(result: CrawlResult, leads: DataFrame) -> DataFrame:
+    """Visits that count as made: all but those beyond their root's lead. These belong into the visited store."""
+    return result.visits.join(_beyond_exit(result.visits, leads).select(*_PATH), _PATH, "left_anti")
+
+
+def settle_with_release(result: CrawlResult, pages: DataFrame, observe: Step, evaluate: Step, store: DataFrame,
+                        verdicts: DataFrame, visited: DataFrame | None = None,
+                        verification: bool = True) -> tuple[CrawlResult, HuntOutcome]:
+    """``settle``, with URLs beyond a root's lead given to roots that were refused them.
+
+    A root stops at its first lead, so what it would have opened later is free
+    for other roots without a lead. Their refused attempts at free URLs start
+    another crawl, until none is left. Every round opens at least one URL for
+    good or ends with one root less without a lead.
+    """
+    def candidates(part: CrawlResult) -> DataFrame:
+        return L.not_yet_stored(converted_leads(part, verdicts, verification), store)
+
+    leads = write_scratch(settle_leads(candidates(result)), "leads")
+    while True:
+        free = _beyond_exit(result.visits, leads)
+        waiting = result.frontier.where(~F.col("fresh")).join(free.select("url_hash"), "url_hash", "left_semi").join(
+            leads.select("root_order"), "root_order", "left_anti")
+        waiting = write_scratch(waiting, "waiting")
+        if waiting.isEmpty():
+            break
+        kept = opened_visits(result, leads).select("url_hash")
+        known = kept if visited is None else kept.unionByName(visited.select("url_hash"))
+        again = crawl(None, pages, observe, evaluate, known, result.config, resume=waiting)
+        result = CrawlResult(
+            write_scratch(result.frontier.join(waiting.select(*_PATH), _PATH, "left_anti").unionByName(again.frontier),
+                          "frontier"),
+            write_scratch(result.visits.join(again.visits.select("url_hash"), "url_hash", "left_anti").unionByName(
+                again.visits), "visits"), result.config)
+        more = candidates(again).join(leads.select("root_order"), "root_order", "left_anti")
+        taken = leads.where(~F.col("email").contains(PLACEHOLDER_MARKER)).select("email")
+        more = settle_leads(more.join(taken, "email", "left_anti"))
+        leads = write_scratch(leads.unionByName(more.select(*leads.columns)), "leads")
+    converted = write_scratch(converted_leads(result, verdicts, verification), "converted")
+    branches = branch_rollup(result, leads)
+    return result, HuntOutcome(leads, branches, node_events(result, converted, leads, branches))
+
+
 def leads_per_query(result: CrawlResult, leads: DataFrame) -> DataFrame:
     """Leads found per query, queries without a lead included."""
     found = leads.groupBy("query").agg(F.count("*").alias("n_leads"))

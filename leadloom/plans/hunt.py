@@ -10,7 +10,7 @@ from leadloom.config import HuntConfig
 from leadloom.operators.graph import graph_edges, graph_nodes
 from leadloom.operators.leads import build_leads, new_store_rows
 from leadloom.operators.search import search_topn
-from leadloom.plans.crawl import CrawlResult, Step, crawl, settle
+from leadloom.plans.crawl import CrawlResult, Step, crawl, opened_visits, settle_with_release
 
 
 @dataclass(frozen=True)
@@ -33,12 +33,12 @@ def run_cycle(results: DataFrame, pages: DataFrame, store: DataFrame, verdicts:
     hits = search_topn(results, config.num_results, config).join(order, "query")
     root_order = F.col("query_order").cast("bigint") * config.num_results + F.col("hit_rank") - 1
     done = crawl(hits.select(root_order.alias("root_order"), "query", "href"), pages, observe, evaluate, visited, config)
-    outcome = settle(done, store, verdicts)
+    done, outcome = settle_with_release(done, pages, observe, evaluate, store, verdicts, visited)
     found = outcome.leads
     rows = found.select("email", F.col("company").alias("company_name"), F.col("person").alias("founder_name"),
                         F.col("summary").alias("reason"), at.alias("date_found"), "root_order")
     nodes = graph_nodes(outcome.events)
     return HuntCycle(
         crawl=done, queue=build_leads(found), new_leads=new_store_rows(rows, store, ["root_order"]),
-        new_visited=done.visits.select("url_hash", "url", at.alias("visited_at")),
+        new_visited=opened_visits(done, found).select("url_hash", "url", at.alias("visited_at")),
         nodes=nodes, edges=graph_edges(outcome.events, nodes))

@@ -58,7 +58,6 @@ def write_scratch(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def parallelism(spark: SparkSession, at_most: int = 512) -> int:
-    """How many pieces to cut a table into: the shuffle width, within bounds."""
-    width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(2, min(width, at_most))
+def parallelism(spark: SparkSession) -> int:
+    """How many pieces to cut a table into: the shuffle width."""
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -44,6 +44,17 @@ def run(spark, hits, site=SITE, visited=None, config=HuntConfig(junk_domains=("j
     return C.crawl(roots, pages, observe, evaluate or (lambda df: evaluate_by_rules(df)), visited, config)
 
 
+PAGE = "url string, html string"
+
+
+def OBSERVE(df):
+    return P.observations(df.withColumn("html", F.coalesce("html", F.lit(""))), HuntConfig())
+
+
+def store_and_verdicts(spark):
+    return spark.createDataFrame([], "email string"), spark.createDataFrame([], "email string, result string")
+
+
 def settle(spark, result, known=()):
     store = spark.createDataFrame([(e,) for e in known], "email string")
     verdicts = spark.createDataFrame([], "email string, result string")
@@ -134,7 +145,7 @@ def test_model_evaluator_and_stored_email(spark):
         return answer
 
     def evaluate(df):
-        return df.join(evaluate_with_model(df.where("text != ''"), make_model, F.concat("url", F.lit("\n"), "text")), "url", "left")
+        return evaluate_with_model(df, make_model, F.concat("url", F.lit("\n"), "text"))
 
     site = [page("https://ai.test", EN), page("https://broken.test", EN)]
     result = run(spark, ["https://ai.test"], site, evaluate=evaluate)
@@ -147,6 +158,50 @@ def test_model_evaluator_and_stored_email(spark):
     assert down.outcome == "PRUNE" and down.summary.startswith("Execution Error")
 
 
+def test_a_failing_prompt_fails_alone(spark):
+    def make_model():
+        def answer(prompts):
+            if "bad" in prompts:
+                raise RuntimeError("no answer")
+            return ['{"decision": "FOLLOW", "discovery_summary": "s", "next_target_urls": "[team](https://x.test/team)"}'] * len(prompts)
+        return answer
+
+    df = spark.createDataFrame([(n, "bad" if n == 7 else f"p{n}") for n in range(20)], "url long, p string").coalesce(1)
+    got = {r.url: r.decision for r in evaluate_with_model(df, make_model, F.col("p")).collect()}
+    assert [n for n, d in got.items() if d.decision == "PRUNE"] == [7]
+    assert got[7].discovery_summary == "Execution Error: no answer"
+    assert got[1].next_target_urls == ["[team](https://x.test/team)"]
+
+
+def test_pages_beyond_an_exit_are_free_for_later_roots(spark):
+    def convert(mail):
+        return f'<p>AI software</p><a href="mailto:{mail}">m</a>'
+
+    site = [page("https://a.test", EN + '<a href="https://a.test/about">contact</a><a href="https://s.test/team">contact team</a>'),
+            page("https://b.test", EN + '<a href="https://s.test/team">contact team</a>'),
+            page("https://a.test/about", "x"), page("https://s.test/team", "y")]
+
+    def decide(df):
+        text = {"https://a.test/about": "x@a.test", "https://s.test/team": "y@s.test"}
+        mail = F.coalesce(*[F.when(F.col("url") == u, m) for u, m in text.items()])
+        targets = F.when(F.col("url") == "https://a.test", F.array(F.lit("https://a.test/about"), F.lit("https://s.test/team"))).when(
+            F.col("url") == "https://b.test", F.array(F.lit("https://s.test/team"))).otherwise(F.array().cast("array<string>"))
+        return df.withColumn("decision", F.struct(
+            F.when(mail.isNotNull(), "CONVERT").otherwise("FOLLOW").alias("decision"), F.lit("s").alias("discovery_summary"),
+            targets.alias("next_target_urls"), F.lit("C").alias("company"), F.lit("P").alias("person"), mail.alias("email")))
+
+    first = run(spark, ["https://a.test", "https://b.test"], site, evaluate=decide)
+    pages = spark.createDataFrame(site, PAGE)
+    result, outcome = C.settle_with_release(first, pages, OBSERVE, decide, *store_and_verdicts(spark))
+    assert sorted((r.root_order, r.email) for r in outcome.leads.collect()) == [(0, "x@a.test"), (1, "y@s.test")]
+    assert sorted(r.url for r in C.opened_visits(result, outcome.leads).collect()) == [
+        "https://a.test", "https://a.test/about", "https://b.test", "https://s.test/team"]
+    # Without the second root the page stays closed, and is not marked as visited.
+    alone = run(spark, ["https://a.test"], site, evaluate=decide)
+    result, outcome = C.settle_with_release(alone, pages, OBSERVE, decide, *store_and_verdicts(spark))
+    assert "https://s.test/team" not in {r.url for r in C.opened_visits(result, outcome.leads).collect()}
+
+
 def test_settling_equals_one_root_after_another(spark):
     rng = random.Random(7)
     for _ in range(3):

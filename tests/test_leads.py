@@ -136,19 +136,20 @@ def test_search(spark):
     assert [r.position for r in out] == [6]
     docs = spark.createDataFrame([(1, "Red apple pie, red apple"), (2, "a pineapple and red things"), (3, "apple. Red apple!")],
                                  "doc_id long, text string")
-    queries = R.parse_boolean_query(spark.createDataFrame([(1, '"red apple"'), (2, '"apple" AND "pie"'), (3, "none"), (4, '"zzz"')],
+    queries = R.parse_boolean_query(spark.createDataFrame([(1, '"red apple"'), (2, '"apple" AND "pie"'), (3, "none"), (4, '"zzz"'), (5, "Pie apple")],
                                                           "query_id long, query string"))
     got = sorted((r.query_id, r.position, r.doc_id, r.score) for r in R.corpus_search(queries, docs).collect())
-    assert got == [(1, 1, 1, 2), (1, 2, 3, 1), (2, 1, 1, 3)]
+    assert [g for g in got if g[0] < 5] == [(1, 1, 1, 2), (1, 2, 3, 1), (2, 1, 1, 3)]
+    assert {g[0] for g in got} == {1, 2, 5}  # plain words are searched as well
 
 
 def test_campaigns(spark):
     df = spark.createDataFrame([(1, "In {locations}", ["Oslo", "Bonn"]), (2, "In {locations}", [])],
                                "campaign_id long, intent string, locations array<string>")
     assert [r.intent for r in K.campaign_intent(df).orderBy("campaign_id").collect()] == ["In Oslo, Bonn", "In Global / Remote"]
-    queries = K.campaign_queries(df)
+    queries = K.campaign_queries(df, [("a", 4, ("p", "q")), ("b", 3, ("r",)), ("c", 3, ("s",))], ("d", "e"))
     assert {r.category: r["count"] for r in queries.groupBy("category").count().collect()} == {
-        "software": 4, "recruiting": 3, "consulting": 3}
+        "a": 4, "b": 3, "c": 3}
     checked = {r.campaign_id: r for r in K.check_query_sets(K.with_fallback_query(df, queries)).collect()}
     assert checked[1].passed and checked[1].n_queries == 10
     assert not checked[2].passed and checked[2].n_queries == 1
