@@ -44,7 +44,7 @@ DISCOVERY = ("contact", "imprint")
 
 
 _QUERIES = f"""{_CAMPAIGNS},
-slots AS (SELECT 2 * (row_number() OVER (ORDER BY r_regionkey) - 1) + i AS slot, r_name AS category,
+slots AS (SELECT 2 * r_regionkey + i AS slot, r_name AS category,
     lower(r_name) || [' suppliers', ' makers'][i + 1] AS phrase, ['contact', 'imprint'][i + 1] AS discovery
   FROM region, (SELECT unnest([0, 1]) AS i)),
 queries AS (SELECT campaign_id, CAST(slot AS BIGINT) AS slot, category, locations[slot % len(locations) + 1] AS location,
