@@ -18,10 +18,10 @@ any number of nodes, so large blocks are not expanded into all their pairs.
 * 64 bits: two values differ in at most two bits exactly if some value differs
   from both in at most one. Nodes of large blocks meet on these values, 65 per
   node, and each value links its nodes to the smallest one.
-* Wide: each block compares its members with its smallest one (the hub).
-  Linked nodes are merged, blocks whose members are all one component are
-  done, and what is left is compared in pairs (small blocks) or with the next
-  hub (large blocks, again and again).
+* Wide: a few blocks first compare their members with their smallest one (the
+  hub), and linked nodes are merged. Then, in every block, members of different
+  components are compared: in pairs (small blocks) or with the hub, merging
+  again and going on with the next hub (large blocks).
 
 Either way every two members of a block are compared or joined through others,
 so no link between components is lost.
@@ -44,6 +44,7 @@ from leadloom.llm.components import components
 from leadloom.session import write_scratch
 
 SEED = 42
+FIRST_BLOCKS = 8
 _BREAK = re.compile(rb"[\x20\x09-\x0d]")
 _HASH = partial(xxhash.xxh64_intdigest, seed=SEED)
 _PIECE = 1 << 20
@@ -186,32 +187,37 @@ def link_wide(nodes: DataFrame, words: int, limit: int, block_bits: int = 24, pa
 
     ``nodes``: (node, fp), one row per distinct fingerprint. See the module text.
     """
-    members = write_scratch(nodes.select("node", F.explode(block_keys(F.col("fp"), words, block_bits)).alias("key")),
-                            "blocks")
-    shared = members.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    joined = None
+    keys = block_keys(F.col("fp"), words, block_bits)
+    # A few blocks join most copies of a text; after that only members of different components are compared.
+    some = nodes.select("node", F.explode(F.slice(keys, 1, FIRST_BLOCKS)).alias("key"))
+    hubs = some.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    pairs = some.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    joined = write_scratch(components(_verified(pairs, nodes, words, limit)), "joined")
+    members = write_scratch(_with_component(nodes, joined).select("node", "c", F.explode(keys).alias("key")), "blocks")
     while True:
-        met = members.join(shared, "key").where("node <> hub")
-        found = _verified(met.select(F.col("hub").alias("a"), F.col("node").alias("b")), nodes, words, limit)
-        joined = write_scratch(components(found if joined is None else found.unionByName(_as_edges(joined))), "joined")
-        # Members without the hub, which has been compared with all of them; only blocks with two components go on.
-        members = write_scratch(met.select("key", "node", "hub").join(joined, "node", "left").select(
-            "key", "node", "hub", F.coalesce("component", "node").alias("c")), "blocks")
         shared = write_scratch(
-            members.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n"), F.min("c").alias("c0"),
-                                       F.max("c").alias("c1")).where("c0 < c1").select("key", "hub", "n"), "open")
-        members = members.select("key", "node", "c")
+            members.groupBy("key").agg(F.min(F.struct("node", "c")).alias("hub"), F.count("*").alias("n"),
+                                       F.min("c").alias("c0"), F.max("c").alias("c1"))
+            .where("c0 < c1").select("key", "hub", "n"), "open")
         small = members.join(shared.where(F.col("n") <= pairs_up_to), "key", "left_semi")
         pairs = small.alias("a").join(small.alias("b"), (F.col("a.key") == F.col("b.key"))
                                       & (F.col("a.c") < F.col("b.c"))).select(
             F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-        found = write_scratch(_verified(pairs, nodes, words, limit), "links")
+        large = shared.where(F.col("n") > pairs_up_to)
+        met = members.join(large, "key").where(F.col("node") != F.col("hub.node"))
+        with_hub = met.where(F.col("c") != F.col("hub.c")).select(
+            F.col("hub.node").alias("a"), F.col("node").alias("b"))
+        found = write_scratch(_verified(pairs.unionByName(with_hub), nodes, words, limit), "links")
         if not found.isEmpty():
             joined = write_scratch(components(found.unionByName(_as_edges(joined))), "joined")
-        shared = shared.where(F.col("n") > pairs_up_to)
-        if shared.isEmpty():
+        if large.isEmpty():
             return joined
-        members = members.select("key", "node")
+        # The hub has been compared with its whole block; the others go on with their new components.
+        members = write_scratch(_with_component(met.select("key", "node"), joined), "blocks")
+
+
+def _with_component(df: DataFrame, joined: DataFrame) -> DataFrame:
+    return df.join(joined, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
 
 
 def _as_edges(joined: DataFrame) -> DataFrame:
