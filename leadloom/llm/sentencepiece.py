@@ -48,9 +48,9 @@ class Lattice:
         self.unknown = model.unk_id()
         self.unknown_score = min(s for _, s in self.pieces.values()) - 10
         self.longest = max(map(len, self.pieces))
-        self.heads: dict[str, int] = {}
-        for p in self.pieces:
-            self.heads[p[0]] = max(self.heads.get(p[0], 0), len(p))
+        # Every beginning of a piece: its (id, score) if it is one itself, else False.
+        self.begun: dict[str, tuple[int, float] | bool] = {p[:n]: False for p in self.pieces for n in range(1, len(p))}
+        self.begun.update(self.pieces)
         crossing = [p for p in self.pieces if (BLANK in p[1:] and p.strip(BLANK)) or ("\n" in p and len(p) > 1)]
         if crossing:
             raise ValueError("pieces that cross blanks or line ends are not supported")
@@ -65,8 +65,11 @@ class Lattice:
 
     def matches(self, s: str, i: int) -> list[tuple[int, float]]:
         """(end, score) of every piece at i; an unknown character is a piece of its own."""
-        out = [(j, f[1]) for j in range(i + 1, min(len(s), i + self.heads.get(s[i], 0)) + 1)
-               if (f := self.pieces.get(s[i:j])) is not None]
+        out, j, begun = [], i + 1, self.begun
+        while j <= len(s) and (found := begun.get(s[i:j])) is not None:
+            if found:
+                out.append((j, found[1]))
+            j += 1
         return out if out and out[0][0] == i + 1 else [(i + 1, self.unknown_score), *out]
 
     def ids_of(self, token: str) -> list[int]:
@@ -82,21 +85,27 @@ class Lattice:
         """
         end = len(s) if end is None else end
         before = end if before is None else before
-        best, back = [NEVER] * (end + 1), [-1] * (end + 1)
+        best, back, ids = [NEVER] * (end + 1), [-1] * (end + 1), [-1] * (end + 1)
         best[start] = 0.0
+        begun = self.begun
         for i in range(start, min(before, end)):
-            if best[i] == NEVER:
+            so_far, j = best[i], i + 1
+            if so_far == NEVER:
                 continue
-            for j, score in self.matches(s, i):
-                if j <= end and best[i] + score > best[j]:
-                    best[j], back[j] = best[i] + score, i
-        cuts, at = [], end
+            found = begun.get(s[i:j])
+            if not found and so_far + self.unknown_score > best[j]:
+                best[j], back[j], ids[j] = so_far + self.unknown_score, i, -1
+            while found is not None:
+                if found and so_far + found[1] > best[j]:
+                    best[j], back[j], ids[j] = so_far + found[1], i, found[0]
+                j += 1
+                found = begun.get(s[i:j]) if j <= end else None
+        way, at = [], end
         while at > start:
-            cuts.append(at)
+            way.append(ids[at] if ids[at] >= 0 else self.ids_of(s[at - 1])[::-1])
             at = back[at]
-        cuts.append(start)
-        cuts.reverse()
-        return [x for a, b in zip(cuts, cuts[1:]) for x in self.ids_of(s[a:b])], best[end]
+        way.reverse()
+        return [x for w in way for x in (reversed(w) if isinstance(w, list) else (w,))], best[end]
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
