@@ -44,7 +44,7 @@ from leadloom.llm.components import components
 from leadloom.session import write_scratch
 
 SEED = 42
-FIRST_BLOCKS = 8
+FIRST_BLOCKS = 24
 _BREAK = re.compile(rb"[\x20\x09-\x0d]")
 _HASH = partial(xxhash.xxh64_intdigest, seed=SEED)
 _PIECE = 1 << 20
