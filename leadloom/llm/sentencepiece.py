@@ -37,7 +37,7 @@ _UNITS = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n[^{BLANK}\n]*|[^{BLANK}\n]+")
 class Lattice:
     """Pieces and scores of a model file, with the best segmentations of frequent units."""
 
-    def __init__(self, path: str, most_units: int = 800_000):
+    def __init__(self, path: str, most_units: int = 500_000):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -48,9 +48,14 @@ class Lattice:
         self.unknown = model.unk_id()
         self.unknown_score = min(s for _, s in self.pieces.values()) - 10
         self.longest = max(map(len, self.pieces))
-        # Every beginning of a piece: its (id, score) if it is one itself, else False.
-        self.begun: dict[str, tuple[int, float] | bool] = {p[:n]: False for p in self.pieces for n in range(1, len(p))}
-        self.begun.update(self.pieces)
+        # A tree of characters: character -> (children, id or -1, score).
+        self.tree: dict = {}
+        for p, (i, score) in self.pieces.items():
+            kids = self.tree
+            for c in p[:-1]:
+                kids = kids.setdefault(c, ({}, -1, 0.0))[0]
+            kids[p[-1]] = (kids[p[-1]][0] if p[-1] in kids else {}, i, score)
+        self._flatten()
         crossing = [p for p in self.pieces if (BLANK in p[1:] and p.strip(BLANK)) or ("\n" in p and len(p) > 1)]
         if crossing:
             raise ValueError("pieces that cross blanks or line ends are not supported")
@@ -63,13 +68,88 @@ class Lattice:
         self.known = _Known(self)
         self.scores: dict[str, float] = {}
 
+    def _flatten(self) -> None:
+        """The tree as arrays: sorted (node, character) keys, the node each leads to, and every node's id and score."""
+        edges, ids, scores, open_ = [], [-1], [0.0], [(0, self.tree)]
+        while open_:
+            node, kids = open_.pop()
+            for c, (below, found, score) in kids.items():
+                edges.append((node << 21 | ord(c), len(ids)))
+                open_.append((len(ids), below))
+                ids.append(found)
+                scores.append(score)
+        edges.sort()
+        self.keys, self.leads = np.array([k for k, _ in edges]), np.array([n for _, n in edges])
+        self.node_ids, self.node_scores = np.array(ids, np.int32), np.array(scores)
+
+    def learn(self, units: set[str]) -> dict[str, tuple[bytes, float]]:
+        """Ids and score of every unit as in ``segment``, for all units of a length at once."""
+        by_length: dict[int, list[str]] = {}
+        for u in units:
+            by_length.setdefault(len(u), []).append(u)
+        out = {}
+        for size, same in by_length.items():
+            if len(same) * 8 < size:  # few long units: one by one
+                found = [self.segment(u) for u in same]
+                out.update((u, (array("I", ids).tobytes(), score)) for u, (ids, score) in zip(same, found))
+                continue
+            step = max(1, (1 << 20) // size)
+            for at in range(0, len(same), step):
+                self._learn_same(same[at:at + step], size, out)
+        return out
+
+    def _learn_same(self, units: list[str], size: int, out: dict) -> None:
+        n = len(units)
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<i4").reshape(n, size).T.astype(np.int64)
+        best = np.full((size + 1, n), NEVER)
+        back, ids = np.zeros((size + 1, n), np.int32), np.full((size + 1, n), -1, np.int32)
+        best[0] = 0.0
+        for i in range(size):
+            rows, node = np.arange(n), np.zeros(n, np.int64)
+            lone = best[i] + self.unknown_score  # only where the character is no piece
+            for j in range(i, min(size, i + self.longest)):
+                wanted = node << 21 | codes[j][rows]
+                at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+                there = self.keys[at] == wanted
+                rows, node = rows[there], self.leads[at[there]]
+                ends = self.node_ids[node] >= 0
+                r, to = rows[ends], node[ends]
+                if j == i:
+                    lone[r] = NEVER
+                    worse = lone > best[i + 1]
+                    best[i + 1][worse], back[i + 1][worse], ids[i + 1][worse] = lone[worse], i, -1
+                score = best[i][r] + self.node_scores[to]
+                better = score > best[j + 1][r]
+                r = r[better]
+                best[j + 1][r], back[j + 1][r], ids[j + 1][r] = score[better], i, self.node_ids[to[better]]
+                if not len(rows):
+                    break
+        way, count, at, rows = np.zeros((n, size), "<u4"), np.zeros(n, np.int64), np.full(n, size), np.arange(n)
+        plain = np.ones(n, bool)
+        for k in range(size - 1, -1, -1):
+            found = ids[at, rows]
+            plain[rows[found < 0]] = False
+            way[rows, k] = found
+            count[rows] += 1
+            at = back[at, rows]
+            rows, at = rows[at > 0], at[at > 0]
+            if not len(rows):
+                break
+        data, ends = way.tobytes(), best[size].tolist()
+        for k, (u, c, easy) in enumerate(zip(units, count.tolist(), plain.tolist())):
+            last = (k + 1) * size * 4
+            out[u] = (data[last - 4 * c:last] if easy else array("I", self.segment(u)[0]).tobytes(), ends[k])
+
     def matches(self, s: str, i: int) -> list[tuple[int, float]]:
         """(end, score) of every piece at i; an unknown character is a piece of its own."""
-        out, j, begun = [], i + 1, self.begun
-        while j <= len(s) and (found := begun.get(s[i:j])) is not None:
-            if found:
-                out.append((j, found[1]))
-            j += 1
+        out, kids = [], self.tree
+        for j in range(i, len(s)):
+            node = kids.get(s[j])
+            if node is None:
+                break
+            kids, found, score = node
+            if found >= 0:
+                out.append((j + 1, score))
         return out if out and out[0][0] == i + 1 else [(i + 1, self.unknown_score), *out]
 
     def ids_of(self, token: str) -> list[int]:
@@ -87,19 +167,22 @@ class Lattice:
         before = end if before is None else before
         best, back, ids = [NEVER] * (end + 1), [-1] * (end + 1), [-1] * (end + 1)
         best[start] = 0.0
-        begun = self.begun
+        tree, most = self.tree, self.longest
         for i in range(start, min(before, end)):
-            so_far, j = best[i], i + 1
+            so_far, j, kids = best[i], i, tree
             if so_far == NEVER:
                 continue
-            found = begun.get(s[i:j])
-            if not found and so_far + self.unknown_score > best[j]:
-                best[j], back[j], ids[j] = so_far + self.unknown_score, i, -1
-            while found is not None:
-                if found and so_far + found[1] > best[j]:
-                    best[j], back[j], ids[j] = so_far + found[1], i, found[0]
+            node = tree.get(s[i])
+            if (node is None or node[1] < 0) and so_far + self.unknown_score > best[i + 1]:
+                best[i + 1], back[i + 1], ids[i + 1] = so_far + self.unknown_score, i, -1
+            for c in s[i:min(end, i + most)]:
+                node = kids.get(c)
+                if node is None:
+                    break
                 j += 1
-                found = begun.get(s[i:j]) if j <= end else None
+                kids, found, score = node
+                if found >= 0 and so_far + score > best[j]:
+                    best[j], back[j], ids[j] = so_far + score, i, found
         way, at = [], end
         while at > start:
             way.append(ids[at] if ids[at] >= 0 else self.ids_of(s[at - 1])[::-1])
@@ -107,21 +190,28 @@ class Lattice:
         way.reverse()
         return [x for w in way for x in (reversed(w) if isinstance(w, list) else (w,))], best[end]
 
+    def all_ids(self, texts: list[str]) -> list[bytes]:
+        """``ids`` of some texts; their new units are learned together."""
+        self.known.learn({w for t in texts if not _spaced(t) for w in t.replace("\n", " \n").split(" ")})
+        return list(map(self.ids, texts))
+
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
         if not text:
             return b""
-        if "  " in text or text[0] == " " or BLANK in text:
+        if _spaced(text):
             units = _UNITS.findall(BLANK + text.replace(" ", BLANK))
             return b"".join(map(self.known.by_unit, units))
         return b"".join(map(self.known.__getitem__, text.replace("\n", " \n").split(" ")))
 
-    def score(self, unit: str) -> float:
-        if unit not in self.scores:
-            if len(self.scores) >= self.most_units:
-                self.scores.clear()
-            self.scores[unit] = self.segment(unit)[1]
-        return self.scores[unit]
+    def total(self, units: list[str]) -> float:
+        """Sum of the best scores of some units."""
+        new = {u for u in units if u not in self.scores}
+        if len(self.scores) + len(new) > self.most_units:
+            self.scores.clear()
+            new = set(units)
+        self.scores.update((u, score) for u, (_, score) in self.learn(new).items())
+        return sum(map(self.scores.__getitem__, units))
 
     # --- chunks
 
@@ -141,7 +231,7 @@ class Lattice:
         ways[first] = 0.0
         for i in range(first - 1, -1, -1):
             ways[i] = max((score + ways[j] for j, score in self.matches(s, i) if j <= first), default=NEVER)
-        middle = sum(self.score(s[a:b]) for a, b in zip(inner, inner[1:]))
+        middle = self.total([s[a:b] for a, b in zip(inner, inner[1:])])
         return np.array(ways[:n])[:, None] + middle + self._ends(s, last, size)[None, :]
 
     def _ends(self, s: str, start: int, size: int) -> np.ndarray:
@@ -162,7 +252,14 @@ class Lattice:
             return array("I", self.segment(s, entry, end, size)[0]).tobytes()
         head = array("I", self.segment(s[:cuts[0]], entry)[0]).tobytes()
         tail = array("I", self.segment(s, cuts[-1], end, size)[0]).tobytes()
-        return head + b"".join(self.known.by_unit(s[a:b]) for a, b in zip(cuts, cuts[1:])) + tail
+        units = [s[a:b] for a, b in zip(cuts, cuts[1:])]
+        self.known.learn({u[1:] if u[0] == BLANK else u for u in units if u[:2] != BLANK * 2})
+        return head + b"".join(map(self.known.by_unit, units)) + tail
+
+
+def _spaced(text: str) -> bool:
+    """Whether units may begin with several blanks."""
+    return "  " in text or text[:1] == " " or BLANK in text
 
 
 class _Known(dict):
@@ -171,13 +268,26 @@ class _Known(dict):
     def __init__(self, lattice: Lattice):
         super().__init__()
         self.lattice = lattice
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, key: str) -> bytes:
+    def learn(self, keys: set[str]) -> None:
+        """Add all keys. When full, what was used since the last time stays at hand, the rest goes."""
         if len(self) >= self.lattice.most_units:
+            self.older = dict(self)
             self.clear()
-        unit = key if key.startswith("\n") else BLANK + key
-        found = self[key] = array("I", self.lattice.segment(unit)[0]).tobytes()
-        return found
+        units = {}
+        for key in keys:
+            if key in self:
+                continue
+            if key in self.older:
+                self[key] = self.older[key]
+            else:
+                units[key if key.startswith("\n") else BLANK + key] = key
+        self.update((units[u], ids) for u, (ids, _) in self.lattice.learn(units.keys()).items())
+
+    def __missing__(self, key: str) -> bytes:
+        self.learn({key})
+        return self[key]
 
     def by_unit(self, unit: str) -> bytes:
         if unit[0] == BLANK and unit[1:2] != BLANK:
@@ -242,9 +352,9 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[
     def plain(batches):
         model = lattice(model_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = [model.ids(t) for t in part.column(1).to_pylist()]
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
+                found = model.all_ids(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(found)], names=["kept", "ids"])
 
     done = short.mapInArrow(plain, f"kept {kept_type}, ids array<int>")
