@@ -82,23 +82,27 @@ class Lattice:
         self.keys, self.leads = np.array([k for k, _ in edges]), np.array([n for _, n in edges])
         self.node_ids, self.node_scores = np.array(ids, np.int32), np.array(scores)
 
-    def learn(self, units: set[str]) -> dict[str, tuple[bytes, float]]:
-        """Ids and score of every unit as in ``segment``, for all units of a length at once."""
+    def learn(self, units: set[str]) -> tuple[dict[str, bytes], dict[str, float]]:
+        """Ids and scores of all units as by ``segment``, for all units of a length at once."""
         by_length: dict[int, list[str]] = {}
         for u in units:
             by_length.setdefault(len(u), []).append(u)
-        out = {}
+        all_ids, scores = {}, {}
         for size, same in by_length.items():
             if len(same) * 8 < size:  # few long units: one by one
-                found = [self.segment(u) for u in same]
-                out.update((u, (array("I", ids).tobytes(), score)) for u, (ids, score) in zip(same, found))
+                for u in same:
+                    ids, scores[u] = self.segment(u)
+                    all_ids[u] = array("I", ids).tobytes()
                 continue
             step = max(1, (1 << 20) // size)
             for at in range(0, len(same), step):
-                self._learn_same(same[at:at + step], size, out)
-        return out
+                part = same[at:at + step]
+                ids, best = self._same_length(part, size)
+                all_ids.update(zip(part, ids))
+                scores.update(zip(part, best))
+        return all_ids, scores
 
-    def _learn_same(self, units: list[str], size: int, out: dict) -> None:
+    def _same_length(self, units: list[str], size: int) -> tuple[list[bytes], list[float]]:
         n = len(units)
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<i4").reshape(n, size).T.astype(np.int64)
         best = np.full((size + 1, n), NEVER)
@@ -135,10 +139,11 @@ class Lattice:
             rows, at = rows[at > 0], at[at > 0]
             if not len(rows):
                 break
-        data, ends = way.tobytes(), best[size].tolist()
-        for k, (u, c, easy) in enumerate(zip(units, count.tolist(), plain.tolist())):
-            last = (k + 1) * size * 4
-            out[u] = (data[last - 4 * c:last] if easy else array("I", self.segment(u)[0]).tobytes(), ends[k])
+        data, stops = way.tobytes(), (np.arange(1, n + 1) * size * 4)
+        found = [data[a:b] for a, b in zip((stops - 4 * count).tolist(), stops.tolist())]
+        for k in np.flatnonzero(~plain).tolist():  # characters without a piece
+            found[k] = array("I", self.segment(units[k])[0]).tobytes()
+        return found, best[size].tolist()
 
     def matches(self, s: str, i: int) -> list[tuple[int, float]]:
         """(end, score) of every piece at i; an unknown character is a piece of its own."""
@@ -210,7 +215,7 @@ class Lattice:
         if len(self.scores) + len(new) > self.most_units:
             self.scores.clear()
             new = set(units)
-        self.scores.update((u, score) for u, (_, score) in self.learn(new).items())
+        self.scores.update(self.learn(new)[1])
         return sum(map(self.scores.__getitem__, units))
 
     # --- chunks
@@ -283,7 +288,8 @@ class _Known(dict):
                 self[key] = self.older[key]
             else:
                 units[key if key.startswith("\n") else BLANK + key] = key
-        self.update((units[u], ids) for u, (ids, _) in self.lattice.learn(units.keys()).items())
+        ids, _ = self.lattice.learn(units.keys())
+        self.update(zip(map(units.__getitem__, ids), ids.values()))
 
     def __missing__(self, key: str) -> bytes:
         self.learn({key})
