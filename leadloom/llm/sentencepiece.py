@@ -1,25 +1,27 @@
-"""SentencePiece encoding as a max-plus problem, and decoding.
+"""SentencePiece encoding by the model's own method, and decoding.
 
-A text's pieces are the segmentation with the largest sum of piece scores. A
-short text is one dynamic program; blanks and line ends cut it into units that
-no piece crosses, whose best segmentations are kept per worker.
+Blanks and line ends cut a text into units that no piece crosses, so each unit
+is encoded on its own; results of frequent units are kept per worker.
 
-A giant text is split into chunks. A boundary's state says how many characters
+A model of the BPE kind joins neighbouring pieces in the order of their ranks.
+Every unit gets the library's own merge result; a giant text is cut into chunks
+at unit borders. No merge crosses a border, so ids are those of the library.
+
+For a model of the unigram kind a text's pieces are the segmentation with the
+largest sum of piece scores, a max-plus problem (``Lattice``). A short text is
+one dynamic program. A giant text is split into chunks. A boundary's state says how many characters
 after the boundary the piece that crosses it ends (0: none crosses). Each
 chunk gives a matrix of best scores from entry to exit state; max-plus
 products of matrices are associative, so a tree of groups of chunks combines
 them. The whole text enters and ends in state 0; going down the tree fixes the
 states of all boundaries; then every chunk is traced back on its own.
-
-The scores are those of the given model file. For a file of the BPE kind
-they are its merge ranks, so ids are the best segmentation by these scores and
-may differ from the library's merge order.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,19 +34,76 @@ from leadloom.session import write_scratch
 BLANK = "▁"
 NEVER = -np.inf
 _UNITS = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n[^{BLANK}\n]*|[^{BLANK}\n]+")
+_BORDER = re.compile(f"(?<!{BLANK}){BLANK}|\n")
 
 
-class Lattice:
-    """Pieces and scores of a model file, with the best segmentations of frequent units."""
+class _Pieces:
+    """Pieces and scores of a model file, with the ids of frequent units; ``learn`` and ``unit_ids`` are the method's."""
 
     def __init__(self, path: str, most_units: int = 500_000):
         from sentencepiece import SentencePieceProcessor
 
-        model = SentencePieceProcessor(model_file=path)
+        self.model = model = SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         normal = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.pieces = {model.id_to_piece(i): (i, model.get_score(i)) for i in normal}
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in range(n) if model.is_byte(i)}
+        crossing = [p for p in self.pieces if (BLANK in p[1:] and p.strip(BLANK)) or ("\n" in p and len(p) > 1)]
+        if crossing:
+            raise ValueError("pieces that cross blanks or line ends are not supported")
+        self.texts = [b""] * n
+        for p, (i, _) in self.pieces.items():
+            self.texts[i] = p.replace(BLANK, " ").encode()
+        for b, i in self.bytes.items():
+            self.texts[i] = bytes([b])
+        self.most_units = most_units
+        self.known = _Known(self)
+
+    def all_ids(self, texts: list[str]) -> list[bytes]:
+        """``ids`` of some texts; their new units are learned together."""
+        self.known.learn({w for t in texts if not _spaced(t) for w in t.replace("\n", " \n").split(" ")})
+        return list(map(self.ids, texts))
+
+    def ids(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of a text."""
+        if not text:
+            return b""
+        if _spaced(text):
+            units = _UNITS.findall(BLANK + text.replace(" ", BLANK))
+            return b"".join(map(self.known.by_unit, units))
+        return b"".join(map(self.known.__getitem__, text.replace("\n", " \n").split(" ")))
+
+
+class Merges(_Pieces):
+    """A model of the BPE kind: every unit has the ids that the library's merges give."""
+
+    def __init__(self, path: str, most_units: int = 500_000):
+        super().__init__(path, most_units)
+        # Units bring their own blank: a second normalizer_spec, merged into the first, has add_dummy_prefix (3) off.
+        with open(path, "rb") as f:
+            self.model.load_from_serialized_proto(f.read() + b"\x1a\x02\x18\x00")
+
+    def learn(self, units: set[str]) -> tuple[dict[str, bytes], None]:
+        """Ids of all units; merge results have no scores."""
+        units = list(units)
+        return dict(zip(units, (array("I", x).tobytes() for x in self.model.encode(units, num_threads=1)))), None
+
+    def unit_ids(self, unit: str) -> bytes:
+        return array("I", self.model.encode(unit)).tobytes()
+
+    def cut_ids(self, s: str) -> bytes:
+        """Ids of a chunk that starts at a unit border; ``s`` has its blanks as U+2581."""
+        units = _UNITS.findall(s)
+        self.known.learn({u[1:] if u[0] == BLANK else u for u in units if u[0] == "\n" or (u[0] == BLANK and u[1:2] != BLANK)})
+        return b"".join(map(self.known.by_unit, units))
+
+
+class Lattice(_Pieces):
+    """Best segmentations by the sum of piece scores, as a model of the unigram kind has them."""
+
+    def __init__(self, path: str, most_units: int = 500_000):
+        super().__init__(path, most_units)
+        model = self.model
         self.unknown = model.unk_id()
         self.unknown_score = min(s for _, s in self.pieces.values()) - 10
         self.longest = max(map(len, self.pieces))
@@ -56,18 +115,11 @@ class Lattice:
                 kids = kids.setdefault(c, ({}, -1, 0.0))[0]
             kids[p[-1]] = (kids[p[-1]][0] if p[-1] in kids else {}, i, score)
         self._flatten()
-        crossing = [p for p in self.pieces if (BLANK in p[1:] and p.strip(BLANK)) or ("\n" in p and len(p) > 1)]
-        if crossing:
-            raise ValueError("pieces that cross blanks or line ends are not supported")
-        self.texts = [b""] * n
-        for p, (i, _) in self.pieces.items():
-            self.texts[i] = p.replace(BLANK, " ").encode()
-        for b, i in self.bytes.items():
-            self.texts[i] = bytes([b])
-        self.most_units = most_units
-        self.known = _Known(self)
         self.scores: dict[str, float] = {}
 
+    def unit_ids(self, unit: str) -> bytes:
+        return array("I", self.segment(unit)[0]).tobytes()
+
     def _flatten(self) -> None:
         """The tree as arrays: sorted (node, character) keys, the node each leads to, and every node's id and score."""
         edges, ids, scores, open_ = [], [-1], [0.0], [(0, self.tree)]
@@ -195,20 +247,6 @@ class Lattice:
         way.reverse()
         return [x for w in way for x in (reversed(w) if isinstance(w, list) else (w,))], best[end]
 
-    def all_ids(self, texts: list[str]) -> list[bytes]:
-        """``ids`` of some texts; their new units are learned together."""
-        self.known.learn({w for t in texts if not _spaced(t) for w in t.replace("\n", " \n").split(" ")})
-        return list(map(self.ids, texts))
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of a text."""
-        if not text:
-            return b""
-        if _spaced(text):
-            units = _UNITS.findall(BLANK + text.replace(" ", BLANK))
-            return b"".join(map(self.known.by_unit, units))
-        return b"".join(map(self.known.__getitem__, text.replace("\n", " \n").split(" ")))
-
     def total(self, units: list[str]) -> float:
         """Sum of the best scores of some units."""
         new = {u for u in units if u not in self.scores}
@@ -270,14 +308,14 @@ def _spaced(text: str) -> bool:
 class _Known(dict):
     """Text between blanks -> ids. A key has no blank in front; one that starts with a line end has none in the text."""
 
-    def __init__(self, lattice: Lattice):
+    def __init__(self, pieces: _Pieces):
         super().__init__()
-        self.lattice = lattice
+        self.pieces = pieces
         self.older: dict[str, bytes] = {}
 
     def learn(self, keys: set[str]) -> None:
         """Add all keys. When full, what was used since the last time stays at hand, the rest goes."""
-        if len(self) >= self.lattice.most_units:
+        if len(self) >= self.pieces.most_units:
             self.older = dict(self)
             self.clear()
         units = {}
@@ -288,7 +326,7 @@ class _Known(dict):
                 self[key] = self.older[key]
             else:
                 units[key if key.startswith("\n") else BLANK + key] = key
-        ids, _ = self.lattice.learn(units.keys())
+        ids, _ = self.pieces.learn(units.keys())
         self.update(zip(map(units.__getitem__, ids), ids.values()))
 
     def __missing__(self, key: str) -> bytes:
@@ -300,16 +338,53 @@ class _Known(dict):
             return self[unit[1:]]
         if unit[0] == "\n":
             return self[unit]
-        return array("I", self.lattice.segment(unit)[0]).tobytes()
+        return self.pieces.unit_ids(unit)
 
 
-_KEPT: dict[str, Lattice] = {}
+_KEPT: dict[str, Merges | Lattice] = {}
+UNIGRAM, BPE = 1, 2
 
 
-def lattice(path: str) -> Lattice:
-    """One per Python worker."""
+def _fields(data: bytes):
+    """(number, value) of every field of a protocol buffer message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            out |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return out
+
+    while at < len(data):
+        key = number()
+        if key & 7 == 0:
+            value = number()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or number()
+            value = data[at:at + size]
+            at += size
+        yield key >> 3, value
+
+
+def kind_of(path: str) -> int:
+    """``model_type`` (3) of the ``trainer_spec`` (2) of a model file; unigram if none is given."""
+    with open(path, "rb") as f:
+        spec = next((v for n, v in _fields(f.read()) if n == 2), b"")
+    return next((v for n, v in _fields(spec) if n == 3), UNIGRAM)
+
+
+def pieces_of(path: str) -> Merges | Lattice:
+    """One per Python worker, by the method of the model's kind."""
     if path not in _KEPT:
-        _KEPT[path] = Lattice(path)
+        kind = kind_of(path)
+        if kind not in (UNIGRAM, BPE):
+            raise ValueError("only models of the unigram and BPE kinds are supported")
+        _KEPT[path] = Merges(path) if kind == BPE else Lattice(path)
     return _KEPT[path]
 
 
@@ -345,8 +420,9 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[
 
     Null and empty texts have no ids; repeated rows get a row each; an empty
     table gives an empty table. Texts of more than ``chunk_chars`` characters
-    go through chunks, with the same scores; of equally good segmentations the
-    chosen one may differ.
+    go through chunks: with the same ids for a model of the BPE kind, with the
+    same scores for one of the unigram kind, where of equally good
+    segmentations the chosen one may differ.
     """
     keep = list(keep)
     packed = docs.select(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in keep]).alias("kept"),
@@ -356,7 +432,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[
     kept_type = packed.schema["kept"].dataType.simpleString()
 
     def plain(batches):
-        model = lattice(model_path)
+        model = pieces_of(model_path)
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)
@@ -368,7 +444,9 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[
                            .withColumn("row", F.monotonically_increasing_id()), "giants")
     if giants.isEmpty():
         return done.select(*names, "ids")
-    ids = _encode_chunks(giants.select("row", "text"), model_path, chunk_chars, group)
+    rows = giants.select("row", "text")
+    ids = (_encode_cut(rows, model_path, chunk_chars) if kind_of(model_path) == BPE
+           else _encode_chunks(rows, model_path, chunk_chars, group))
     return done.unionByName(giants.select("row", "kept").join(ids, "row").select("kept", "ids")).select(*names, "ids")
 
 
@@ -377,10 +455,43 @@ def _lists(found: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.frombuffer(b"".join(found), "<i4")))
 
 
+def chunks_at_units(s: str, chunk_chars: int) -> Iterator[str]:
+    """Parts of at least ``chunk_chars`` characters (but the last) that end at unit borders."""
+    at = 0
+    while at < len(s):
+        found = _BORDER.search(s, at + chunk_chars)
+        end = found.start() if found else len(s)
+        yield s[at:end]
+        at = end
+
+
+def _encode_cut(giants: DataFrame, model_path: str, chunk_chars: int) -> DataFrame:
+    """(row, ids) of giant texts, cut at unit borders."""
+    def cut(frames):
+        for frame in frames:
+            for row, text in zip(frame.row, frame.text):
+                for i, s in enumerate(chunks_at_units(BLANK + text.replace(" ", BLANK), chunk_chars)):
+                    yield pd.DataFrame({"row": [row], "i": [i], "s": [s]})
+
+    def run(frames):
+        model = pieces_of(model_path)
+        for frame in frames:
+            yield pd.DataFrame({"row": frame.row, "i": frame.i, "ids": [np.frombuffer(model.cut_ids(s), "<i4") for s in frame.s]})
+
+    chunks = write_scratch(giants.mapInPandas(cut, "row bigint, i bigint, s string"), "chunks")
+    return _joined(chunks.repartition("row", "i").mapInPandas(run, "row bigint, i bigint, ids array<int>"))
+
+
+def _joined(parts: DataFrame) -> DataFrame:
+    """(row, ids) from the ids of all chunks (row, i, ids)."""
+    return parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("parts")).select(
+        "row", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
+
+
 def _encode_chunks(giants: DataFrame, model_path: str, chunk_chars: int, group: int) -> DataFrame:
     """(row, ids) of giant texts."""
     def cut(frames):
-        over = lattice(model_path).longest
+        over = pieces_of(model_path).longest
         for frame in frames:
             for row, text in zip(frame.row, frame.text):
                 s = BLANK + text.replace(" ", BLANK)
@@ -392,7 +503,7 @@ def _encode_chunks(giants: DataFrame, model_path: str, chunk_chars: int, group:
                     yield pd.DataFrame({"row": [row], "i": [i], "size": [size], "s": [s[at:at + size + over - 1]]})
 
     def matrices(frames):
-        model = lattice(model_path)
+        model = pieces_of(model_path)
         for frame in frames:
             yield pd.DataFrame({"row": frame.row, "i": frame.i, "m": [
                 model.matrix(s, size).ravel() for s, size in zip(frame.s, frame["size"])]})
@@ -409,7 +520,7 @@ def _encode_chunks(giants: DataFrame, model_path: str, chunk_chars: int, group:
                              "leave": [b for _, b in states]})
 
     def trace(frames):
-        model = lattice(model_path)
+        model = pieces_of(model_path)
         for frame in frames:
             ids = [np.frombuffer(model.traced(s, size, a, b), "<i4") for s, size, a, b in
                    zip(frame.s, frame["size"], frame.entry, frame.leave)]
@@ -430,9 +541,7 @@ def _encode_chunks(giants: DataFrame, model_path: str, chunk_chars: int, group:
         inner = level.withColumn("up", F.floor(F.col("i") / group)).join(outer, ["row", "up"])
         states = write_scratch(inner.groupBy("row", "up").applyInPandas(
             descend, "row bigint, i bigint, entry int, leave int"), "states")
-    traced = chunks.join(states, ["row", "i"]).mapInPandas(trace, "row bigint, i bigint, ids array<int>")
-    return traced.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("parts")).select(
-        "row", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
+    return _joined(chunks.join(states, ["row", "i"]).mapInPandas(trace, "row bigint, i bigint, ids array<int>"))
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", keep: list[str] = ()) -> DataFrame:
@@ -446,7 +555,7 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", keep: list
     kept_type = packed.schema["kept"].dataType.simpleString()
 
     def run(batches):
-        texts = lattice(model_path).texts
+        texts = pieces_of(model_path).texts
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
