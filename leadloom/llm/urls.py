@@ -10,31 +10,19 @@ from __future__ import annotations
 import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-BUCKETS, SIZES = 1 << 15, (3, 4, 5)
+from leadloom.llm import url_table
 
-#: Hosts of the labelled table: what a list keeper calls wanted or unwanted.
-UNWANTED = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x", "online-casino", "bet-bonus",
-            "spam-links", "pills-shop", "xxx-video", "adult-cams", "free-money", "cheap-meds", "slots-win", "ad-clicks",
-            "track-ads", "porn-hd", "link-farm", "poker-bets", "viagra-sale", "win-prize", "loan-fast", "sex-chat")
-WANTED = ("thion", "therer", "tionble", "ththat", "notes", "weather", "library", "museum", "garden", "history", "science",
-          "thnder", "ressou", "school", "recipes", "travel", "thesis", "mineral", "orchard", "railway", "thing", "estate",
-          "handin", "wether", "island", "thonor", "statue", "mentor", "theorin", "reading", "nation", "thered", "attire",
-          "lyric", "shelter", "thistle", "anthem", "ondine", "heater", "tinder")
-PREFIXES = ("", "www.", "m.", "blog.")
-ENDS = (".example.com/en/", ".example.net/fr/", ".example.org/de/", ".example.com/es/")
+BUCKETS, SIZES = 1 << 18, (3, 4, 5)
 
 
 def labelled_hosts() -> list[tuple[str, int]]:
-    """(url, label) rows; every name appears with every prefix and ending, so these carry no weight."""
-    return [(f"https://{p}{name}{end}{(n * 37 + 11 * k) % 1000}", label) for label, names in
-            ((1, UNWANTED), (0, WANTED)) for n, name in enumerate(names) for k, (p, end) in
-            enumerate(product(PREFIXES, ENDS))]
+    """(url, label) rows; see ``url_table``."""
+    return [(url, label) for url, _, _, label in url_table.labelled()]
 
 
 @dataclass(frozen=True)
@@ -97,10 +85,13 @@ class Model:
         return float(1 / (1 + np.exp(-z)))
 
 
-def fit(labelled: DataFrame, max_rows: int = 10_000, rounds: int = 300, rate: float = 2.0, decay: float = 1e-4) -> Model:
+def fit(labelled: DataFrame, max_rows: int = 10_000, rounds: int = 300, rate: float = 2.0, decay: float = 1e-5,
+        unwanted: float = 0.3, momentum: float = 0.9) -> Model:
     """Logistic regression by gradient descent on at most ``max_rows`` labelled rows (host, path, label).
 
-    Rows without a label are left out; an empty table gives a model that blocks nothing.
+    ``unwanted``: the share of the unwanted label in the loss; below a half, a
+    URL without evidence is allowed. Rows without a label are left out; an
+    empty table gives a model that blocks nothing.
     """
     rows = labelled.where("label is not null").orderBy("host", "path", "label").limit(max_rows).collect()
     weights, bias = np.zeros(BUCKETS), 0.0
@@ -112,12 +103,15 @@ def fit(labelled: DataFrame, max_rows: int = 10_000, rounds: int = 300, rate: fl
     flat = np.concatenate(found)
     share = 1 / np.sqrt(sizes)
     y = np.array([float(r.label) for r in rows])
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    weight = np.where(y == 1, unwanted / max(1, y.sum()), (1 - unwanted) / max(1, (1 - y).sum()))
+    speed, bias_speed = np.zeros(BUCKETS), 0.0
     for _ in range(rounds):
         z = bias + np.bincount(at, weights[flat], len(rows)) * share
         slope = (1 / (1 + np.exp(-z)) - y) * weight
-        weights -= rate * 10 * (np.bincount(flat, (slope * share)[at], BUCKETS) + decay * weights)
-        bias -= rate * slope.sum()
+        speed = momentum * speed - rate * 10 * (np.bincount(flat, (slope * share)[at], BUCKETS) + decay * weights)
+        bias_speed = momentum * bias_speed - rate * slope.sum()
+        weights += speed
+        bias += bias_speed
     return Model(weights, bias)
 
 
