@@ -25,12 +25,15 @@ any number of nodes, so large blocks are not expanded into all their pairs.
 
 Either way every two members of a block are compared or joined through others,
 so no link between components is lost.
+
+With ``jaccard`` wide fingerprints only find candidates: blocks and a loose bit
+limit; the exact similarity of the stored shingle sets decides about the link.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -92,11 +95,17 @@ def simhash(data: bytes, shingle: int, words: int = 1, once: bool = False) -> np
 
     ``once``: count each distinct shingle once instead of every occurrence.
     """
+    return _voted([distinct_shingles(data, shingle)] if once else shingle_hashes(data, shingle), words)
+
+
+def distinct_shingles(data: bytes, shingle: int) -> np.ndarray:
+    """The different shingle hashes of a text in ascending order."""
+    found = list(shingle_hashes(data, shingle))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def _voted(runs: Iterable[np.ndarray], words: int) -> np.ndarray:
     votes, total = np.zeros(64 * words, np.int64), 0
-    runs = shingle_hashes(data, shingle)
-    if once:
-        found = list(runs)
-        runs = iter([np.unique(np.concatenate(found))] if found else [])
     for hashes in runs:
         total += len(hashes)
         step = max(255, (1 << 17) // words // 255 * 255)
@@ -109,22 +118,31 @@ def simhash(data: bytes, shingle: int, words: int = 1, once: bool = False) -> np
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3,
-                 words: int = 1, once: bool = False) -> DataFrame:
-    """(id, key, fp) per row; fp: array of ``words`` bigints; key: ``row_key``. Null text counts as empty."""
-    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("fp", pa.list_(pa.int64()))])
+                 words: int = 1, once: bool = False, sets: bool = False) -> DataFrame:
+    """(id, key, fp) per row; fp: array of ``words`` bigints; key: ``row_key``. Null text counts as empty.
+
+    ``sets`` adds ``shingles``: the different shingle hashes, ascending, as bytes; each counts once then.
+    """
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("fp", pa.list_(pa.int64())),
+                        *([("shingles", pa.binary())] if sets else [])])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                values = [simhash(t, shingle, words, once) for t in part.column(2).to_pylist()]
+                texts, more = part.column(2).to_pylist(), []
+                if sets:
+                    found = [distinct_shingles(t, shingle) for t in texts]
+                    values, more = [_voted([f], words) for f in found], [pa.array([f.tobytes() for f in found], pa.binary())]
+                else:
+                    values = [simhash(t, shingle, words, once) for t in texts]
                 flat = pa.array(np.concatenate(values))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * words), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, *more], schema=schema)
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), row_key(id_col, text_col).alias("key"),
                        F.encode(text_or_empty(F.col(text_col)), "UTF-8").alias("data")).mapInArrow(
-        run, "id bigint, key bigint, fp array<bigint>")
+        run, "id bigint, key bigint, fp array<bigint>" + (", shingles binary" if sets else ""))
 
 
 def pigeonhole_keys(fp: Column, max_distance: int = 2, blocks: int = 4) -> Column:
@@ -159,6 +177,25 @@ def _verified(pairs: DataFrame, nodes: DataFrame, words: int, limit: int) -> Dat
             .where(_distance(F.col("fa"), F.col("fb"), words) <= limit).select("a", "b"))
 
 
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``least`` or more; ``sets``: (node, shingles)."""
+    def run(batches):
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    pairs = write_scratch(pairs, "candidates")
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    used = write_scratch(sets.join(needed, "node", "left_semi"), "sets")
+    return (pairs.join(used.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+            .join(used.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+            .select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"))
+
+
 def link_exact(nodes: DataFrame, max_distance: int = 2, blocks: int = 4, pairs_up_to: int = 256) -> DataFrame:
     """(node, component) of all nodes linked to another one; 64-bit fingerprints, at most two differing bits."""
     if max_distance > 2:
@@ -182,17 +219,21 @@ def link_exact(nodes: DataFrame, max_distance: int = 2, blocks: int = 4, pairs_u
     return components(pairs.unionByName(stars))
 
 
-def link_wide(nodes: DataFrame, words: int, limit: int, block_bits: int = 24, pairs_up_to: int = 1024) -> DataFrame:
+def link_wide(nodes: DataFrame, words: int, limit: int, block_bits: int = 24, pairs_up_to: int = 1024,
+              linked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) of all nodes linked to another one through shared blocks within ``limit`` bits.
 
-    ``nodes``: (node, fp), one row per distinct fingerprint. See the module text.
+    ``nodes``: (node, fp), one row per distinct fingerprint. See the module
+    text. ``linked`` gives those of the pairs (a, b) that share a block which
+    are links, in place of the limit.
     """
+    linked = linked or (lambda pairs: _verified(pairs, nodes, words, limit))
     keys = block_keys(F.col("fp"), words, block_bits)
     # A few blocks join most copies of a text; after that only members of different components are compared.
     some = nodes.select("node", F.explode(F.slice(keys, 1, FIRST_BLOCKS)).alias("key"))
     hubs = some.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     pairs = some.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    joined = write_scratch(components(_verified(pairs, nodes, words, limit)), "joined")
+    joined = write_scratch(components(linked(pairs)), "joined")
     members = write_scratch(_with_component(nodes, joined).select("node", "c", F.explode(keys).alias("key")), "blocks")
     while True:
         shared = write_scratch(
@@ -207,7 +248,7 @@ def link_wide(nodes: DataFrame, words: int, limit: int, block_bits: int = 24, pa
         met = members.join(large, "key").where(F.col("node") != F.col("hub.node"))
         with_hub = met.where(F.col("c") != F.col("hub.c")).select(
             F.col("hub.node").alias("a"), F.col("node").alias("b"))
-        found = write_scratch(_verified(pairs.unionByName(with_hub), nodes, words, limit), "links")
+        found = write_scratch(linked(pairs.unionByName(with_hub)), "links")
         if not found.isEmpty():
             joined = write_scratch(components(found.unionByName(_as_edges(joined))), "joined")
         if large.isEmpty():
@@ -226,7 +267,7 @@ def _as_edges(joined: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3,
                     words: int = 1, max_distance: int = 2, blocks: int = 4, block_bits: int = 24,
-                    once: bool = False) -> DataFrame:
+                    once: bool = False, jaccard: float | None = None, checked: int | None = None) -> DataFrame:
     """(id, key, fp, component, group) per row of ``docs``.
 
     component: the smallest id reachable by links of at most ``max_distance``
@@ -235,15 +276,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint and are linked like any other; repeated rows get a row each; an
     empty table gives an empty table. ``words`` = 1 uses the exact 64-bit keys,
     more words one key per block.
+
+    ``jaccard`` (with more words; each shingle counts once): pairs that share a
+    block and differ in at most ``max_distance`` bits of the first ``checked``
+    words are links only if their shingle sets are that similar.
     """
-    rows = write_scratch(fingerprints(docs, id_col, text_col, shingle=shingle, words=words, once=once)
-                         .withColumn("row", F.monotonically_increasing_id()), "fingerprints")
-    nodes = write_scratch(rows.groupBy("fp").agg(F.min("row").alias("node"), F.min("id").alias("least")), "nodes")
-    joined = link_exact(nodes, max_distance, blocks) if words == 1 else link_wide(nodes, words, max_distance, block_bits)
+    if jaccard is not None and words == 1:
+        raise ValueError("the exact similarity needs wide fingerprints")
+    rows = fingerprints(docs, id_col, text_col, shingle=shingle, words=words, once=once, sets=jaccard is not None)
+    rows = write_scratch(rows.withColumn("row", F.monotonically_increasing_id()).withColumn(
+        "sig", F.lit(0).cast("bigint") if jaccard is None else F.xxhash64("shingles")), "fingerprints")
+    nodes = write_scratch(rows.groupBy("fp", "sig").agg(F.min("row").alias("node"), F.min("id").alias("least")), "nodes")
+    if words == 1:
+        joined = link_exact(nodes, max_distance, blocks)
+    elif jaccard is None:
+        joined = link_wide(nodes, words, max_distance, block_bits)
+    else:
+        few = checked or words
+        heads = nodes.select("node", F.slice("fp", 1, few).alias("fp"))
+        sets = rows.select(F.col("row").alias("node"), "shingles")
+        joined = link_wide(nodes, words, max_distance, block_bits,
+                           linked=lambda pairs: _similar(_verified(pairs, heads, few, max_distance), sets, jaccard))
     placed = write_scratch(nodes.join(joined, "node", "left")
-                           .select("fp", "least", F.coalesce("component", "node").alias("group")), "placed")
+                           .select("fp", "sig", "least", F.coalesce("component", "node").alias("group")), "placed")
     named = placed.groupBy("group").agg(F.min("least").alias("component"))
-    return (rows.join(placed.join(named, "group").select("fp", "component", "group"), "fp")
+    return (rows.join(placed.join(named, "group").select("fp", "sig", "component", "group"), ["fp", "sig"])
             .select("id", "key", "fp", "component", "group"))
 
 

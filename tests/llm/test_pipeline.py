@@ -1,0 +1,29 @@
+"""The stages of the corpus pipeline against plain Python on small tables."""
+
+import os
+import random
+import sys
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+import corpus_pipeline as pipeline  # noqa: E402
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def words(rng, n):
+    return ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 7))) for _ in range(n)]
+
+
+def table(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], SCHEMA).repartition(3)
+
+
+def test_near_dedup_decides_by_exact_similarity(spark):
+    rng, texts, kept = random.Random(11), {}, set()
+    for n in range(60):
+        base = words(rng, 100)  # 96 five-word shingles; k words more give 96 / (96 + k)
+        texts[2 * n], texts[2 * n + 1] = " ".join(base), " ".join(base + words(rng, 24 if n % 2 else 25))
+        kept |= {2 * n} if n % 2 else {2 * n, 2 * n + 1}  # 0.8 is a copy, 0.793 is not
+    out = pipeline.near_dedup(spark, table(spark, texts), "")
+    assert {r.doc_id for r in out.collect()} == kept
