@@ -17,7 +17,7 @@ LIMIT = round(0.1515 * 64 * CHECKED + 4 * (0.1515 * 0.8485 * 64 * CHECKED) ** 0.
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass all rules; the others go. Null and empty texts fail (fewer than 50 words)."""
-    return quality.keep_good(docs)
+    return quality.keep_good(docs, rules=quality.CORPUS_RULES)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,3 +27,11 @@ def test_near_dedup_decides_by_exact_similarity(spark):
         kept |= {2 * n} if n % 2 else {2 * n, 2 * n + 1}  # 0.8 is a copy, 0.793 is not
     out = pipeline.near_dedup(spark, table(spark, texts), "")
     assert {r.doc_id for r in out.collect()} == kept
+
+
+def test_equal_short_lines_and_size_do_not_reject(spark):
+    rng = random.Random(4)
+    clean = " ".join(w if n % 4 else "the" for n, w in enumerate(words(rng, 90)))
+    texts = {1: f"a heading\n{clean}\na heading", 2: " ".join(words(rng, 9)), 3: "\n".join([clean, clean, clean, clean])}
+    assert {r.doc_id for r in pipeline.quality_rules(spark, table(spark, texts), "").collect()} == {1}
+    assert not [r for r in pipeline.quality.CORPUS_RULES if r.figure == "n_words" and r.most is not None]
