@@ -41,7 +41,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", near_dedup), ("secret scans", secret_scan),
           ("best-fit packing", best_fit_packing)]
 
-#: SimHash votes and tokenizer ids have no SQL form; tests/llm hold the stages against brute force.
+#: SimHash votes and tokenizer ids have no SQL form; tests/llm/test_pipeline.py holds run() on a small
+#: table against plain Python: rules, exact groups, masks, pieces.
 ORACLE_SQL = None
 
 
