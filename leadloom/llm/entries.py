@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadloom.llm import chat, merkle, packing, quality, secrets, sharding, simhash, urls, warc
+from leadloom.llm import alignment, chat, merkle, packing, quality, secrets, sharding, simhash, token_counts, urls, warc
 from leadloom.llm import sentencepiece as pieces_of
 from leadloom.llm.common import table
 
@@ -297,3 +297,18 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     back = pieces_of.decode(coded, model, keep=["doc_id", "was", "n_pieces", "ids_hash"])
     return back.select("doc_id", "n_pieces", "ids_hash", F.sha2("text", 256).alias("decoded_sha256"),
                        (F.sha2("text", 256) == F.col("was")).alias("exact"))
+
+
+# --- 11 -----------------------------------------------------------------------
+
+@query("op11_token_counts")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), keep=["doc_id"])
+
+
+# --- 12 -----------------------------------------------------------------------
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                           tokenizer_path("piece_bpe_32k.model"), keep=["doc_id"])
