@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadloom.llm import alignment, chat, merkle, packing, quality, secrets, sharding, simhash, token_counts, urls, warc
+from leadloom.llm import alignment, chat, lexical, merkle, packing, quality, secrets, sharding, simhash, token_counts, urls, warc
 from leadloom.llm import sentencepiece as pieces_of
 from leadloom.llm.common import table
 
@@ -312,3 +312,28 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"),
                            tokenizer_path("piece_bpe_32k.model"), keep=["doc_id"])
+
+
+# --- 13 -----------------------------------------------------------------------
+
+_TERMS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')")
+SEARCH_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+p AS (SELECT k, doc_id, n, t, count(*) AS tf FROM (SELECT k, doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY ALL),
+v AS (SELECT t, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY t, docs),
+q AS (SELECT DISTINCT j, item_id, t FROM (
+  SELECT row_number() OVER () AS j, item_id, unnest({_TERMS}) AS t FROM benchmark)),
+r AS (
+  SELECT j, item_id, k, doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM q JOIN p USING (t) JOIN v USING (t), s GROUP BY j, item_id, k, doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY j ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM r WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM o WHERE rank <= 10"""
+
+
+@query("op13_lexical_search", SEARCH_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    found = lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
