@@ -7,6 +7,7 @@ later steps can prune columns and see true table sizes.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,7 +56,25 @@ def write_scratch(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return a reader of the written table."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``write_scratch`` gave; nothing may read them any more."""
+    for table in tables:
+        path = getattr(table, "_scratch_path", None)
+        if path:
+            jvm, sc = table.sparkSession._jvm, table.sparkSession.sparkContext
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished queries, which it does when their plans are collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def parallelism(spark: SparkSession) -> int:
