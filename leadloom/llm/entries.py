@@ -66,10 +66,10 @@ f AS (
   FROM l LEFT JOIN r ON l.doc_id IS NOT DISTINCT FROM r.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words <= 1000000
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
     AND word_chars BETWEEN 2.5 * n_words AND 10 * n_words
     AND n_symbols <= 0.1 * n_words AND shouts <= 0.2 * n_words AND uppers <= 0.5 * word_chars
-    AND stops >= 0.05 * n_words AND n_dup_lines <= 0.3 * n_lines AS kept
+    AND stops >= 0.05 * n_words AND n_dup_lines <= 0.5 * n_lines AS kept
 FROM f"""
 
 

@@ -39,7 +39,7 @@ def test_equal_short_lines_and_size_do_not_reject(spark):
     clean = " ".join(w if n % 4 else "the" for n, w in enumerate(words(rng, 90)))
     texts = {1: f"a heading\n{clean}\na heading", 2: " ".join(words(rng, 9)), 3: "\n".join([clean, clean, clean, clean])}
     assert {r.doc_id for r in pipeline.quality_rules(spark, table(spark, texts), "").collect()} == {1}
-    assert not [r for r in pipeline.quality.CORPUS_RULES if r.figure == "n_words" and r.most is not None]
+    assert not [r for r in pipeline.quality.RULES if r.figure == "n_words" and r.most is not None]
 
 
 def passes(text):
