@@ -4,33 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadloom.llm import packing, quality, secrets, simhash
+from leadloom.llm import neardup, packing, quality, secrets
 from leadloom.llm.entries import tokenizer_path
-from leadloom.session import write_scratch
-
-#: Texts that share 80 % of all their five-word shingles differ in 15.15 % of the bits. 192 blocks of 21 bits from 64 words
-#: let such a pair meet with 99.8 %; of 1,536 bits it differs in 233 with a deviation of 14, and LIMIT is four of them more.
-#: Both only find candidates; the exact similarity decides.
-SIMILAR, WIDE, BLOCK_BITS, CHECKED = 0.8, 64, 21, 24
-LIMIT = round(0.1515 * 64 * CHECKED + 4 * (0.1515 * 0.8485 * 64 * CHECKED) ** 0.5)
+from leadloom.session import discard, write_scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass all rules; the others go. Null and empty texts fail (fewer than 50 words)."""
-    return quality.keep_good(docs, rules=quality.CORPUS_RULES)
+    return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by a shingle similarity of 0.8 or more, the one with the smallest doc_id."""
-    return simhash.keep_one_per_group(docs, shingle=5, words=WIDE, max_distance=LIMIT, block_bits=BLOCK_BITS, once=True,
-                                      jaccard=SIMILAR, checked=CHECKED)
+    """Of each group of texts linked by a similarity of 0.8 or more on five-word shingles, the one with the smallest doc_id."""
+    return neardup.keep_one_per_group(docs, shingle=5, similarity=0.8)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; secrets are masked, and n_chars is set anew where the text has changed."""
-    masked = secrets.redact(docs.withColumn("__old", F.length("text")))
-    return masked.withColumn("n_chars", F.when(F.length("text") == F.col("__old"), F.col("n_chars")).otherwise(
-        F.length("text").cast("bigint"))).select(*docs.columns)
+    return secrets.redact(docs, length_col="n_chars")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +40,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             docs = write_scratch(docs, "stage")
+            discard(before)
     return docs
