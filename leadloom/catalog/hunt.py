@@ -20,18 +20,21 @@ from leadloom.catalog.search import HITS_SQL
 from leadloom.plans import crawl as C
 from leadloom.plans.hunt import run_cycle
 from leadloom.session import scratch_path, write_scratch
+from leadloom.sources.buckets import BucketStore, write_buckets
 from leadloom.sources.tables import export_graph, import_graph, read_table
 
 HIGH, LOW = (".net", ".org"), ("blog",)
 CONFIG = HuntConfig(max_depth=3, max_leafs=4, junk_domains=JUNK, high_value_words=HIGH, low_value_words=LOW)
 HOST = "^[a-z]+://([^/?#]*)"
+SITE_BUCKETS = 32
 
 
 def site(spark, sf):
-    """Stored pages that link to each other.
+    """Stored pages that link to each other, as a bucket store by URL.
 
     No stored page links to another one, so every page gets anchors to the
     pages at up to five related ids, and those of www and m hosts a mailto link.
+    Of pages with one normalised URL the one with the smallest id stays.
     """
     pages = read_table(spark, sf, "pages")
     ids = pages.select("page_id", F.explode(F.expr(
@@ -41,10 +44,13 @@ def site(spark, sf):
         F.concat(F.lit('<p><a href="'), "to_url", F.lit('">see</a></p>')))), "").alias("anchors"))
     mail = F.when(F.col("url").rlike("//(?:www|m)[.]"), F.concat(
         F.lit('<a href="mailto:info@'), F.regexp_extract("url", HOST, 1), F.lit('">mail</a>'))).otherwise("")
-    built = pages.join(anchors, "page_id", "left").select(
-        "page_id", "url", F.concat("html", F.coalesce("anchors", F.lit("")), mail).alias("html"))
-    built = with_normalized_url(built, "url", "url", "norm")
-    return L.first_per_key(built.select(F.col("norm").alias("url"), "page_id", "html"), "url", ["page_id"])
+    names = with_normalized_url(pages.select("page_id", "url"), "url", "url", "norm")
+    first = names.groupBy("norm").agg(F.min("page_id").alias("page_id"))  # ids only; the pages themselves aren't sorted
+    built = pages.join(first, "page_id").join(anchors, "page_id", "left").select(
+        F.col("norm").alias("url"), "page_id", F.concat("html", F.coalesce("anchors", F.lit("")), mail).alias("html"))
+    path = scratch_path(spark, "site")
+    write_buckets(built, path, "url", SITE_BUCKETS)
+    return BucketStore.open(spark, path, "url")
 
 
 def roots(spark, sf):
@@ -71,22 +77,14 @@ def verdicts(spark, sf):
         F.concat(F.lit("info@"), F.regexp_extract("url", HOST, 1)).alias("email"), F.lit("invalid").alias("result")).distinct()
 
 
-_DONE: dict[tuple, tuple] = {}
+def crawled(spark, sf):
+    return C.crawl(roots(spark, sf), site(spark, sf), observe, evaluate, config=CONFIG)
 
 
 def hunted(spark, sf):
-    """Crawl and outcome, kept per session and folder: several queries read the same tables."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _DONE:
-        # Built once: a crawl reads its page table in every round.
-        pages = write_scratch(site(spark, sf), "site")
-        result = C.crawl(roots(spark, sf), pages, observe, evaluate, config=CONFIG)
-        _DONE[key] = (result, C.settle(result, stored_leads(spark, sf), verdicts(spark, sf)))
-    return _DONE[key]
-
-
-def forget():
-    _DONE.clear()
+    """Crawl and outcome of the stored pages."""
+    result = crawled(spark, sf)
+    return result, C.settle(result, stored_leads(spark, sf), verdicts(spark, sf))
 
 
 # --- the same in SQL ----------------------------------------------------------
@@ -185,7 +183,7 @@ SELECT f.root_order, array_to_string(f.order_path, '.') AS order_path, CAST(f.de
   v.outcome IS NOT NULL AS fresh, coalesce(v.outcome, 'skipped') AS outcome, coalesce(array_to_string(v.ledger, chr(10)), '') AS ledger
 FROM frontier f LEFT JOIN visits v ON v.root_order = f.root_order AND v.order_path = f.order_path""")
 def crawl_frontier(spark, sf):
-    result, _ = hunted(spark, sf)
+    result = crawled(spark, sf)
     visits = result.visits.select("root_order", "order_path", "outcome", F.col("ledger").alias("trail"))
     rows = result.frontier.join(visits, ["root_order", "order_path"], "left")
     return rows.select(
@@ -221,7 +219,7 @@ SELECT CAST(depth AS BIGINT) AS depth, count(*) AS n_pages, count(*) FILTER (WHE
   count(*) FILTER (WHERE outcome = 'FOLLOW') AS n_follow, count(*) FILTER (WHERE outcome IN ('junk', 'blank', 'PRUNE')) AS n_prune,
   round(count(*) FILTER (WHERE outcome = 'CONVERT') / count(*), 6) AS conversion_rate FROM visits GROUP BY depth""")
 def funnel_by_depth(spark, sf):
-    return C.funnel_by_depth(hunted(spark, sf)[0])
+    return C.funnel_by_depth(crawled(spark, sf))
 
 
 @query("node_events", f"{_EVENTS_SQL} SELECT seq, node_id, state, title, parent_id FROM events_all")
@@ -307,6 +305,6 @@ def hunt_cycle(spark, sf):
     results = search.results(spark, sf).withColumn("query_order", F.try_element_at(order, F.col("query")))
     config = replace(CONFIG, blocked_tlds=search.CONFIG.blocked_tlds, blocked_hosts=search.CONFIG.blocked_hosts)
     store = stored_leads(spark, sf)
-    cycle = run_cycle(results, write_scratch(site(spark, sf), "site"), store, verdicts(spark, sf), observe, evaluate,
+    cycle = run_cycle(results, site(spark, sf), store, verdicts(spark, sf), observe, evaluate,
                       F.expr("TIMESTAMP_NTZ '2026-03-15 00:00:00'"), config=config)
     return cycle.new_leads

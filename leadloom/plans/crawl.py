@@ -22,6 +22,7 @@ from leadloom.functions.decisions import route, summary_or_default
 from leadloom.functions.urls import is_junk, rank_url, url_hash, with_normalized_url
 from leadloom.operators import leads as L
 from leadloom.session import write_scratch
+from leadloom.sources.buckets import BucketStore, matching, missing
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -51,8 +52,8 @@ class HuntOutcome:
 
 
 def root_frontier(hits: DataFrame) -> DataFrame:
-    """Hits (root_order, query, href) as the depth-0 frontier."""
-    roots = with_normalized_url(hits, "href", "href", "url").where("url != ''")
+    """Hits (root_order, query, href) as the depth-0 frontier. A hit that is no usable URL is tried as the empty one."""
+    roots = with_normalized_url(hits, "href", "href", "url").withColumn("url", F.coalesce("url", F.lit("")))
     no_strings = F.array().cast("array<string>")
     return roots.select(
         F.col("root_order").cast("bigint").alias("root_order"), "query",
@@ -61,14 +62,17 @@ def root_frontier(hits: DataFrame) -> DataFrame:
         no_strings.alias("ancestors"))
 
 
-def _first_visits(frontier: DataFrame, seen: list[DataFrame]) -> DataFrame:
+def _first_visits(frontier: DataFrame, seen: list[DataFrame], visited: DataFrame | BucketStore | None) -> DataFrame:
     rest = [c for c in frontier.columns if c not in ("url_hash", *_PATH)]
     packed = frontier.groupBy("url_hash").agg(F.min(F.struct(*_PATH, *rest)).alias("r"))
     fresh = packed.select("url_hash", "r.*")
-    if not seen:
+    if seen:
+        known = reduce(DataFrame.unionByName, [s.select("url_hash") for s in seen])
+        fresh = fresh.join(known, "url_hash", "left_anti")
+    if visited is None:
         return fresh
-    known = reduce(DataFrame.unionByName, [s.select("url_hash") for s in seen])
-    return fresh.join(known, "url_hash", "left_anti")
+    # A bucket store is asked for the buckets of these URLs, so they are fixed first.
+    return missing(visited, write_scratch(fresh, "fresh") if isinstance(visited, BucketStore) else fresh, "url_hash")
 
 
 def _children(visits: DataFrame, config: HuntConfig) -> DataFrame:
@@ -77,8 +81,10 @@ def _children(visits: DataFrame, config: HuntConfig) -> DataFrame:
     targets = follow.select(
         *_PATH, "query", F.col("depth") + 1, F.col("url").alias("parent_id"), F.col("noted").alias("ledger"),
         F.array_append("ancestors", F.col("url")).alias("ancestors"), F.explode("targets").alias("target"))
-    targets = targets.toDF(*_PATH, "query", "depth", "parent_id", "ledger", "ancestors", "target")
-    targets = with_normalized_url(targets, "parent_id", "target", "url").drop("target").where("url != ''")
+    targets = targets.toDF(*_PATH, "query", "depth", "parent_id", "ledger", "ancestors", "target").where("target != ''")
+    # What is no usable URL becomes the empty one; it is tried like any other and found on no page.
+    targets = with_normalized_url(targets, "parent_id", "target", "url").drop("target").withColumn(
+        "url", F.coalesce("url", F.lit("")))
     targets = targets.withColumn("rank", rank_url(F.col("url"), config.high_value_words, config.low_value_words))
     # dense_rank counts distinct URLs, so repeats are dropped after the cut.
     best = Window.partitionBy("parent_id").orderBy("rank", "url")
@@ -101,14 +107,18 @@ def _decide(opened: DataFrame, observe: Step, evaluate: Step, config: HuntConfig
         F.col("decision.next_target_urls").alias("targets"), decision("company"), decision("person"), decision("email"))
 
 
-def crawl(hits: DataFrame | None, pages: DataFrame, observe: Step, evaluate: Step, visited: DataFrame | None = None,
-          config: HuntConfig = HuntConfig(), resume: DataFrame | None = None) -> CrawlResult:
+def crawl(hits: DataFrame | None, pages: DataFrame | BucketStore, observe: Step, evaluate: Step,
+          visited: DataFrame | BucketStore | None = None, config: HuntConfig = HuntConfig(),
+          resume: DataFrame | None = None, known: DataFrame | None = None) -> CrawlResult:
     """Follow links from ``hits`` down to ``config.max_depth``.
 
+    known: further ``url_hash`` values that count as visited.
     resume: attempts (rows of an earlier ``frontier``) that join the rounds of
     their depth, with or without ``hits``.
 
-    pages: ``url`` (normalised, unique) and what ``observe`` needs.
+    pages: ``url`` (normalised, unique) and what ``observe`` needs, as a table or
+    a bucket store by ``url``; visited: ``url_hash``, as a table or a bucket
+    store. Of a bucket store a round reads the buckets of its URLs only.
     observe: adds ``text`` (blank if unusable) to joined pages.
     evaluate: adds ``decision``; it also sees ``context``, the path so far.
 
@@ -117,7 +127,7 @@ def crawl(hits: DataFrame | None, pages: DataFrame, observe: Step, evaluate: Ste
     inner one against a written table of known size: while a round is small,
     Spark sends its URLs to the pages and shuffles no page.
     """
-    seen = [visited.select("url_hash")] if visited is not None else []
+    seen = [known.select("url_hash")] if known is not None else []
     attempts, firsts, decisions = [], [], []
     for depth in range(config.max_depth + 2):
         sources = [_children(decisions[-1], config)] if depth else [root_frontier(hits)] if hits is not None else []
@@ -128,7 +138,7 @@ def crawl(hits: DataFrame | None, pages: DataFrame, observe: Step, evaluate: Ste
         attempts.append(frontier)
         if depth > config.max_depth:
             break
-        first = _first_visits(frontier, seen).withColumns({
+        first = _first_visits(frontier, seen, visited).withColumns({
             "ledger": add_to_ledger(F.col("ledger"), F.col("depth"), F.col("url")),
             "junk": is_junk(F.col("url"), config.junk_domains)})
         first = write_scratch(first, "first-visits")
@@ -136,7 +146,7 @@ def crawl(hits: DataFrame | None, pages: DataFrame, observe: Step, evaluate: Ste
             break
         seen.append(first)
         firsts.append(first)
-        opened = first.where(~F.col("junk")).drop("junk").join(pages, "url")
+        opened = matching(pages, first.where(~F.col("junk")).drop("junk"), "url")
         decisions.append(write_scratch(_decide(opened, observe, evaluate, config), "decisions"))
     union = lambda parts: reduce(DataFrame.unionByName, parts)
     decided = union(decisions).select("url_hash", "outcome", "summary", "targets", "company", "person", "email")
@@ -258,8 +268,8 @@ def opened_visits(result: CrawlResult, leads: DataFrame) -> DataFrame:
     return result.visits.join(_beyond_exit(result.visits, leads).select(*_PATH), _PATH, "left_anti")
 
 
-def settle_with_release(result: CrawlResult, pages: DataFrame, observe: Step, evaluate: Step, store: DataFrame,
-                        verdicts: DataFrame, visited: DataFrame | None = None,
+def settle_with_release(result: CrawlResult, pages: DataFrame | BucketStore, observe: Step, evaluate: Step, store: DataFrame,
+                        verdicts: DataFrame, visited: DataFrame | BucketStore | None = None,
                         verification: bool = True) -> tuple[CrawlResult, HuntOutcome]:
     """``settle``, with URLs beyond a root's lead given to roots that were refused them.
 
@@ -280,8 +290,7 @@ def settle_with_release(result: CrawlResult, pages: DataFrame, observe: Step, ev
         if waiting.isEmpty():
             break
         kept = opened_visits(result, leads).select("url_hash")
-        known = kept if visited is None else kept.unionByName(visited.select("url_hash"))
-        again = crawl(None, pages, observe, evaluate, known, result.config, resume=waiting)
+        again = crawl(None, pages, observe, evaluate, visited, result.config, resume=waiting, known=kept)
         result = CrawlResult(
             write_scratch(result.frontier.join(waiting.select(*_PATH), _PATH, "left_anti").unionByName(again.frontier),
                           "frontier"),

@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from leadloom.functions.urls import url_hash
 from leadloom.operators.leads import new_store_rows, new_visited_rows
 from leadloom.session import write_scratch
+from leadloom.sources.buckets import BucketStore, write_buckets
 
 
 def read_table(spark: SparkSession, folder: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -15,17 +17,16 @@ def read_table(spark: SparkSession, folder: str, name: str, columns: Sequence[st
     return df.select(*columns) if columns else df
 
 
-def read_for_parsing(spark: SparkSession, folder: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
+def read_for_parsing(spark: SparkSession, folder: str, name: str, columns: Sequence[str] | None = None,
+                     spread: int | None = None) -> DataFrame:
     """A stored table whose rows are costly to process.
 
-    If it has fewer pieces than there are cores (one small file, one row
-    group), the rows are spread over all cores. A large table has many pieces
-    and is read as it is, without a shuffle. The count is known from the scan
-    alone; nothing runs for it.
+    A file of one row group is one task, whatever ``spark.sql.files.maxPartitionBytes``
+    says. ``spread`` deals the rows out to that many tasks, which costs a shuffle
+    of whole rows; without it the table is read as it is.
     """
     df = read_table(spark, folder, name, columns)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(spread) if spread else df
 
 
 def fetch_pages(requests: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
@@ -33,12 +34,19 @@ def fetch_pages(requests: DataFrame, pages: DataFrame, url: str = "url") -> Data
     return pages.join(requests.select(url).distinct(), url, "left_semi")
 
 
-def append_visited(urls: DataFrame, visited: DataFrame, path: str, at: Column) -> DataFrame:
+def append_visited(urls: DataFrame, visited: DataFrame | BucketStore, path: str, at: Column) -> DataFrame:
     """Append URLs that the visited store does not hold; returns the added rows.
 
     The rows are fixed in a scratch table first, because the store they are
-    compared with is about to grow.
+    compared with is about to grow. Of a bucket store only the buckets that the
+    URLs fall into are read.
     """
+    if isinstance(visited, BucketStore):
+        urls = write_scratch(urls, "urls")
+        wanted = urls.select(url_hash(F.col("url")).alias(visited.key))
+        rows = write_scratch(new_visited_rows(urls, visited.holding(wanted).drop("bucket"), at), "visited")
+        write_buckets(rows, path, visited.key, visited.buckets, append=True)
+        return rows
     rows = write_scratch(new_visited_rows(urls, visited, at), "visited")
     rows.write.mode("append").parquet(path)
     return rows
