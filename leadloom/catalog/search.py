@@ -114,15 +114,14 @@ def phrase_queries(spark, sf):
 
 @query("corpus_search", r"""
 WITH q AS (SELECT item_id AS query_id, list_distinct(list_filter(list_transform(string_split_regex(lower(text), '[.\n"]+'),
-             lambda s: trim(s)), lambda s: s <> '')) AS phrases FROM benchmark),
-t AS (SELECT *, list_filter(list_distinct(string_split_regex(array_to_string(phrases, ' '), '[^\p{L}\p{N}]+')), lambda w: w <> '') AS terms FROM q),
-d AS (SELECT doc_id, lower(text) AS text, string_split_regex(lower(text), '[^\p{L}\p{N}]+') AS words FROM documents),
-m AS (SELECT query_id, doc_id, list_sum(list_transform(phrases, lambda p:
-          ((length(text) - length(replace(text, p, ''))) // length(p))::BIGINT))::BIGINT AS score
-      FROM t JOIN d ON len(phrases) > 0 AND contains(text, phrases[1])
-      WHERE list_has_all(words, terms) AND len(list_filter(phrases, lambda p: NOT contains(text, p))) = 0)
-SELECT query_id, doc_id, score, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS position
-FROM m) WHERE position <= 10""")
+             lambda s: list_filter(string_split_regex(s, '[^\p{L}\p{N}]+'), lambda w: w <> '')), lambda p: len(p) > 0)) AS phrases FROM benchmark),
+d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words FROM documents),
+m AS (SELECT query_id, doc_id, list_transform(phrases, lambda p: len(list_filter(generate_series(1, len(words) - len(p) + 1),
+          lambda i: words[i] = p[1] AND words[i:i + len(p) - 1] = p))) AS counts
+      FROM q JOIN d ON len(phrases) > 0 AND list_has_all(words, flatten(phrases)))
+SELECT query_id, doc_id, score, position FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS position
+  FROM (SELECT query_id, doc_id, list_sum(counts)::BIGINT AS score FROM m WHERE NOT list_contains(counts, 0))) WHERE position <= 10""")
 def corpus_search(spark, sf):
     found = R.corpus_search(R.parse_boolean_query(phrase_queries(spark, sf)),
                             read_for_parsing(spark, sf, "documents", ["doc_id", "text"]))
