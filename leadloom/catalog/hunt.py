@@ -11,7 +11,6 @@ from leadloom.catalog.leads import TOPIC
 from leadloom.catalog.registry import query
 from leadloom.catalog.web import JUNK
 from leadloom.config import EMAIL_HEADER_PREFIX, EMAIL_HEADER_SUFFIX, HuntConfig
-from leadloom.functions import html as H
 from leadloom.functions.patterns import any_of
 from leadloom.functions.urls import with_normalized_url
 from leadloom.operators import graph as G, leads as L, pages as P
@@ -105,7 +104,7 @@ seen AS (SELECT md.page_id, md.url, {S.clean_emails(S.emails('html'))} AS emails
 texts AS (SELECT page_id, url, emails, usable, left(CASE WHEN len(emails) > 0 THEN {S.lit(EMAIL_HEADER_PREFIX)} || array_to_string(emails, ', ')
     || {S.lit(EMAIL_HEADER_SUFFIX)} || body ELSE body END, 16000) AS text FROM seen),
 targets AS (SELECT page_id, list_sort(list_distinct(list(t))) AS targets FROM (SELECT page_id, {S.rooted_url('url', S.anchor_href('f'))} AS t FROM
-    (SELECT page_id, url, unnest(regexp_extract_all({S.remove_noise('html')}, {S.lit(H.ANCHOR)})) AS f FROM site) WHERE {S.anchor_href('f')} <> '')
+    (SELECT page_id, url, unnest({S.anchors(S.remove_noise('html'))}[2:]) AS f FROM site) WHERE {S.anchor_href('f')} <> '')
     WHERE {S.matches('lower(t)', any_of(HIGH))} GROUP BY page_id),
 decided AS (SELECT texts.url, usable, emails, coalesce(targets, CAST([] AS VARCHAR[])) AS targets,
     {S.matches('lower(text)', any_of(TOPIC))} AS topic FROM texts LEFT JOIN targets ON texts.page_id = targets.page_id),

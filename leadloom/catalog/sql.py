@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from leadloom import config as C
 from leadloom.config import STOP_WORDS
-from leadloom.functions import html as H
 from leadloom.functions.patterns import any_of
 
 
@@ -24,28 +23,53 @@ def in_list(values) -> str:
     return "(" + ", ".join(lit(v) for v in values) + ")"
 
 
+# Patterns of this file's own: it must not repeat what the implementation does.
+_NOISE = r"(?is)<!--.*?-->|<svg[^>]*/>|<(?:script|style|noscript|svg|iframe|title|textarea|template)\b[^>]*>.*?</(?:script|style|noscript|svg|iframe|title|textarea|template)\s*>"
+_BLOCKS = ("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
+           "html li main nav ol option p pre section table tbody td tfoot th thead tr ul").split()
+_CHARACTERS = (("&nbsp;", " "), ("&#160;", " "), ("&#64;", "@"), ("&#x40;", "@"), ("&commat;", "@"), ("&#46;", "."), ("&copy;", "©"),
+               ("&reg;", "®"), ("&middot;", "·"), ("&euro;", "€"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&eacute;", "é"), ("&#233;", "é"),
+               ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+_OPEN, _SHUT = "\x02", "\x03"  # in place of <a …> and its end
+
+
 def decode(expr: str) -> str:
-    for entity, char in H.ENTITIES:
+    for entity, char in _CHARACTERS:
         expr = f"replace({expr}, {lit(entity)}, {lit(char)})"
     return expr
 
 
 def remove_noise(expr: str) -> str:
-    return rep(expr, H.REMOVED, "")
+    return rep(expr, _NOISE, "")
 
 
 def strip_tags(expr: str) -> str:
-    expr = decode(rep(rep(rep(expr, H.SOURCE_SPACE, " "), H.BLOCK_TAG, "\n"), H.ANY_TAG, ""))
-    return f"trim({rep(rep(expr, H.TEXT_SPACE, ' '), H.LINE_SPACE, chr(10))}, {lit(' ' + chr(10))})"
+    lines = rep(rep(expr, r"[ \t\r\n\f]+", " "), rf"(?i)</?(?:{'|'.join(_BLOCKS)})(?:\s[^>]*)?/?>", "\n")
+    spaced = rep(decode(rep(lines, r"</?[A-Za-z!?][^>]*>", "")), "[ \t\u00a0]+", " ")
+    return f"trim({rep(spaced, ' ?' + chr(10) + '[ ' + chr(10) + ']*', chr(10))}, {lit(' ' + chr(10))})"
+
+
+def anchors(clean: str) -> str:
+    """Array of 'attributes SHUT content and rest', one per opened anchor; the first element is what stands before."""
+    marked = f"regexp_replace({clean}, '(?is)<a(\\s[^>]*)?>', '{_OPEN}\\1{_SHUT}', 'g')"
+    return f"string_split({marked}, '{_OPEN}')"
+
+
+def anchor_href(piece: str) -> str:
+    quoted = f"regexp_extract(split_part({piece}, '{_SHUT}', 1), " + lit(r"""(?is)(?:^|\s)href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""") + ", 1)"
+    return decode(f"trim({quoted}, {lit(chr(34) + chr(39))})")
+
+
+def _content(piece: str) -> str:
+    return f"regexp_split_to_array(split_part({piece}, '{_SHUT}', 2), '(?i)</a\s*>')"
 
 
-def anchor_text(expr: str) -> str:
-    return rep(strip_tags(rep(expr, H.ANCHOR_OPEN, "")), r"\n+", " ")
+def anchor_text(piece: str) -> str:
+    return rep(strip_tags(f"{_content(piece)}[1]"), r"\n+", " ")
 
 
-def anchor_href(expr: str) -> str:
-    quoted = f"regexp_extract({expr}, {lit(H.ANCHOR_HREF)}, 1)"
-    return decode(rep(quoted, r"""^["']|["']\z""", ""))
+def anchor_rest(piece: str) -> str:
+    return f"array_to_string({_content(piece)}[2:], '')"
 
 
 def rank(expr: str, high=C.HIGH_VALUE_WORDS, low=C.LOW_VALUE_WORDS) -> str:
@@ -97,18 +121,14 @@ def markdown_ctes(source: str, prefix: str = "md") -> str:
     absolute = ("CASE WHEN " + matches("h", "^[a-zA-Z][a-zA-Z0-9+.-]*:") +
                 " THEN h ELSE regexp_extract(url, '^[a-z]+://[^/?#]*') || h END")
     encode = lambda e: f"replace(replace({e}, '&', '&amp;'), '<', '&lt;')"
-    anchor = lit(H.ANCHOR)
     return f"""
-{prefix}_a AS (SELECT page_id, url, html, {remove_noise('html')} AS clean FROM {source}),
-{prefix}_b AS (SELECT page_id, url, html, regexp_extract_all(clean, {anchor}) AS found,
-                      string_split_regex(clean, {anchor}) AS between FROM {prefix}_a),
-{prefix}_c AS (SELECT page_id, i, f AS anchor, {anchor_text('f')} AS t, {anchor_href('f')} AS h, url FROM
-               (SELECT page_id, url, unnest(found) AS f, generate_subscripts(found, 1) AS i FROM {prefix}_b)),
-{prefix}_d AS (SELECT page_id, list(CASE WHEN t <> '' AND h <> '' THEN '[' || {encode('t')} || '](' ||
-                      {encode(absolute)} || ')' ELSE anchor END ORDER BY i) AS links FROM {prefix}_c GROUP BY page_id),
-{prefix} AS (SELECT b.page_id, b.url, b.html, {strip_tags('''array_to_string(list_transform(range(1, len(between) + 1),
-               lambda k: between[k] || coalesce(links[k], '')), '')''')} AS body
-             FROM {prefix}_b b LEFT JOIN {prefix}_d d ON b.page_id = d.page_id)"""
+{prefix}_a AS (SELECT page_id, url, html, {anchors(remove_noise('html'))} AS pieces FROM {source}),
+{prefix}_b AS (SELECT page_id, url, p, i, {anchor_text('p')} AS t, {anchor_href('p')} AS h FROM
+               (SELECT page_id, url, unnest(pieces[2:]) AS p, generate_subscripts(pieces[2:], 1) AS i FROM {prefix}_a)),
+{prefix}_c AS (SELECT page_id, string_agg(CASE WHEN t <> '' AND h <> '' THEN '[' || {encode('t')} || '](' || {encode(absolute)} || ')'
+                      ELSE {_content('p')}[1] END || {anchor_rest('p')}, '' ORDER BY i) AS linked FROM {prefix}_b GROUP BY page_id),
+{prefix} AS (SELECT a.page_id, a.url, a.html, {strip_tags("pieces[1] || coalesce(linked, '')")} AS body
+             FROM {prefix}_a a LEFT JOIN {prefix}_c c ON a.page_id = c.page_id)"""
 
 
 LEAD_STORE = """

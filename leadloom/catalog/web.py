@@ -150,9 +150,8 @@ def link_markdown(spark, sf):
 
 LINKS_SQL = f"""
 raw_links AS (SELECT page_id, page_url, i - 1 AS pos, {S.anchor_href('f')} AS href, {S.anchor_text('f')} AS link_text
-  FROM (SELECT page_id, page_url, unnest(found) AS f, generate_subscripts(found, 1) AS i
-        FROM (SELECT page_id, url AS page_url, regexp_extract_all({S.remove_noise('html')}, {S.lit(H.ANCHOR)}) AS found
-              FROM pages))),
+  FROM (SELECT page_id, page_url, unnest(found[2:]) AS f, generate_subscripts(found[2:], 1) AS i
+        FROM (SELECT page_id, url AS page_url, {S.anchors(S.remove_noise('html'))} AS found FROM pages))),
 links AS (SELECT page_id, CAST(pos AS BIGINT) AS pos, href, link_text, {S.rooted_url('page_url', 'href')} AS url
           FROM raw_links WHERE href <> '')"""
 

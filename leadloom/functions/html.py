@@ -7,7 +7,9 @@ the same in other engines.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -22,11 +24,17 @@ from leadloom.functions.urls import resolve_url
 # that a "<script>" inside a comment (or the reverse) cannot mislead the scan.
 # What is never closed runs to the end of the page, so every pattern reads a
 # page once, whatever it holds. A self-closed svg has no content.
+# The content of the last four is no part of the visible page either.
+UNSEEN_TAGS = (*NOISE_TAGS, "title", "textarea", "template", "noframes", "noembed")
 REMOVED = r"(?is)<(?:!--.*?(?:-->|\z)|svg\b[^>]*/>|" + "|".join(
-    rf"{tag}\b[^>]*(?:>.*?(?:</{tag}\s*>|\z)|\z)" for tag in (*NOISE_TAGS, "title")) + ")"
-ANCHOR = r"(?is)<a\s[^>]*(?:>.*?(?:</a\s*>|\z)|\z)"
-ANCHOR_OPEN = r"(?is)^<a\s[^>]*>"
+    rf"{tag}\b[^>]*(?:>.*?(?:</{tag}\s*>|\z)|\z)" for tag in UNSEEN_TAGS) + ")"
+# The page as a stream of anchor tags and what follows each. An open anchor ends
+# at the next anchor tag, opening or closing, or with the page; so a piece of the
+# stream is a whole element, and no pattern has to look for its end.
+ANCHOR_TAG = r"(?is)</?a(?:\s[^>]*)?(?:>|\z)"
+ANCHOR_OPEN = r"(?is)^<a(?:\s[^>]*)?(?:>|\z)"
 ANCHOR_HREF = r"""(?is)^<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+BASE_HREF = r"""(?is)<base\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 BLOCK_TAG = (r"(?i)<(?:br\s*/?|/?(?:address|article|aside|blockquote|body|dd|div|dl|dt|fieldset|figcaption|figure|"
              r"footer|form|h1|h2|h3|h4|h5|h6|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|"
              r"tfoot|th|thead|tr|ul)(?:\s[^>]*)?/?)(?:>|\z)")
@@ -35,10 +43,19 @@ SOURCE_SPACE = r"[ \t\r\n\f]{2,}|[\t\r\n\f]"
 TEXT_SPACE = "[ \t\u00a0]{2,}|[\t\u00a0]"
 LINE_SPACE = r" \n[ \n]*|\n[ \n]+"
 ANY_TAG = r"</?[A-Za-z!?][^>]*(?:>|\z)"
-ENTITIES = (("&nbsp;", " "), ("&#160;", " "), ("&#64;", "@"), ("&#x40;", "@"), ("&commat;", "@"), ("&#46;", "."),
-            ("&#x2e;", "."), ("&copy;", "©"), ("&reg;", "®"), ("&euro;", "€"), ("&ndash;", "–"), ("&mdash;", "—"),
-            ("&hellip;", "…"), ("&#x27;", "'"), ("&#38;", "&amp;"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-            ("&apos;", "'"), ("&amp;", "&"))
+# A reference starts at an ampersand: a number, or a name with or without semicolon.
+REFERENCE = "&(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]{1,31});?"
+# Names from the interpreter's own table of the HTML standard, by their first letter; the second table has the names
+# that count without a semicolon too. The third has what the numbers 128-159 stand for (Windows-1252).
+_NAMES: dict[str, dict[str, str]] = {}
+_BARE: dict[str, str] = {}
+for _name, _text in html5.items():
+    if _name.endswith(";"):
+        _NAMES.setdefault(_name[0], {})[_name[:-1]] = _text
+    else:
+        _BARE[_name] = _text
+_LONGEST_BARE = max(map(len, _BARE))
+_C1 = {str(n): bytes([n]).decode("cp1252", "replace") if n not in (129, 141, 143, 144, 157) else chr(n) for n in range(128, 160)}
 # An address can only start where a run of address characters starts, or where
 # the previous match ended; a long run without "@" is then read once.
 _EMAIL_LOCAL, _EMAIL_DOMAIN = EMAIL_PATTERN.split("@")
@@ -46,10 +63,41 @@ _EMAIL_CHARS = _EMAIL_LOCAL.rstrip("+") if _EMAIL_LOCAL.endswith("]+") else _EMA
 EMAIL_SCAN = rf"(?:(?<!{_EMAIL_CHARS})|\G){_EMAIL_CHARS}++@{_EMAIL_DOMAIN}"
 
 
-def decode_entities(text: Column) -> Column:
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+def _table(value: dict, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value)), kind)  # constant: read once per query
+
+
+def _numbered(body: Column) -> Column:
+    """The character of ``#65`` or ``#x41``; what is no character becomes U+FFFD."""
+    hexed = F.lower(F.substring(body, 2, 1)) == "x"
+    code = F.when(hexed, F.conv(F.substring(body, 3, 8), 16, 10)).otherwise(F.substring(body, 2, 9)).cast("bigint")
+    bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    return F.when(bad, "\ufffd").when(code.between(128, 159), F.try_element_at(_table(_C1, "map<string,string>"), code.cast("string"))).otherwise(
+        F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
+def _referred(ref: Column, attribute: bool) -> Column:
+    """What a reference (from the ampersand on) stands for; itself if it is none."""
+    closed = ref.endswith(";")
+    body = F.regexp_replace(ref, "^&|;$", "")
+    names = _table(_NAMES, "map<string,map<string,string>>")
+    named = F.try_element_at(F.try_element_at(names, F.substring(body, 1, 1)), body)
+    found = F.when(body.startswith("#"), _numbered(body)).when(closed, named)
+    if attribute:  # in an address "&copy=1" is a parameter
+        return F.coalesce(found, ref)
+    bare = _table(_BARE, "map<string,string>")
+    tries = [F.concat(F.try_element_at(bare, F.substring(body, 1, n)), F.substring(ref, n + 2, 40))
+             for n in range(_LONGEST_BARE, 1, -1)]
+    return F.coalesce(found, F.when(~body.startswith("#"), F.coalesce(*[
+        F.when(F.length(body) >= n, t) for n, t in zip(range(_LONGEST_BARE, 1, -1), tries)])), ref)
+
+
+def decode_entities(text: Column, attribute: bool = False) -> Column:
+    """Character references replaced, each once: all names of the HTML standard and all numbers."""
+    refs = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
+    pieces = F.zip_with(F.split(text, REFERENCE, -1), F.transform(refs, lambda r: _referred(r, attribute)),
+                        lambda t, r: F.concat(t, F.coalesce(r, F.lit(""))))
+    return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
 
 
 def strip_tags(fragment: Column) -> Column:
@@ -72,30 +120,51 @@ def anchor_text(anchor: Column) -> Column:
     return F.regexp_replace(strip_tags(F.regexp_replace(anchor, ANCHOR_OPEN, "")), r"\n+", " ")
 
 
+def _value(quoted: Column) -> Column:
+    return decode_entities(F.regexp_replace(quoted, r"""^["']|["']\z""", ""), attribute=True)
+
+
 def anchor_href(anchor: Column) -> Column:
-    quoted = F.regexp_extract(anchor, ANCHOR_HREF, 1)
-    return decode_entities(F.regexp_replace(quoted, r"""^["']|["']\z""", ""))
+    return _value(F.regexp_extract(anchor, ANCHOR_HREF, 1))
+
+
+def base_url(clean: Column, page_url: Column) -> Column:
+    """What the links of a page are relative to: its ``<base href>``, else its own URL."""
+    href = _value(F.regexp_extract(clean, BASE_HREF, 1))
+    return F.when(F.lower(clean).contains("<base"), F.when(href != "", resolve_url(page_url, href)).otherwise(page_url)).otherwise(page_url)
+
+
+def anchor_stream(clean: Column) -> Column:
+    """Every anchor tag with what follows it up to the next one, in page order. What stands before the first is not in it."""
+    after = F.split(clean, ANCHOR_TAG, -1)
+    tags = F.regexp_extract_all(clean, F.lit(ANCHOR_TAG), F.lit(0))
+    return F.zip_with(tags, F.slice(after, 2, F.size(after)), lambda tag, text: F.concat(tag, F.coalesce(text, F.lit(""))))
+
+
+def _opens(piece: Column) -> Column:
+    return ~piece.startswith("</")
 
 
 def find_anchors(clean: Column) -> Column:
     """All ``<a>`` elements of a page without noise, in page order."""
-    return F.regexp_extract_all(clean, F.lit(ANCHOR), F.lit(0))
+    return F.filter(anchor_stream(clean), _opens)
 
 
-def parse_anchors(anchors: Column, page_url: Column) -> Column:
-    """Array of ``struct(element, href, link_text, absolute)``, one per ``<a>``."""
+def parse_anchors(stream: Column, base: Column) -> Column:
+    """Array of ``struct(element, href, link_text, absolute)``, one per piece of the stream; closing tags have no href."""
     return F.transform(
-        F.transform(anchors, lambda a: F.struct(
-            a.alias("element"), anchor_href(a).alias("href"), anchor_text(a).alias("link_text"))),
+        F.transform(stream, lambda a: F.struct(
+            a.alias("element"), F.when(_opens(a), anchor_href(a)).otherwise("").alias("href"),
+            F.when(_opens(a), anchor_text(a)).otherwise("").alias("link_text"))),
         lambda a: F.struct(a["element"].alias("element"), a["href"].alias("href"), a["link_text"].alias("link_text"),
-                           resolve_url(page_url, a["href"]).alias("absolute")))
+                           F.when(a["href"] != "", resolve_url(base, a["href"])).otherwise("").alias("absolute")))
 
 
 def link_markdown(clean: Column, parsed: Column) -> Column:
     """Rewrite ``<a>`` elements with href and visible text to ``[text](absolute-href)``.
 
-    ``clean`` is the page without noise, ``parsed`` its anchors. The result is
-    still HTML between the links, so link text and target are entity-encoded
+    ``clean`` is the page without noise, ``parsed`` its anchor stream. The result
+    is still HTML between the links, so link text and target are entity-encoded
     and ``strip_tags`` gives them back as they were.
     """
     def encode(c: Column) -> Column:
@@ -105,9 +174,8 @@ def link_markdown(clean: Column, parsed: Column) -> Column:
         link = F.concat(F.lit("["), encode(a["link_text"]), F.lit("]("), encode(a["absolute"]), F.lit(")"))
         return F.when((a["link_text"] != "") & (a["href"] != ""), link).otherwise(a["element"])
 
-    pieces = F.zip_with(F.split(clean, ANCHOR, -1), F.transform(parsed, rewrite),
-                        lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.array_join(pieces, "")
+    before = F.split(clean, ANCHOR_TAG, 2)[0]
+    return F.concat(before, F.array_join(F.transform(parsed, rewrite), ""))
 
 
 def all_emails(html: Column) -> Column:

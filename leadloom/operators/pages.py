@@ -23,7 +23,7 @@ def _clean_column() -> Column:
 
 @lru_cache(maxsize=None)
 def _anchors_column(url: str) -> Column:
-    return H.parse_anchors(H.find_anchors(F.col("clean")), F.col(url))
+    return H.parse_anchors(H.anchor_stream(F.col("clean")), F.col(url))
 
 
 @lru_cache(maxsize=None)
@@ -42,18 +42,21 @@ def _language_columns() -> tuple[Column, Column]:
 
 
 def with_links(pages: DataFrame, url: str = "url") -> DataFrame:
-    """Replace ``html`` by ``clean`` (no noise) and ``anchors`` (parsed, absolute)."""
+    """Replace ``html`` by ``clean`` (no noise) and ``anchors`` (the parsed anchor stream, absolute by ``<base href>``)."""
     others = [c for c in pages.columns if c != "html"]
     clean = pages.select(*others, _clean_column().alias("clean"))
-    return clean.withColumn("anchors", _anchors_column(url))
+    based = clean.withColumn("__base", H.base_url(F.col("clean"), F.col(url)))
+    return based.withColumn("anchors", _anchors_column("__base")).drop("__base")
 
 
 def page_links(pages: DataFrame, keys: Sequence[str] = ("page_id",), page_url: str = "url") -> DataFrame:
-    """One row per ``<a href>``: keys, page_url, pos, href, link_text, url (normalised)."""
-    found = pages.select(*keys, F.col(page_url).alias("page_url"), F.posexplode(H.find_anchors(_clean_column())).alias("pos", "a"))
-    found = found.select(*keys, "page_url", F.col("pos").cast("bigint").alias("pos"),
+    """One row per ``<a href>``: keys, page_url, pos, href, link_text, url (normalised, relative to ``<base href>``)."""
+    clean = pages.select(*keys, F.col(page_url).alias("page_url"), _clean_column().alias("clean"))
+    based = clean.withColumn("base_url", H.base_url(F.col("clean"), F.col("page_url")))
+    found = based.select(*keys, "page_url", "base_url", F.posexplode(H.find_anchors(F.col("clean"))).alias("pos", "a"))
+    found = found.select(*keys, "page_url", "base_url", F.col("pos").cast("bigint").alias("pos"),
                          H.anchor_href(F.col("a")).alias("href"), H.anchor_text(F.col("a")).alias("link_text"))
-    return with_normalized_url(found.where("href != ''"), "page_url", "href", "url")
+    return with_normalized_url(found.where("href != ''"), "base_url", "href", "url").drop("base_url")
 
 
 def page_text(pages: DataFrame) -> DataFrame:
