@@ -111,41 +111,33 @@ class _Linker:
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(node, shingles) of the wanted nodes, from their texts; written."""
         shingle = self.shingle
-        schema = pa.schema([("key", pa.int64()), ("shingles", pa.binary())])
 
         def run(batches):
             for batch in batches:
-                for at in range(0, batch.num_rows, 200):
-                    part = batch.slice(at, 200)
-                    found = [distinct_shingles(t, shingle).tobytes() for t in part.column(1).to_pylist()]
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], schema=schema)
+                for at in range(0, batch.num_rows, 100):
+                    part = batch.slice(at, 100)
+                    found = [distinct_shingles(t, shingle).view(np.int64) for t in part.column(1).to_pylist()]
+                    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+                    yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["key", "shingles"])
 
         keys = self.nodes.select("node", F.col("key").alias("text_key")).join(wanted.select("node").distinct(), "node")
         texts = self.docs.select(_row_key(self.id_col, self.text_col).alias("key"),
                                  F.encode(text_or_empty(F.col(f"`{self.text_col}`")), "UTF-8").alias("data"))
-        made = texts.join(keys, F.col("key") == F.col("text_key"), "left_semi").mapInArrow(run, "key bigint, shingles binary")
+        made = texts.join(keys, F.col("key") == F.col("text_key"), "left_semi").mapInArrow(
+            run, "key bigint, shingles array<bigint>")
         once = made.groupBy("key").agg(F.first("shingles").alias("shingles"))
         return write_scratch(keys.join(once, F.col("key") == F.col("text_key")).select("node", "shingles"), "sets")
 
     def merge(self, pairs: DataFrame) -> None:
         """Join the components of pairs (a, b) that are similar enough; ``pairs`` is written and deleted here."""
-        least = self.similarity
-
-        def run(batches):
-            for batch in batches:
-                good = []
-                for x, y in zip(batch.column(2), batch.column(3)):
-                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(both >= least * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
         pairs = write_scratch(pairs.distinct(), "candidates")
         sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        both = F.size(F.array_intersect("x", "y"))
         links = write_scratch(
             pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-            .select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "links")
+            .where(both >= self.similarity * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
         edges = links if self.joined is None else links.unionByName(
             self.joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
         before, self.joined = self.joined, write_scratch(components(edges), "joined")
@@ -204,7 +196,7 @@ class _Linker:
         of similarity s share a shingle of both prefixes.
         """
         sets = self.sets(some)
-        each = some.join(sets, "node").mapInArrow(_exploded, "node bigint, c bigint, n int, shingle bigint")
+        each = some.join(sets, "node").select("node", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
         each = write_scratch(each, "shingles")
         held = each.groupBy("shingle").agg(F.count("*").alias("df"))
         ordered = each.join(held, "shingle").groupBy("node", "c", "n").agg(
@@ -221,18 +213,6 @@ class _Linker:
         return pairs
 
 
-def _exploded(batches):
-    """(node, c, number of shingles, shingle) from (node, c, shingles)."""
-    for batch in batches:
-        for node, c, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            found = np.frombuffer(data.as_buffer(), np.int64)
-            for at in range(0, len(found), 1 << 16):
-                part = found[at:at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(part), node)), pa.array(np.full(len(part), c)),
-                    pa.array(np.full(len(part), len(found), np.int32)), pa.array(part)], names=["node", "c", "n", "shingle"])
-
-
 def _all(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:

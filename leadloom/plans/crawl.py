@@ -13,7 +13,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from leadloom.config import EVENT_TITLES, HuntConfig, PLACEHOLDER_MARKER, QUERY_NODE_PREFIX
@@ -21,7 +23,8 @@ from leadloom.functions.context import add_to_ledger, annotate_last, path_contex
 from leadloom.functions.decisions import route, summary_or_default
 from leadloom.functions.urls import is_junk, rank_url, url_hash, with_normalized_url
 from leadloom.operators import leads as L
-from leadloom.session import write_scratch
+from leadloom.operators.groups import connected_groups
+from leadloom.session import discard, write_scratch
 from leadloom.sources.buckets import BucketStore, matching, missing
 
 Step = Callable[[DataFrame], DataFrame]
@@ -165,27 +168,77 @@ def first_lead_per_root(candidates: DataFrame) -> DataFrame:
         "root_order", "r.*")
 
 
-def settle_leads(candidates: DataFrame) -> DataFrame:
+def _one_after_another(rows: pd.DataFrame) -> pd.DataFrame:
+    """The choices of some roots, earlier ones first; rows: root_order, order_path, email."""
+    taken: set[str] = set()
+    chosen = []
+    ordered = sorted(zip(rows.root_order, map(tuple, rows.order_path), rows.email))
+    for root, own in groupby(ordered, key=lambda r: r[0]):
+        for _, path, email in own:
+            if PLACEHOLDER_MARKER in email or email not in taken:
+                taken.add(email)
+                chosen.append((root, list(path)))
+                break
+    return pd.DataFrame(chosen, columns=_PATH)
+
+
+def _disputed(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(choices, rest) of roots that compete: connected groups of up to ``most`` rows are settled in one task each."""
+    if rows.count() <= most:
+        sized = rows.withColumn("group", F.lit(0))
+        small, rest = sized, rows.where("false")
+    else:
+        links = rows.select(F.xxhash64(F.lit("root"), F.col("root_order").cast("string")).alias("a"), F.xxhash64("email").alias("b"))
+        groups = connected_groups(links)
+        placed = rows.join(groups, F.xxhash64(F.lit("root"), F.col("root_order").cast("string")) == F.col("node")).drop("node")
+        sizes = placed.groupBy("group").agg(F.count("*").alias("n"))
+        sized = write_scratch(placed.join(sizes, "group"), "disputes")
+        small, rest = sized.where(F.col("n") <= most), sized.where(F.col("n") > most).select(*rows.columns)
+    chosen = small.select("group", *_PATH, "email").groupBy("group").applyInPandas(
+        lambda part: _one_after_another(part), "root_order long, order_path array<int>")
+    return chosen, rest
+
+
+def settle_leads(candidates: DataFrame, most: int = 100_000) -> DataFrame:
     """One lead per root and one root per e-mail, earlier roots choosing first.
 
-    Every root proposes its first remaining candidate. A proposal stands unless
-    an earlier root proposes the same e-mail, and an e-mail that an earlier root
-    proposes is out of reach for all later roots. Repeating this until nothing
-    is refused gives what handling the roots one after another would give.
-    Placeholder addresses may repeat.
+    The result is that of handling the roots one after another. A choice is
+    certain if no earlier root has the same e-mail among its candidates, or if
+    it is a placeholder, which may repeat; what a root has behind its first
+    certain choice doesn't matter. Roots whose first choice is certain are done,
+    and their e-mails go from all others. What is left are chains of refusals:
+    they are cut into groups of roots that share e-mails, and a group of up to
+    ``most`` rows is settled in order by one task. Larger groups go through the
+    loop again, which makes them smaller every time. So a chain of refusals
+    costs no round per link.
     """
-    remaining = write_scratch(candidates, "candidates")
+    rows = write_scratch(candidates, "candidates")
+    left = rows.select(*_PATH, "email")
+    done: list[DataFrame] = []
+    real = ~F.col("email").contains(PLACEHOLDER_MARKER)
     while True:
-        proposals = write_scratch(first_lead_per_root(remaining), "proposals")
-        holders = proposals.where(~F.col("email").contains(PLACEHOLDER_MARKER)).groupBy("email").agg(
-            F.min("root_order").alias("holder"))
         # Placeholders never compete; left in, all of them would meet on one key.
-        real = remaining.where(~F.col("email").contains(PLACEHOLDER_MARKER))
-        lost = real.join(holders, "email").where(F.col("root_order") > F.col("holder")).select(*_PATH)
-        lost = write_scratch(lost, "lost")
-        if lost.isEmpty():
-            return proposals
-        remaining = write_scratch(remaining.join(lost, _PATH, "left_anti"), "candidates")
+        holders = left.where(real).groupBy("email").agg(F.min("root_order").alias("holder"))
+        marked = left.where(real).join(holders, "email").withColumn("certain", F.col("root_order") == F.col("holder")).drop("holder")
+        marked = write_scratch(marked.select(*_PATH, "email", "certain").unionByName(
+            left.where(~real).withColumn("certain", F.lit(True))), "marked")
+        firsts = marked.groupBy("root_order").agg(
+            F.min(F.struct("order_path", "email", "certain")).alias("first"), F.min(F.when(F.col("certain"), F.col("order_path"))).alias("last"))
+        firsts = write_scratch(firsts, "firsts")
+        done.append(firsts.where("first.certain").select("root_order", F.col("first.order_path").alias("order_path")))
+        taken = firsts.where("first.certain").select("first.email").where(real)
+        waiting = firsts.where("NOT first.certain").select("root_order", "last")
+        rest = marked.join(waiting, "root_order").where(F.col("last").isNull() | (F.col("order_path") <= F.col("last"))).select(*_PATH, "email")
+        rest = write_scratch(rest.where(real).join(taken, "email", "left_anti").select(*_PATH, "email").unionByName(rest.where(~real)), "rest")
+        discard(marked)
+        if rest.isEmpty():
+            break
+        chosen, left = _disputed(rest, most)
+        done.append(write_scratch(chosen, "settled"))
+        left = write_scratch(left, "large")
+        if left.isEmpty():
+            break
+    return rows.join(reduce(DataFrame.unionByName, done), _PATH, "left_semi")
 
 
 def converted_leads(result: CrawlResult, verdicts: DataFrame, verification: bool = True) -> DataFrame:

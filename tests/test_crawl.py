@@ -202,18 +202,46 @@ def test_pages_beyond_an_exit_are_free_for_later_roots(spark):
     assert "https://s.test/team" not in {r.url for r in C.opened_visits(result, outcome.leads).collect()}
 
 
-def test_settling_equals_one_root_after_another(spark):
+def one_after_another(rows):
+    taken, expected = set(), {}
+    for root in sorted({r[0] for r in rows}):
+        for _, path, email in sorted(r for r in rows if r[0] == root):
+            if email not in taken or "NEEDS" in email:
+                taken.add(email)
+                expected[root] = (path, email)
+                break
+    return expected
+
+
+def settled(spark, rows, **how):
+    df = spark.createDataFrame(rows, "root_order long, order_path array<int>, email string")
+    return {r.root_order: (r.order_path, r.email) for r in C.settle_leads(df, **how).collect()}
+
+
+@pytest.mark.parametrize("most", [100_000, 6, 1])
+def test_settling_equals_one_root_after_another(spark, most):
     rng = random.Random(7)
-    for _ in range(3):
-        rows = [(root, [leaf], rng.choice(["a", "b", "c", "d", "e", "NEEDS_ENRICHMENT@x"]))
-                for root in range(12) for leaf in range(rng.randint(1, 4))]
-        taken, expected = set(), {}
-        for root in range(12):
-            for r, path, email in rows:
-                if r == root and (email not in taken or "NEEDS" in email):
-                    taken.add(email)
-                    expected[root] = (path, email)
-                    break
-        df = spark.createDataFrame(rows, "root_order long, order_path array<int>, email string")
-        got = {r.root_order: (r.order_path, r.email) for r in C.settle_leads(df).collect()}
-        assert got == expected
+    rows = [(root, [leaf], rng.choice(["a", "b", "c", "d", "e", "NEEDS_ENRICHMENT@x"]))
+            for root in range(12) for leaf in range(rng.randint(1, 4))]
+    rows += [(root, [leaf], rng.choice([f"x{root // 3}", f"y{root // 2}", f"z{root}"])) for root in range(20, 50) for leaf in range(3)]
+    assert settled(spark, rows, most=most) == one_after_another(rows)
+
+
+def test_a_chain_of_refusals_needs_few_rounds(spark, monkeypatch):
+    rows = [(0, [0], "e0")] + [(n, [k], f"e{n - 1 + k}") for n in range(1, 1000) for k in range(2)]
+    writes = []
+    monkeypatch.setattr(C, "write_scratch", lambda df, label, real=C.write_scratch: writes.append(label) or real(df, label))
+    assert settled(spark, rows) == one_after_another(rows)
+    assert len(writes) < 12
+
+
+def test_connected_groups(spark):
+    from leadloom.operators.groups import connected_groups
+
+    links = [(n, n + 1) for n in range(100, 160)] + [(5, 3), (3, 5), (9, 9), (1, 7), (7, 2)] + [(1000, n) for n in range(900, 930)]
+    got = connected_groups(spark.createDataFrame(links, "a long, b long")).collect()
+    members = {}
+    for r in got:
+        members.setdefault(r.group, set()).add(r.node)
+    assert sorted(map(sorted, members.values())) == [[1, 2, 7], [3, 5], [9], list(range(100, 161)), [*range(900, 930), 1000]]
+    assert connected_groups(spark.createDataFrame([], "a long, b long")).count() == 0
