@@ -34,6 +34,18 @@ def test_slices_cut_a_hot_key(spark):
     assert len(sizes) == 10 and max(r["count"] for r in sizes) <= 120
 
 
+def test_slices_of_many_borders(spark):
+    from bisect import bisect_right
+
+    rng = random.Random(5)
+    for borders in ([], [3], [1, 5, 9], sorted({rng.randint(0, 10**12) for _ in range(4000)}), [0.5, 1.25, 2.0], [-3, 0, 2**60 + 1]):
+        values = [rng.choice([*borders, 0]) + rng.choice([-1, 0, 1]) for _ in range(300)]
+        kind = "double" if any(isinstance(b, float) for b in borders) else "long"
+        df = spark.createDataFrame([(float(v) if kind == "double" else v,) for v in values], f"v {kind}")
+        got = df.select("v", slices._slice_of(F.col("v"), borders).alias("s")).collect()
+        assert all(r.s == bisect_right(borders, r.v) for r in got)
+
+
 def test_previous_value(spark):
     rows = hot_rows()
     df = spark.createDataFrame(rows, "k string, pos long, v long")
