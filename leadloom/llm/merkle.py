@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from leadloom.llm.common import row_key, text_or_empty, width
-from leadloom.operators.slices import _slice_of, slice_bounds
+from leadloom.operators.slices import _slice_of
 
 PART = r"[^.!?]{1,200}[.!?]*|[.!?]+"
 
@@ -64,20 +64,36 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), tree(F.col(text_col)).alias("tree"))
 
 
+def _numbered_slice(quantiles: list[int], pieces: int) -> Column:
+    """Ascending slice number by (position, key); a position that several quantiles fall on gets as many slices more."""
+    borders = sorted(set(quantiles))
+    position, part = F.col("position"), _slice_of(F.col("position"), borders)
+    # Row keys are hashes, so equal ranges of them hold about equally many rows.
+    share = (F.col("key").cast("double") + 2.0**63) / 2.0**64
+    inside = F.lit(0)
+    for place, (value, times) in enumerate(((b, quantiles.count(b)) for b in borders), 1):
+        if times > 1:
+            inside = F.when(position == value, F.least(F.floor(share * times), F.lit(times - 1)).cast("int")).when(
+                part == place, times).otherwise(inside)
+    return part * (pieces + 1) + inside
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, next_text): the text of the next row by descending id; after the last comes the first.
 
     Null ids come last; equal ids go by row key. The table is cut into slices
     at quantiles of the id and shuffled once; each slice also gets the first
-    row of the slice that follows it. A single row is its own next.
+    row of the slice that follows it. A single row is its own next. Rows of one
+    id (or none) that fill several slices are cut by their row key.
     """
     floor = F.lit(-(1 << 63)).cast("bigint")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), row_key(id_col, text_col).alias("key"),
                        text_or_empty(F.col(text_col)).alias("text"),
                        F.coalesce(F.col(id_col).cast("bigint"), floor).alias("position"))
     pieces = width(docs.sparkSession)
-    bounds = slice_bounds(rows, "position", pieces) if pieces > 1 else []
-    rows = rows.withColumn("slice", _slice_of(F.col("position"), bounds))
+    shares = [i / pieces for i in range(1, pieces)]
+    quantiles = (rows.select(F.percentile_approx("position", shares, 10_000).alias("q")).first().q if shares else None) or []
+    rows = rows.withColumn("slice", _numbered_slice(sorted(quantiles), pieces))
     # One row per slice from here on, so the window and the broadcast hold at most ``pieces`` rows.
     tops = rows.groupBy("slice").agg(F.max(F.struct("position", "key")).alias("top"))
     above = Window.orderBy("slice")
