@@ -65,8 +65,9 @@ def stream_stats(spark, sf):
 
 
 @query("stream_graph_nodes", """
-WITH l AS (SELECT 'https://u' || user_id || '.test/feed' AS node_id, arg_max(event_type, event_id) AS kind, arg_max(props, event_id) AS props,
-    count(*) AS n_updates, user_id FROM events GROUP BY user_id),
+WITH e AS (SELECT *, lag(event_type || '|' || props) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events),
+l AS (SELECT 'https://u' || user_id || '.test/feed' AS node_id, arg_max(event_type, event_id) AS kind, arg_max(props, event_id) AS props,
+    count(*) FILTER (WHERE before IS NULL OR before <> event_type || '|' || props) AS n_updates, user_id FROM e GROUP BY user_id),
 s AS (SELECT *, CASE kind WHEN 'purchase' THEN 'convert' WHEN 'error' THEN 'prune' WHEN 'signup' THEN 'skip' ELSE kind END AS state FROM l)
 SELECT node_id, 'u' || user_id || '.test/feed...' AS label, state, CASE state WHEN 'convert' THEN '#32CD32' WHEN 'skip' THEN '#A9A9A9'
   ELSE '#FF4500' END AS colour, replace(props, '"', '&quot;') AS title, n_updates FROM s""")
@@ -76,4 +77,4 @@ def stream_graph_nodes(spark, sf):
     events = _stream(spark, sf, "events").select(
         F.col("event_id").alias("seq"), F.concat(F.lit("https://u"), F.col("user_id").cast("string"), F.lit(".test/feed")).alias("node_id"),
         state.alias("state"), F.col("props").alias("title"))
-    return runs.latest(runs.run_batches(graph.live_nodes(events), "nodes", mode="update"), ["node_id"])
+    return graph.live_nodes(events)

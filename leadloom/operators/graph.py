@@ -39,10 +39,14 @@ def graph_nodes(events: DataFrame, sticky_convert: bool = False) -> DataFrame:
     last_key = F.struct((F.col("state") == "convert").alias("c"), when_seen) if sticky_convert else when_seen
     nodes = events.groupBy("node_id").agg(
         F.max_by(F.struct("state", "title"), last_key).alias("last"), F.count("*").alias("n_updates"))
-    return nodes.select(
-        "node_id", display_label(node_label(F.col("node_id"))).alias("label"), F.col("last.state").alias("state"),
-        state_colour(F.col("last.state")).alias("colour"),
-        tooltip(F.col("last.title"), F.col("node_id")).alias("title"), "n_updates")
+    return node_rows(nodes.select("node_id", "last.state", "last.title", "n_updates"))
+
+
+def node_rows(states: DataFrame) -> DataFrame:
+    """Nodes as they are shown, from (node_id, state, title, n_updates)."""
+    return states.select(
+        "node_id", display_label(node_label(F.col("node_id"))).alias("label"), "state", state_colour(F.col("state")).alias("colour"),
+        tooltip(F.col("title"), F.col("node_id")).alias("title"), "n_updates")
 
 
 def graph_edges(events: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -7,27 +7,37 @@ from pyspark.sql import DataFrame, functions as F
 from leadloom.operators.leads import new_store_rows
 from leadloom.schemas import LEAD_STORE
 from leadloom.session import scratch_path
-from leadloom.streaming.runs import run_batches, with_batch
+from leadloom.sources.versioned import VersionedStore
+from leadloom.streaming.runs import run_each
 
 
-def lead_sink(stream: DataFrame, order: list[str], path: str | None = None,
-              initial: DataFrame | None = None) -> DataFrame:
+def insert_ignore(order: list[str]):
+    """Merge step of a lead store: the first lead of an e-mail stays, rows of the store before all others."""
+    def merge(stored: DataFrame, batch: DataFrame) -> DataFrame:
+        return stored.unionByName(new_store_rows(batch, stored, order))
+
+    return merge
+
+
+def lead_sink(stream: DataFrame, order: list[str], path: str | None = None, initial: DataFrame | None = None,
+              buckets: int = 32) -> DataFrame:
     """Insert-ignore every micro-batch into the store; returns the store.
 
-    Each batch is compared with the batches before it. A repeated batch sees
-    the same earlier ones, so it writes the same rows again.
+    The store is versioned and keyed by e-mail. A batch reads and rewrites the
+    buckets of its own e-mails only, whatever the batches before it wrote; a
+    repeated batch finds its version there and changes nothing.
     """
     spark = stream.sparkSession
-    path = path or scratch_path(spark, "lead-store")
+    store = VersionedStore(spark, path or scratch_path(spark, "lead-store"), LEAD_STORE, "email", buckets)
+    if initial is not None and store.latest() is None:
+        store.update(initial, lambda stored, rows: rows, version=0)
 
-    def insert(batch: DataFrame, batch_id: int) -> DataFrame:
-        known = batch.sparkSession.createDataFrame([], LEAD_STORE) if initial is None else initial
-        if batch_id > 0:
-            stored = batch.sparkSession.read.schema(with_batch(LEAD_STORE)).parquet(path)
-            known = known.unionByName(stored.where(F.col("batch") < batch_id).drop("batch"))
-        return new_store_rows(batch, known, order)
+    def insert(batch: DataFrame, batch_id: int) -> None:
+        own = VersionedStore(batch.sparkSession, store.path, store.schema, store.key, store.buckets)
+        own.update(batch.where(F.col("email").isNotNull()), insert_ignore(order), version=batch_id + 1)
 
-    return run_batches(stream, "lead-store", insert, path=path).drop("batch")
+    run_each(stream, store.path + "-checkpoint", insert)
+    return store.snapshot()
 
 
 def live_stats(stream: DataFrame, contacted: str = "contacted") -> DataFrame:

@@ -36,6 +36,13 @@ def read_stream(spark: SparkSession, path: str, max_files: int | None = None) ->
     return stream.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else stream
 
 
+def run_each(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> None:
+    """Hand every micro-batch of the available input to ``handle``."""
+    query = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
 def run_append(stream: DataFrame, label: str) -> DataFrame:
     """Run to the end of the available input into a Parquet sink."""
     spark = stream.sparkSession
