@@ -9,6 +9,7 @@ from leadloom.catalog.registry import query
 from leadloom.config import EMAIL_HEADER_PREFIX, EMAIL_HEADER_SUFFIX, HuntConfig
 from leadloom.functions import context, html as H, language, urls
 from leadloom.functions.patterns import any_of
+from leadloom.operators import language_model as M
 from leadloom.operators import leads as L, pages as P
 from leadloom.sources.tables import fetch_pages, read_for_parsing, read_table
 
@@ -208,6 +209,26 @@ def language_guard(spark, sf):
                        F.coalesce(F.col("language") == F.col("lang"), F.lit(False)).alias("agrees"))
 
 
+@query("language_detect", r"""
+WITH w AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents),
+c AS (SELECT doc_id, lang, word, count(*) AS n FROM w GROUP BY ALL),
+g AS (SELECT doc_id, lang, n, substr('_' || word || '_', i, 3) AS gram
+      FROM (SELECT *, unnest(generate_series(1, length(word))) AS i FROM c)),
+p AS (SELECT lang, gram, sum(n)::BIGINT AS n FROM g WHERE lang IS NOT NULL GROUP BY lang, gram),
+v AS (SELECT count(DISTINCT gram) AS v FROM p),
+t AS (SELECT lang, sum(n)::BIGINT AS total FROM p GROUP BY lang),
+k AS (SELECT lang, gram, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS place FROM p) WHERE place <= 3000),
+d AS (SELECT doc_id, gram, sum(n)::BIGINT AS n FROM g GROUP BY doc_id, gram),
+s AS (SELECT doc_id, t.lang, sum(d.n * round(1000 * ln((coalesce(k.n, 0) + 1) / (total + v)))::BIGINT) AS score, sum(d.n)::BIGINT AS n_grams
+      FROM d CROSS JOIN t CROSS JOIN v LEFT JOIN k ON k.lang = t.lang AND k.gram = d.gram GROUP BY doc_id, t.lang),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS place FROM s) WHERE place = 1)
+SELECT documents.doc_id, b.lang AS language, coalesce(n_grams, 0) AS n_grams FROM documents LEFT JOIN b ON b.doc_id = documents.doc_id""")
+def language_detect(spark, sf):
+    """Profiles of the labelled documents, and the language that they give every document."""
+    docs = read_table(spark, sf, "documents", ["doc_id", "text", "lang"])
+    return M.detect_languages(docs, M.fit_languages(docs))
+
+
 OBSERVED_SQL = f"""{S.markdown_ctes('pages')},
 guard AS ({S.language_cte('md', 'page_id', 'body')}),
 observed AS (SELECT md.page_id, url, language, {S.clean_emails(S.emails('html'), SUFFIXES)} AS emails,
