@@ -34,7 +34,7 @@ def tokenizer_path(name: str) -> str:
 
 @query("op3_simhash")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, words=1, max_distance=2, blocks=4)
+    found = simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, max_distance=2, blocks=4)
     return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"),
                         F.col("component").alias("component_id"))
 

@@ -8,32 +8,20 @@ limit.
 * Up to ``max_distance`` differing bits of 64: with ``blocks`` blocks at least
   ``blocks - max_distance`` agree, so one key per choice of that many blocks
   finds every pair (exact).
-* Wide fingerprints (several 64-bit words): one key per block. A pair with a
-  share p of differing bits meets with probability 1 - (1 - (1-p)^b)^n for n
-  blocks of b bits.
-
 Copies collapse to one node per distinct fingerprint first. A block may hold
-any number of nodes, so large blocks are not expanded into all their pairs.
-
-* 64 bits: two values differ in at most two bits exactly if some value differs
-  from both in at most one. Nodes of large blocks meet on these values, 65 per
-  node, and each value links its nodes to the smallest one.
-* Wide: a few blocks first compare their members with their smallest one (the
-  hub), and linked nodes are merged. Then, in every block, members of different
-  components are compared: in pairs (small blocks) or with the hub, merging
-  again and going on with the next hub (large blocks).
+any number of nodes, so large blocks are not expanded into all their pairs: two
+values differ in at most two bits exactly if some value differs from both in at
+most one. Nodes of large blocks meet on these values, 65 per node, and each
+value links its nodes to the smallest one.
 
-Either way every two members of a block are compared or joined through others,
-so no link between components is lost.
-
-With ``jaccard`` wide fingerprints only find candidates: blocks and a loose bit
-limit; the exact similarity of the stored shingle sets decides about the link.
+Wide fingerprints (several 64-bit words, one key per block) are made here too;
+``neardup`` links them.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -47,7 +35,6 @@ from leadloom.llm.components import components
 from leadloom.session import write_scratch
 
 SEED = 42
-FIRST_BLOCKS = 24
 _BREAK = re.compile(rb"[\x20\x09-\x0d]")
 _HASH = partial(xxhash.xxh64_intdigest, seed=SEED)
 _PIECE = 1 << 20
@@ -118,31 +105,22 @@ def _voted(runs: Iterable[np.ndarray], words: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3,
-                 words: int = 1, once: bool = False, sets: bool = False) -> DataFrame:
-    """(id, key, fp) per row; fp: array of ``words`` bigints; key: ``row_key``. Null text counts as empty.
-
-    ``sets`` adds ``shingles``: the different shingle hashes, ascending, as bytes; each counts once then.
-    """
-    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("fp", pa.list_(pa.int64())),
-                        *([("shingles", pa.binary())] if sets else [])])
+                 words: int = 1) -> DataFrame:
+    """(id, key, fp) per row; fp: array of ``words`` bigints; key: ``row_key``. Null text counts as empty."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("fp", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                texts, more = part.column(2).to_pylist(), []
-                if sets:
-                    found = [distinct_shingles(t, shingle) for t in texts]
-                    values, more = [_voted([f], words) for f in found], [pa.array([f.tobytes() for f in found], pa.binary())]
-                else:
-                    values = [simhash(t, shingle, words, once) for t in texts]
+                values = [simhash(t, shingle, words) for t in part.column(2).to_pylist()]
                 flat = pa.array(np.concatenate(values))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * words), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, *more], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], schema=schema)
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), row_key(id_col, text_col).alias("key"),
                        F.encode(text_or_empty(F.col(text_col)), "UTF-8").alias("data")).mapInArrow(
-        run, "id bigint, key bigint, fp array<bigint>" + (", shingles binary" if sets else ""))
+        run, "id bigint, key bigint, fp array<bigint>")
 
 
 def pigeonhole_keys(fp: Column, max_distance: int = 2, blocks: int = 4) -> Column:
@@ -163,43 +141,10 @@ def block_keys(fp: Column, words: int, block_bits: int = 24) -> Column:
                      for w in range(words) for k in range(each)])
 
 
-def _distance(a: Column, b: Column, words: int) -> Column:
-    if words == 1:
-        return F.bit_count(a[0].bitwiseXOR(b[0]))
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, words: int, limit: int) -> DataFrame:
-    """The pairs (a, b) within the bit limit."""
-    left = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa"))
-    right = nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
-    return (pairs.distinct().join(left, "a").join(right, "b")
-            .where(_distance(F.col("fa"), F.col("fb"), words) <= limit).select("a", "b"))
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``least`` or more; ``sets``: (node, shingles)."""
-    def run(batches):
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= least * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    pairs = write_scratch(pairs, "candidates")
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    used = write_scratch(sets.join(needed, "node", "left_semi"), "sets")
-    return (pairs.join(used.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-            .join(used.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-            .select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"))
-
-
 def link_exact(nodes: DataFrame, max_distance: int = 2, blocks: int = 4, pairs_up_to: int = 256) -> DataFrame:
     """(node, component) of all nodes linked to another one; 64-bit fingerprints, at most two differing bits."""
-    if max_distance > 2:
-        raise ValueError("64-bit fingerprints link at two differing bits or fewer")
+    if max_distance != 2:  # the way through values one bit away joins what differs in two bits
+        raise ValueError("64-bit fingerprints link at two differing bits")
     members = write_scratch(nodes.select("node", F.col("fp")[0].alias("v"), F.explode(
         pigeonhole_keys(F.col("fp"), max_distance, blocks)).alias("key")), "blocks")
     sizes = write_scratch(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
@@ -219,109 +164,26 @@ def link_exact(nodes: DataFrame, max_distance: int = 2, blocks: int = 4, pairs_u
     return components(pairs.unionByName(stars))
 
 
-def link_wide(nodes: DataFrame, words: int, limit: int, block_bits: int = 24, pairs_up_to: int = 1024,
-              linked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(node, component) of all nodes linked to another one through shared blocks within ``limit`` bits.
-
-    ``nodes``: (node, fp), one row per distinct fingerprint. See the module
-    text. ``linked`` gives those of the pairs (a, b) that share a block which
-    are links, in place of the limit.
-    """
-    linked = linked or (lambda pairs: _verified(pairs, nodes, words, limit))
-    keys = block_keys(F.col("fp"), words, block_bits)
-    # A few blocks join most copies of a text; after that only members of different components are compared.
-    some = nodes.select("node", F.explode(F.slice(keys, 1, FIRST_BLOCKS)).alias("key"))
-    hubs = some.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    pairs = some.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    joined = write_scratch(components(linked(pairs)), "joined")
-    members = write_scratch(_with_component(nodes, joined).select("node", "c", F.explode(keys).alias("key")), "blocks")
-    while True:
-        shared = write_scratch(
-            members.groupBy("key").agg(F.min(F.struct("node", "c")).alias("hub"), F.count("*").alias("n"),
-                                       F.min("c").alias("c0"), F.max("c").alias("c1"))
-            .where("c0 < c1").select("key", "hub", "n"), "open")
-        small = members.join(shared.where(F.col("n") <= pairs_up_to), "key", "left_semi")
-        pairs = small.alias("a").join(small.alias("b"), (F.col("a.key") == F.col("b.key"))
-                                      & (F.col("a.c") < F.col("b.c"))).select(
-            F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-        large = shared.where(F.col("n") > pairs_up_to)
-        met = members.join(large, "key").where(F.col("node") != F.col("hub.node"))
-        with_hub = met.where(F.col("c") != F.col("hub.c")).select(
-            F.col("hub.node").alias("a"), F.col("node").alias("b"))
-        found = write_scratch(linked(pairs.unionByName(with_hub)), "links")
-        if not found.isEmpty():
-            joined = write_scratch(components(found.unionByName(_as_edges(joined))), "joined")
-        if large.isEmpty():
-            return joined
-        # The hub has been compared with its whole block; the others go on with their new components.
-        members = write_scratch(_with_component(met.select("key", "node"), joined), "blocks")
-
-
-def _with_component(df: DataFrame, joined: DataFrame) -> DataFrame:
-    return df.join(joined, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-
-
-def _as_edges(joined: DataFrame) -> DataFrame:
-    return joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3,
-                    words: int = 1, max_distance: int = 2, blocks: int = 4, block_bits: int = 24,
-                    once: bool = False, jaccard: float | None = None, checked: int | None = None) -> DataFrame:
+                    max_distance: int = 2, blocks: int = 4) -> DataFrame:
     """(id, key, fp, component, group) per row of ``docs``.
 
     component: the smallest id reachable by links of at most ``max_distance``
-    differing bits, itself included; null if no row of the group has an id.
-    group: a number of the group. Null and empty texts have the zero
+    differing bits of 64, itself included; null if no row of the group has an
+    id. group: a number of the group. Null and empty texts have the zero
     fingerprint and are linked like any other; repeated rows get a row each; an
-    empty table gives an empty table. ``words`` = 1 uses the exact 64-bit keys,
-    more words one key per block.
-
-    ``jaccard`` (with more words; each shingle counts once): pairs that share a
-    block and differ in at most ``max_distance`` bits of the first ``checked``
-    words are links only if their shingle sets are that similar.
+    empty table gives an empty table.
     """
-    if jaccard is not None and words == 1:
-        raise ValueError("the exact similarity needs wide fingerprints")
-    rows = fingerprints(docs, id_col, text_col, shingle=shingle, words=words, once=once, sets=jaccard is not None)
-    rows = write_scratch(rows.withColumn("row", F.monotonically_increasing_id()).withColumn(
-        "sig", F.lit(0).cast("bigint") if jaccard is None else F.xxhash64("shingles")), "fingerprints")
-    nodes = write_scratch(rows.groupBy("fp", "sig").agg(F.min("row").alias("node"), F.min("id").alias("least")), "nodes")
-    if words == 1:
-        joined = link_exact(nodes, max_distance, blocks)
-    elif jaccard is None:
-        joined = link_wide(nodes, words, max_distance, block_bits)
-    else:
-        few = checked or words
-        heads = nodes.select("node", F.slice("fp", 1, few).alias("fp"))
-        sets = rows.select(F.col("row").alias("node"), "shingles")
-        joined = link_wide(nodes, words, max_distance, block_bits,
-                           linked=lambda pairs: _similar(_verified(pairs, heads, few, max_distance), sets, jaccard))
+    rows = fingerprints(docs, id_col, text_col, shingle=shingle)
+    rows = write_scratch(rows.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    nodes = write_scratch(rows.groupBy("fp").agg(F.min("row").alias("node"), F.min("id").alias("least")), "nodes")
+    joined = link_exact(nodes, max_distance, blocks)
     placed = write_scratch(nodes.join(joined, "node", "left")
-                           .select("fp", "sig", "least", F.coalesce("component", "node").alias("group")), "placed")
+                           .select("fp", "least", F.coalesce("component", "node").alias("group")), "placed")
     named = placed.groupBy("group").agg(F.min("least").alias("component"))
-    return (rows.join(placed.join(named, "group").select("fp", "sig", "component", "group"), ["fp", "sig"])
+    return (rows.join(placed.join(named, "group").select("fp", "component", "group"), "fp")
             .select("id", "key", "fp", "component", "group"))
 
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp[0])), 16, "0")
-
-
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without near duplicates: of each group the row with the smallest id stays (rows without id last).
-
-    Of rows with equal ids the one with the smallest row key stays, of equal
-    rows (same id and text) any one.
-    """
-    found = near_duplicates(docs, id_col, text_col, **how)
-    per_row = found.groupBy("group", "id", "key").agg(F.count("*").alias("n"))
-    best = write_scratch(
-        per_row.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "key", "n")).alias("best"))
-        .select("best.id", "best.key", "best.n"), "keepers")
-    marked = docs.withColumn("__key", row_key(id_col, text_col))
-    same = (F.col("d.__key") == F.col("k.key")) & F.col(f"d.{id_col}").cast("bigint").eqNullSafe(F.col("k.id"))
-    kept = marked.alias("d").join(best.alias("k"), same, "left_semi")
-    if not best.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["__key"])
-    return kept.select(*docs.columns)

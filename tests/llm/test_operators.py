@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from leadloom.llm import chat, merkle, packing, quality, secrets, sharding, simhash, urls, warc  # noqa: E402
+from leadloom.llm import chat, merkle, neardup, packing, quality, secrets, sharding, simhash, urls, warc  # noqa: E402
 from leadloom.llm import sentencepiece as sp  # noqa: E402
 from leadloom.llm.components import components  # noqa: E402
 from leadloom.llm.entries import QUERIES, tokenizer_path  # noqa: E402
@@ -113,37 +113,13 @@ def test_dense_blocks_lose_no_link(spark):
         assert {n: found.get(n, n) for n in wanted} == wanted
 
 
-def test_wide_links_against_brute_force(spark):
-    rng = random.Random(9)
-    texts = []
-    for n in range(12):
-        base = words(rng, 120).split()
-        texts.append(" ".join(base))
-        for _ in range(rng.randint(0, 6)):
-            copy = list(base)
-            for _ in range(rng.choice([1, 1, 2, 12, 40])):
-                copy[rng.randrange(120)] = words(rng, 1)
-            texts.append(" ".join(copy))
-    prints = [simhash.simhash(t.encode(), 5, 40, True) for t in texts]
-    nodes = spark.createDataFrame([(n, [int(x) for x in p]) for n, p in enumerate(prints)], "node long, fp array<long>")
-    apart = lambda a, b: int(sum(int(np.bitwise_count(x)) for x in (prints[a] ^ prints[b]).view(np.uint64)))
-    parts = [{(w, k, int(v) >> 24 * k & 0xFFFFFF) for w, v in enumerate(p.view(np.uint64)) for k in (0, 1)} for p in prints]
-    near = [(a, b) for a in range(len(texts)) for b in range(a) if apart(a, b) <= 388]
-    meeting = [(a, b) for a, b in near if parts[a] & parts[b]]
-    assert len(meeting) >= 0.9 * len(near)
-    wanted = brute_components(meeting, range(len(texts)))
-    for small in (2, 1024):
-        got = {r.node: r.component for r in simhash.link_wide(nodes, 40, 388, pairs_up_to=small).collect()}
-        assert {n: got.get(n, n) for n in wanted} == wanted
-
-
 def test_one_of_each_group_stays(docs, none):
-    kept = simhash.keep_one_per_group(docs, shingle=5, words=40, max_distance=388, once=True)
+    kept = neardup.keep_one_per_group(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert not set(ids) & {100, 101, 102, 103, 104} and ids.count(3) == 2 and {303, 304, 0, 1} <= set(ids)
     assert ids.count(None) == 1 and not set(ids) & {301, 302} and 300 in ids
-    assert simhash.keep_one_per_group(none, words=1).count() == 0
+    assert neardup.keep_one_per_group(none).count() == 0
 
 
 def test_quality_figures(docs, rows, none):
