@@ -51,6 +51,18 @@ def stream_delivery_state(spark, sf):
     return delivery.current_states(changes).withColumns(clock)
 
 
+@query("stream_retry_due", """
+WITH a AS (SELECT 'user' || user_id || '@mail.test' AS email, ts, event_type,
+    CASE WHEN event_type = 'error' THEN row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) END AS soft
+  FROM events WHERE event_type IN ('purchase', 'error', 'signup')),
+e AS (SELECT email, min(ts) FILTER (WHERE event_type <> 'error' OR soft = 2) AS ended, min(ts) FILTER (WHERE soft = 1) AS failed_at FROM a GROUP BY email)
+SELECT email, CAST(1 AS BIGINT) AS attempt, failed_at, failed_at + INTERVAL 60 SECOND AS due_at FROM e
+WHERE failed_at + INTERVAL 60 SECOND <= (SELECT max(ts) FROM events) AND (ended IS NULL OR ended > failed_at + INTERVAL 60 SECOND)""")
+def stream_retry_due(spark, sf):
+    due = runs.run_append(delivery.retries_due(deliveries(_stream(spark, sf, "events"))), "retries")
+    return due.select(F.col("key").alias("email"), "attempt", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("failed_at", "due_at")])
+
+
 @query("stream_message_route", f"WITH {MESSAGES} SELECT command, count(*) AS n FROM routed GROUP BY command")
 def stream_message_route(spark, sf):
     routed = messages.route_messages(chat_messages(_stream(spark, sf, "conversations")), "42")

@@ -26,7 +26,8 @@ class DeliveryState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.store = handle.getValueState("delivery", _STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def fold(self, rows: Iterator[pd.DataFrame]) -> tuple:
+        """(version, first success, first bounce, first soft failures) with the rows of a batch; kept."""
         version, ok, hard, soft = 0, None, None, []
         if self.store.exists():
             version, ok_at, ok_id, hard_at, hard_id, kept = self.store.get()
@@ -42,13 +43,20 @@ class DeliveryState(StatefulProcessor):
             soft = sorted(soft + first.get("soft_fail", []))[: self.max_retries + 1]
         version += 1
         self.store.update((version, *(ok or (None, None)), *(hard or (None, None)), soft))
-        yield pd.DataFrame([self._row(key[0], version, ok, hard, soft)])
+        return version, ok, hard, soft
 
-    def _row(self, key, version, ok, hard, soft) -> dict:
+    def end(self, ok, hard, soft) -> tuple:
+        """((time, id), state) of the attempt that decides, or (None, retry)."""
         ends = [(ok, "contacted"), (hard, "dead")]
         if len(soft) > self.max_retries:
             ends.append((soft[self.max_retries], "dead"))
-        at, state = min([e for e in ends if e[0]], default=(None, "retry"))
+        return min([e for e in ends if e[0]], default=(None, "retry"))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame([self._row(key[0], *self.fold(rows))])
+
+    def _row(self, key, version, ok, hard, soft) -> dict:
+        at, state = self.end(ok, hard, soft)
         retries = [s for s in soft if at is None or s < at][: self.max_retries]
         stamp = lambda us: pd.NaT if us is None else pd.Timestamp(us, unit="us")
         return {
@@ -61,6 +69,54 @@ class DeliveryState(StatefulProcessor):
         pass
 
 
+class RetryTimer(DeliveryState):
+    """Emits a retry when it is due: a timer per soft failure, which nothing has decided until it expires."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+
+    def _due_ms(self, at: int) -> int:
+        return -(-(at + self.delay_us) // 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        *_, soft = self.fold(rows)
+        passed = timerValues.getCurrentWatermarkInMs()
+        for at, _ in soft[: self.max_retries]:
+            if self._due_ms(at) > passed:
+                self.handle.registerTimer(self._due_ms(at))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, ok_at, ok_id, hard_at, hard_id, kept = self.store.get()
+        soft = [(s[0], s[1]) for s in kept or []]
+        end, _ = self.end(None if ok_at is None else (ok_at, ok_id), None if hard_at is None else (hard_at, hard_id), soft)
+        due = [(n, at) for n, (at, _) in enumerate(soft[: self.max_retries], 1)
+               if self._due_ms(at) == expiredTimerInfo.getExpiryTimeInMs() and (end is None or end[0] > at + self.delay_us)]
+        if due:
+            stamp = lambda us: pd.Timestamp(us, unit="us")
+            yield pd.DataFrame([{"key": str(key[0]), "attempt": n, "failed_at": stamp(at), "due_at": stamp(at + self.delay_us)}
+                                for n, at in due])
+
+
+def retries_due(deliveries: DataFrame, key: str = "email", max_retries: int = 1, retry_delay_sec: int = 60,
+                lateness: str = "0 seconds") -> DataFrame:
+    """(key, attempt, failed_at, due_at) from a stream of attempts (key, ts, event_id, outcome), each when it is due.
+
+    A soft failure is retried ``retry_delay_sec`` later, up to ``max_retries``
+    times, unless a success, a bounce or one soft failure too many comes first.
+    Time is event time: a retry is emitted once the watermark (the latest ts
+    less ``lateness``) has passed it, also if the lead itself is never heard of again.
+    """
+    useful = deliveries.withWatermark("ts", lateness).where(F.col("outcome").isin("ok", "soft_fail", "hard_bounce"))
+    return useful.select(
+        F.col(key).cast("string").alias("key"), "ts", F.unix_micros("ts").alias("at"),
+        F.col("event_id").cast("bigint").alias("event_id"), "outcome",
+    ).groupBy("key").transformWithStateInPandas(
+        statefulProcessor=RetryTimer(max_retries, retry_delay_sec),
+        outputStructType="key string, attempt bigint, failed_at timestamp, due_at timestamp", outputMode="Append", timeMode="EventTime")
+
+
 def delivery_states(deliveries: DataFrame, key: str = "email", max_retries: int = 1,
                     retry_delay_sec: int = 60) -> DataFrame:
     """State changes from a stream of attempts (key, ts, event_id, outcome).

@@ -45,3 +45,32 @@ def test_live_stats(spark, tmp_path):
     path = write_files(spark, tmp_path, [[(True,), (False,)], [(False,)]], "contacted boolean")
     out = runs.last_batch(runs.run_batches(leads.live_stats(runs.read_stream(spark, path, max_files=1)), "t", mode="complete"))
     assert [tuple(r) for r in out.collect()] == [(3, 2)]
+
+
+def due_by_hand(events, delay, max_retries, until):
+    """Retries due until the watermark, from all attempts of each lead in order."""
+    out = []
+    for key in sorted({e[0] for e in events}):
+        own = sorted((at, n, kind) for k, at, n, kind in events if k == key)
+        soft = [(at, n) for at, n, kind in own if kind == "soft_fail"]
+        ends = [(at, n) for at, n, kind in own if kind in ("ok", "hard_bounce")] + soft[max_retries:max_retries + 1]
+        for i, (at, _) in enumerate(soft[:max_retries], 1):
+            if at + delay <= until and not any(e[0] <= at + delay for e in ends):
+                out.append((key, i, at, at + delay))
+    return out
+
+
+def test_retries_come_when_they_are_due(spark, tmp_path):
+    import random
+
+    rng = random.Random(7)
+    start, minute = datetime(2026, 1, 1), timedelta(minutes=1)
+    events = [(f"l{rng.randrange(25)}", start + timedelta(seconds=7 * n), n, rng.choice(["soft_fail", "soft_fail", "ok", "hard_bounce", "opened"]))
+              for n in range(160)]
+    batches = [events[k:k + 40] for k in range(0, 160, 40)] + [[("last", start + timedelta(hours=1), 999, "ok")]]
+    runs.use_rocksdb(spark)
+    for parts, retries in ((batches, 1), (batches, 2), ([[e for b in batches for e in b]], 1)):
+        path = write_files(spark, tmp_path / f"{len(parts)}-{retries}", parts, "email string, ts timestamp, event_id long, outcome string")
+        found = runs.run_append(delivery.retries_due(runs.read_stream(spark, path, max_files=1), max_retries=retries), "due")
+        got = sorted((r.key, r.attempt, r.failed_at, r.due_at) for r in found.collect())
+        assert got == due_by_hand([e for b in batches for e in b], minute, retries, start + timedelta(hours=1)) and got
