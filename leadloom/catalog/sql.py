@@ -61,7 +61,7 @@ def anchor_href(piece: str) -> str:
 
 
 def _content(piece: str) -> str:
-    return f"regexp_split_to_array(split_part({piece}, '{_SHUT}', 2), '(?i)</a\s*>')"
+    return rf"regexp_split_to_array(split_part({piece}, '{_SHUT}', 2), '(?i)</a\s*>')"
 
 
 def anchor_text(piece: str) -> str:
