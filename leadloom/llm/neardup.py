@@ -55,8 +55,8 @@ def plan(texts: int, similarity: float = 0.8, recall: float = 0.998) -> Plan:
     apart = acos(2 * similarity / (1 + similarity)) / pi
     bits = min(40, max(10, ceil(log2(max(2, texts))) + 3))
     blocks = ceil(log(1 - recall) / log(1 - (1 - apart) ** bits))
-    words = max(12, ceil(blocks / (64 // bits)))
-    checked = min(words, 12)
+    words = max(24, ceil(blocks / (64 // bits)))
+    checked = min(words, 24)
     n = 64 * checked
     return Plan(words, bits, blocks, checked, round(apart * n + 4 * (apart * (1 - apart) * n) ** 0.5))
 
@@ -132,7 +132,7 @@ class _Linker:
     def merge(self, pairs: DataFrame) -> None:
         """Join the components of pairs (a, b) that are similar enough; ``pairs`` is written and deleted here."""
         pairs = write_scratch(pairs.distinct(), "candidates")
-        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        sets = self.sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
         both = F.size(F.array_intersect("x", "y"))
         links = write_scratch(
             pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
@@ -189,7 +189,7 @@ class _Linker:
         discard(*found, *large)
 
     def by_prefix(self, some: DataFrame) -> DataFrame:
-        """Pairs of different components among ``some`` nodes (node, c) that can be similar enough; none is left out.
+        """Pairs of different components among ``some`` nodes (node, c) that can be similar enough by prefix and bits.
 
         Shingles are ordered by how many of these nodes hold them, rarest first.
         Of a set of n shingles the first n - ceil(s n) + 1 are its prefix; sets
@@ -201,13 +201,17 @@ class _Linker:
         held = each.groupBy("shingle").agg(F.count("*").alias("df"))
         ordered = each.join(held, "shingle").groupBy("node", "c", "n").agg(
             F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("all"))
-        prefix = write_scratch(ordered.select("node", "c", "n", F.explode(F.slice(
-            "all", F.lit(1), F.col("n") - F.ceil(self.similarity * F.col("n")).cast("int") + 1)).alias("s"))
-            .where("s.df > 1").select("node", "c", "n", F.col("s.shingle").alias("shingle")), "prefixes")
-        a, b = prefix.alias("a"), prefix.alias("b")
+        first = F.slice("all", F.lit(1), F.col("n") - F.ceil(self.similarity * F.col("n")).cast("int") + 1)
+        shared = F.transform(F.filter(first, lambda x: x["df"] > 1), lambda x: x["shingle"])
+        prefix = write_scratch(ordered.select("node", "c", "n", shared.alias("prefix")).join(self.heads(), "node"), "prefixes")
+        rows = prefix.select("*", F.explode("prefix").alias("shingle"))
+        a, b = rows.alias("a"), rows.alias("b")
+        # A pair comes out at its first common shingle only, and only within the bit limit.
         pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.c") < F.col("b.c"))
-                       & (F.least("a.n", "b.n") >= self.similarity * F.greatest("a.n", "b.n"))).select(
-            F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+                       & (F.least("a.n", "b.n") >= self.similarity * F.greatest("a.n", "b.n"))
+                       & (_distance("a.head", "b.head", self.how.checked) <= self.how.limit)
+                       & (F.array_intersect("a.prefix", "b.prefix")[0] == F.col("a.shingle"))).select(
+            F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
         pairs = write_scratch(pairs, "pairs")
         discard(sets, each, prefix)
         return pairs
