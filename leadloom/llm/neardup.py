@@ -12,9 +12,9 @@ as the wanted recall needs. Texts with equal shingle sets are one node first.
 2. All blocks, a band at a time: nodes of different components that share a
    small block are compared; the bit limit is part of the join.
 3. Nodes of different components in large blocks (texts of one template, say)
-   are compared by an exact prefix filter instead: two sets of similarity s
-   share one of the 1 - s rarest shingles of either. What all of them have in
-   common is frequent, so it makes no pairs.
+   are compared by a prefix filter instead: two sets of similarity s share one
+   of the 1 - s rarest shingles of either. What all of them have in common is
+   frequent, so it makes few pairs; the bit limit holds here too.
 
 Blocks and bits find candidates only; the similarity of the whole shingle sets
 decides. Sets are made again for candidates, not stored for all texts. A band's
