@@ -1,10 +1,10 @@
 """A language detector fitted on labelled texts: character trigrams with Laplace-smoothed log probabilities.
 
-Fitting is one aggregation over the words of the labelled table, detecting a
-join of words' trigrams with the profiles. The profiles hold at most ``most``
-trigrams per language, so their size doesn't grow with the corpus. Scores are
-whole numbers (thousandths of a natural logarithm), which makes sums equal in
-any order.
+Fitting is one aggregation over the words of the labelled table. The profiles
+hold at most ``most`` trigrams per language, so their size doesn't grow with
+the corpus: detecting sends them to the texts and shuffles one row of sums per
+text and task, never words or trigrams. Scores are whole numbers (thousandths
+of a natural logarithm), which makes sums equal in any order.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from leadloom.session import write_scratch
+
 
 @dataclass(frozen=True)
 class LanguageModel:
@@ -24,10 +26,14 @@ class LanguageModel:
     unknown: tuple[int, ...]
 
 
+def _words(text: str) -> Column:
+    """The words of a text: runs of letters, lower-cased."""
+    return F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0))
+
+
 def word_counts(texts: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """keys, word, n: how often each word (a run of letters, lower-cased) stands in a text."""
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0))
-    return texts.select(*keys, F.explode(words).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
+    """keys, word, n: how often each word stands in the texts of a key."""
+    return texts.select(*keys, F.explode(_words(text)).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
 
 
 def _grams(word: str) -> Column:
@@ -44,8 +50,9 @@ def fit_languages(labelled: DataFrame, text: str = "text", language: str = "lang
     per language stay, ties in order of their letters; others count as unknown.
     """
     counted = word_counts(labelled.where(F.col(language).isNotNull()), [language], text)
-    grams = counted.select(F.col(language).alias("language"), F.explode(_grams("word")).alias("gram"), "n").groupBy(
-        "language", "gram").agg(F.sum("n").alias("n"))
+    # Written once, since totals and profiles both read it; a row per language and trigram.
+    grams = write_scratch(counted.select(F.col(language).alias("language"), F.explode(_grams("word")).alias("gram"), "n").groupBy(
+        "language", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = {r["language"]: (r["all"], r["different"]) for r in grams.groupBy("language").agg(
         F.sum("n").alias("all"), F.count("*").alias("different")).collect()}  # a row per language
     languages = tuple(sorted(totals))
@@ -69,12 +76,12 @@ def detect_languages(texts: DataFrame, model: LanguageModel, keys: Sequence[str]
     """
     if not model.languages:
         return texts.select(*keys).distinct().select(*keys, F.lit(None).cast("string").alias("language"), F.lit(0).cast("bigint").alias("n_grams"))
-    grams = word_counts(texts, keys, text).select(*keys, "n", F.explode(_grams("word")).alias("gram"))
-    scores = F.coalesce("scores", F.array(*[F.lit(u).cast("bigint") for u in model.unknown]))
-    scored = grams.join(model.profiles, "gram", "left").select(*keys, "n", scores.alias("scores")).groupBy(*keys).agg(
-        F.sum("n").alias("n_grams"), *[F.sum(F.col("n") * F.col("scores")[i]).alias(f"s{i}") for i in range(len(model.languages))])
+    # A text without words keeps a row without trigram.
+    words = texts.select(*keys, F.explode_outer(_words(text)).alias("word"))
+    grams = words.select(*keys, F.explode_outer(_grams("word")).alias("gram"))
+    profiles = model.profiles.select("gram", *[F.col("scores")[i].alias(f"p{i}") for i in range(len(model.languages))])
+    total = [F.sum(F.when(F.col("gram").isNotNull(), F.coalesce(f"p{i}", F.lit(u).cast("bigint")))).alias(f"s{i}")
+             for i, u in enumerate(model.unknown)]
+    scored = grams.join(F.broadcast(profiles), "gram", "left").groupBy(*keys).agg(F.count("gram").alias("n_grams"), *total)
     ranked = F.array(*[F.struct((-F.col(f"s{i}")).alias("s"), F.lit(x).alias("language")) for i, x in enumerate(model.languages)])
-    found = scored.select(*keys, F.array_min(ranked)["language"].alias("language"), "n_grams")
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    every = texts.select(*keys).distinct().alias("a").join(found.alias("b"), same, "left")
-    return every.select(*[F.col(f"a.{k}").alias(k) for k in keys], "b.language", F.coalesce("b.n_grams", F.lit(0)).alias("n_grams"))
+    return scored.select(*keys, F.when(F.col("n_grams") > 0, F.array_min(ranked)["language"]).alias("language"), "n_grams")

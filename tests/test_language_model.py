@@ -49,6 +49,23 @@ def test_scores(spark):
     assert M.detect_languages(rows.where("false"), M.fit_languages(model_rows)).count() == 0
 
 
+def test_no_word_or_trigram_is_shuffled(spark):
+    rows = spark.createDataFrame([(1, "the chat " * 50), (1, "und"), (None, "le chien"), (None, ""), (2, None)], "doc_id long, text string")
+    labelled = [("en", "the cat"), ("fr", "le chat et le chien")]
+    model = M.fit_languages(spark.createDataFrame(labelled, "lang string, text string"))
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = M.detect_languages(rows, model)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        got = {r.doc_id: (r.language, r.n_grams) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    # The texts meet the profiles by a broadcast, and are grouped by their keys only.
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1
+    assert got == brute(labelled, [(1, "the chat " * 50 + "und"), (None, "le chien"), (2, None)], 3000)
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("lang IS NOT NULL AND length(text) > 0")
