@@ -18,7 +18,7 @@ from leadloom.operators.evaluate import evaluate_by_rules
 from leadloom.catalog.search import HITS_SQL
 from leadloom.plans import crawl as C
 from leadloom.plans.hunt import run_cycle
-from leadloom.session import scratch_path, write_scratch
+from leadloom.session import discard, parallelism, scratch_path, write_scratch
 from leadloom.sources.buckets import BucketStore, write_buckets
 from leadloom.sources.tables import export_graph, import_graph, read_table
 
@@ -26,6 +26,7 @@ HIGH, LOW = (".net", ".org"), ("blog",)
 CONFIG = HuntConfig(max_depth=3, max_leafs=4, junk_domains=JUNK, high_value_words=HIGH, low_value_words=LOW)
 HOST = "^[a-z]+://([^/?#]*)"
 SITE_BUCKETS = 32
+PAIRS_PER_TASK = 250_000
 
 
 def site(spark, sf):
@@ -273,14 +274,19 @@ SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM reach GROUP BY url""")
 def crawl_min_depth(spark, sf):
     """Suppliers and parts as sites that link to each other through line items."""
     name = lambda prefix, c: F.concat(F.lit(f"https://{prefix}"), F.col(c).cast("string"), F.lit(".test"))
-    items = read_table(spark, sf, "lineitem", ["l_suppkey", "l_partkey"]).distinct().select(
+    pairs = write_scratch(read_table(spark, sf, "lineitem", ["l_suppkey", "l_partkey"]).distinct(), "pairs")
+    # Two numbers take a few bytes of a shuffle, two links of two URLs far more of a task's memory: tasks go by rows here.
+    tasks = max(parallelism(spark), pairs.count() // PAIRS_PER_TASK + 1)
+    items = pairs.repartition(tasks, "l_suppkey", "l_partkey").select(
         name("s", "l_suppkey").alias("s"), name("p", "l_partkey").alias("p"))
     links = items.select(F.explode(F.array(F.struct(F.col("s").alias("source"), F.col("p").alias("url")),
                                            F.struct(F.col("p").alias("source"), F.col("s").alias("url")))).alias("l")).select("l.*")
-    # The best four links of a page are chosen before they are collected, so the arrays stay short.
-    best = P.top_links(links, ["source"], max_leafs=4)
-    pages = best.groupBy("source").agg(F.collect_list("url").alias("links")).withColumnRenamed("source", "url")
+    # The best four links of a page come in order of their pages, so that gathering them sorts and hashes nothing.
+    best = P.top_links(links, ["source"], max_leafs=4, unique=True)
+    four = [F.max(F.when(F.col("leaf") == i, F.col("url"))) for i in range(1, 5)]
+    pages = best.groupBy(F.col("source").alias("url")).agg(F.array_compact(F.array(*four)).alias("links"))
     pages = write_scratch(pages, "site")
+    discard(pairs)
     start = read_table(spark, sf, "supplier").where("s_acctbal < 0").select(
         F.col("s_suppkey").alias("root_order"), F.lit("suppliers").alias("query"), name("s", "s_suppkey").alias("href"))
     follow = F.struct(F.lit("FOLLOW").alias("decision"), F.lit("linked").alias("discovery_summary"),

@@ -245,3 +245,33 @@ def test_connected_groups(spark):
         members.setdefault(r.group, set()).add(r.node)
     assert sorted(map(sorted, members.values())) == [[1, 2, 7], [3, 5], [9], list(range(100, 161)), [*range(900, 930), 1000]]
     assert connected_groups(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_min_depth_tasks_go_by_rows(spark, tmp_path, monkeypatch):
+    from leadloom.catalog import hunt
+
+    items = [(i % 7, i % 23) for i in range(300)] + [(None, 5), (3, None), (None, None)]
+    spark.createDataFrame(items, "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(i, -1.0 if i == 2 else 1.0) for i in range(7)], "s_suppkey long, s_acctbal double").write.parquet(
+        str(tmp_path / "supplier.parquet"))
+    tasks, top = [], hunt.P.top_links
+
+    def spied(links, *args, **more):
+        tasks.append(links.select(F.spark_partition_id().alias("t")).distinct().count())
+        return top(links, *args, **more)
+
+    monkeypatch.setattr(hunt.P, "top_links", spied)
+    monkeypatch.setattr(hunt, "PAIRS_PER_TASK", 2, raising=False)
+    got = {r.url: r.depth for r in hunt.crawl_min_depth(spark, str(tmp_path)).collect()}
+    links = {}
+    for s, p in items:
+        if s is not None and p is not None:
+            links.setdefault(f"https://s{s}.test", set()).add(f"https://p{p}.test")
+            links.setdefault(f"https://p{p}.test", set()).add(f"https://s{s}.test")
+    depth = {"https://s2.test": 0}
+    for d in range(3):
+        for at in [u for u, x in depth.items() if x == d]:
+            for to in sorted(links[at])[:4]:
+                depth.setdefault(to, d + 1)
+    assert got == depth
+    assert tasks[0] > 30  # 164 pairs, two to a task: many tasks, however few bytes the pairs are
