@@ -61,8 +61,9 @@ class _Pieces:
 
     def all_ids(self, texts: list[str]) -> list[bytes]:
         """``ids`` of some texts; their new units are learned together."""
-        self.known.learn({w for t in texts if not _spaced(t) for w in t.replace("\n", " \n").split(" ")})
-        return list(map(self.ids, texts))
+        cut = [None if not t or _spaced(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        self.known.learn(set().union(*filter(None, cut)))
+        return [b"".join(map(self.known.__getitem__, units)) if units else self.ids(t) for t, units in zip(texts, cut)]
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
@@ -319,9 +320,7 @@ class _Known(dict):
             self.older = dict(self)
             self.clear()
         units = {}
-        for key in keys:
-            if key in self:
-                continue
+        for key in keys.difference(self):
             if key in self.older:
                 self[key] = self.older[key]
             else:
@@ -555,13 +554,18 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", keep: list
     kept_type = packed.schema["kept"].dataType.simpleString()
 
     def run(batches):
-        texts = pieces_of(model_path).texts
+        texts = pa.array(pieces_of(model_path).texts, pa.large_binary())
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 ids = part.column(1)
-                flat, ends = ids.flatten().to_pylist(), np.cumsum([0, *ids.value_lengths().to_pylist()]).tolist()
-                found = [b"".join(map(texts.__getitem__, flat[a:b])) for a, b in zip(ends, ends[1:])]
+                # The pieces of all rows one after another are their bytes in one buffer; rows are cut out of it.
+                taken = texts.take(ids.flatten())
+                _, places, data = taken.buffers()
+                places = np.frombuffer(places, np.int64) if len(taken) else np.zeros(1, np.int64)
+                data = data.to_pybytes() if data else b""
+                ends = places[np.cumsum([0, *ids.value_lengths().to_pylist()])].tolist()
+                found = [data[a:b] for a, b in zip(ends, ends[1:])]
                 found = [(f[1:] if f[:1] == b" " else f).decode("utf-8", "replace") for f in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.string())], names=["kept", "text"])
 

@@ -39,3 +39,13 @@ def test_chunks_end_at_unit_borders(library):
         chunks = list(sp.chunks_at_units(sp.BLANK + text.replace(" ", sp.BLANK), 7))
         ids = np.frombuffer(b"".join(map(model.cut_ids, chunks)), "<i4").tolist()
         assert ids == np.frombuffer(model.ids(text), "<i4").tolist() == library.encode(text)
+
+
+def test_decoding_joins_the_pieces_of_every_row(spark):
+    path = tokenizer_path("piece_bpe_32k.model")
+    texts, rng = sp.pieces_of(path).texts, random.Random(5)
+    rows = [[rng.randrange(len(texts)) for _ in range(rng.choice([0, 0, 1, 40]))] for _ in range(1300)] + [[0, 1, 2], [], None]
+    df = spark.createDataFrame(list(enumerate(rows)), "n long, ids array<int>").coalesce(1)
+    found = {r.n: r.text for r in sp.decode(df, path, keep=["n"]).collect()}
+    joined = [b"".join(texts[i] for i in r or []) for r in rows]
+    assert found == {n: (b[1:] if b[:1] == b" " else b).decode("utf-8", "replace") for n, b in enumerate(joined)}
