@@ -10,7 +10,9 @@ as the wanted recall needs. Texts with equal shingle sets are one node first.
    hub only and merge what is linked. Most copies of a text are one component
    from then on.
 2. All blocks, a band at a time: nodes of different components that share a
-   small block are compared; the bit limit is part of the join.
+   small block are compared; a loose limit on the first bits is part of the
+   join, so that rows are short there, and what is left is held against the
+   bit limit.
 3. Nodes of different components in large blocks (texts of one template, say)
    are compared by a prefix filter instead: two sets of similarity s share one
    of the 1 - s rarest shingles of either. What all of them have in common is
@@ -35,19 +37,22 @@ from leadloom.llm.components import components
 from leadloom.llm.simhash import _voted, block_keys, distinct_shingles
 from leadloom.session import discard, release_shuffles, write_scratch
 
-BAND = 24  # blocks handled together
+HUBS = 24  # blocks of each of the two passes with hubs
+BAND = 96  # blocks handled together
 LARGE = 128  # members of different components from which on a block goes through the prefix filter
 
 
 @dataclass(frozen=True)
 class Plan:
-    """How wide fingerprints are: 64-bit words, bits of a block, blocks; words compared in the join and their bit limit."""
+    """How wide fingerprints are: 64-bit words, bits of a block, blocks; words that are compared and their bit limit, and
+    the limit of their first two words, at six deviations."""
 
     words: int
     block_bits: int
     blocks: int
     checked: int
     limit: int
+    loose: int
 
 
 def plan(texts: int, similarity: float = 0.8, recall: float = 0.998) -> Plan:
@@ -57,8 +62,8 @@ def plan(texts: int, similarity: float = 0.8, recall: float = 0.998) -> Plan:
     blocks = ceil(log(1 - recall) / log(1 - (1 - apart) ** bits))
     words = max(24, ceil(blocks / (64 // bits)))
     checked = min(words, 24)
-    n = 64 * checked
-    return Plan(words, bits, blocks, checked, round(apart * n + 4 * (apart * (1 - apart) * n) ** 0.5))
+    limit = lambda n, deviations: round(apart * n + deviations * (apart * (1 - apart) * n) ** 0.5)
+    return Plan(words, bits, blocks, checked, limit(64 * checked, 4), limit(128, 6))
 
 
 def _fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int) -> DataFrame:
@@ -105,8 +110,8 @@ class _Linker:
 
     def members(self, first: int, last: int) -> DataFrame:
         """(node, key) of the blocks from ``first`` to before ``last``."""
-        keys = block_keys(F.col("fp"), self.how.words, self.how.block_bits)
-        return self.nodes.select("node", F.explode(F.slice(keys, first + 1, last - first)).alias("key"))
+        return self.nodes.select("node", F.explode(block_keys(
+            F.col("fp"), self.how.words, self.how.block_bits, first, last)).alias("key"))
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(node, shingles) of the wanted nodes, from their texts; written."""
@@ -121,13 +126,17 @@ class _Linker:
                     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
                     yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["key", "shingles"])
 
-        keys = self.nodes.select("node", F.col("key").alias("text_key")).join(wanted.select("node").distinct(), "node")
+        # Written, so that Spark sees how few they may be before it shuffles the texts.
+        keys = write_scratch(self.nodes.select("node", F.col("key").alias("text_key")).join(
+            wanted.select("node").distinct(), "node"), "wanted")
         texts = self.docs.select(_row_key(self.id_col, self.text_col).alias("key"),
                                  F.encode(text_or_empty(F.col(f"`{self.text_col}`")), "UTF-8").alias("data"))
         made = texts.join(keys, F.col("key") == F.col("text_key"), "left_semi").mapInArrow(
             run, "key bigint, shingles array<bigint>")
         once = made.groupBy("key").agg(F.first("shingles").alias("shingles"))
-        return write_scratch(keys.join(once, F.col("key") == F.col("text_key")).select("node", "shingles"), "sets")
+        out = write_scratch(keys.join(once, F.col("key") == F.col("text_key")).select("node", "shingles"), "sets")
+        discard(keys)
+        return out
 
     def merge(self, pairs: DataFrame) -> None:
         """Join the components of pairs (a, b) that are similar enough; ``pairs`` is written and deleted here."""
@@ -155,11 +164,15 @@ class _Linker:
                                         F.count("*").alias("parts")).where("parts > 1")
         met = members.join(hubs.select("key", (-F.col("hub.least")).alias("hub"), F.col("hub.c").alias("hub_c")), "key").where(
             "c <> hub_c").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        left, right = (self.heads().select(F.col("node").alias(x), F.col("head").alias(f"{x}_head")) for x in "ab")
-        near = met.join(left, "a").join(right, "b").where(_distance("a_head", "b_head", self.how.checked) <= self.how.limit)
-        self.merge(near.select("a", "b"))
+        self.merge(self.within_limit(met))
         discard(members)
 
+    def within_limit(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) within the bit limit."""
+        left, right = (self.heads().select(F.col("node").alias(x), F.col("head").alias(f"{x}_head")) for x in "ab")
+        return pairs.join(left, "a").join(right, "b").where(
+            _distance("a_head", "b_head", self.how.checked) <= self.how.limit).select("a", "b")
+
     def in_blocks(self) -> None:
         """Compare nodes of different components that share any block."""
         found, large = [], []
@@ -170,18 +183,19 @@ class _Linker:
             held = write_scratch(held, "blocks")
             parts = write_scratch(held.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"))
                                   .where("c0 < c1").select("key", "n"), "open")
-            small = held.join(parts.where(F.col("n") <= LARGE).select("key"), "key", "left_semi").join(self.heads("size"), "node")
+            small = held.join(parts.where(F.col("n") <= LARGE).select("key"), "key", "left_semi").join(
+                self.nodes.select("node", "size", F.slice("fp", 1, 2).alias("head")), "node")
             a, b = small.alias("a"), small.alias("b")
             lower, upper = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
             near = ((F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")) & (lower >= self.similarity * upper)
-                    & (_distance("a.head", "b.head", self.how.checked) <= self.how.limit))
+                    & (_distance("a.head", "b.head", 2) <= self.how.loose))
             found.append(write_scratch(a.join(b, near).select(
                 F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct(), "pairs"))
             large.append(write_scratch(held.join(parts.where(F.col("n") > LARGE).select("key"), "key", "left_semi")
                                        .select("node", "c").distinct(), "large"))
             discard(held, parts)
             release_shuffles(self.nodes.sparkSession)
-        pairs = _all(found)
+        pairs = self.within_limit(_all(found).distinct())
         many = _all(large).distinct()
         if not many.isEmpty():
             pairs = pairs.unionByName(self.by_prefix(many))
@@ -241,9 +255,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = write_scratch(rows.groupBy(*same).agg(
         F.min("row").alias("node"), F.min_by("key", "row").alias("key"), F.first("fp").alias("fp")), "nodes")
     linker = _Linker(docs, nodes, id_col, text_col, shingle, similarity, how)
-    band = min(BAND, how.blocks)
-    linker.with_hubs(0, band)
-    linker.with_hubs(max(0, min(band, how.blocks - band)), min(2 * band, how.blocks))
+    hubs = min(HUBS, how.blocks)
+    linker.with_hubs(0, hubs)
+    linker.with_hubs(max(0, min(hubs, how.blocks - hubs)), min(2 * hubs, how.blocks))
     linker.in_blocks()
     placed = linker.with_component(nodes.select("sig", "size", "fp0", "node"))
     out = write_scratch(rows.select("id", "key", *same).join(placed, ["sig", "size", "fp0"]).select(

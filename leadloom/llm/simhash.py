@@ -132,13 +132,13 @@ def pigeonhole_keys(fp: Column, max_distance: int = 2, blocks: int = 4) -> Colum
                      for n, chosen in enumerate(combinations(range(blocks), blocks - max_distance))])
 
 
-def block_keys(fp: Column, words: int, block_bits: int = 24) -> Column:
-    """Keys of a wide fingerprint: each block of ``block_bits`` bits, marked with its number."""
+def block_keys(fp: Column, words: int, block_bits: int = 24, first: int = 0, last: int | None = None) -> Column:
+    """Keys of a wide fingerprint: each block of ``block_bits`` bits, marked with its number; from ``first`` to before ``last``."""
     mask = F.lit((1 << block_bits) - 1).cast("bigint")
     each = 64 // block_bits
     return F.array(*[F.shiftrightunsigned(fp[w], k * block_bits).bitwiseAND(mask)
                      + F.lit((w * each + k) << 40).cast("bigint")
-                     for w in range(words) for k in range(each)])
+                     for w, k in [divmod(i, each) for i in range(words * each)][first:last]])
 
 
 def link_exact(nodes: DataFrame, max_distance: int = 2, blocks: int = 4, pairs_up_to: int = 256) -> DataFrame:
