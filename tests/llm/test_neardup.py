@@ -106,3 +106,14 @@ def test_columns_of_any_name_come_back(spark):
     got = masked.collect()
     assert sorted(r["__key"] for r in got) == [77, 78, 78, 79] and {r["spans"] for r in got} == {4}
     assert all(r.text is None or r.text.endswith(" <SECRET>") for r in got)
+
+
+def test_the_loose_limit_loses_no_pair_to_speak_of():
+    from math import acos, comb, pi
+
+    for texts in (2, 40_000, 12_000_000):
+        how = neardup.plan(texts, 0.8)
+        apart = acos(1.6 / 1.8) / pi
+        over = sum(comb(128, k) * apart**k * (1 - apart) ** (128 - k) for k in range(how.loose + 1, 129))
+        unlike = sum(comb(128, k) for k in range(how.loose + 1)) / 2**128
+        assert over < 1e-6 and unlike < 1e-3
