@@ -13,10 +13,13 @@ as the wanted recall needs. Texts with equal shingle sets are one node first.
    small block are compared; a loose limit on the first bits is part of the
    join, so that rows are short there, and what is left is held against the
    bit limit.
-3. Nodes of different components in large blocks (texts of one template, say)
-   are compared by a prefix filter instead: two sets of similarity s share one
-   of the 1 - s rarest shingles of either. What all of them have in common is
-   frequent, so it makes few pairs; the bit limit holds here too.
+3. Nodes of different components in large blocks, and nodes that meet many
+   others in the small blocks of a band (texts of one template, say), are
+   compared by a prefix filter instead: two sets of similarity s share one of
+   the 1 - s rarest shingles of either. What all of them have in common is
+   frequent, so it makes few pairs; the bit limit holds here too. Two such
+   nodes are not compared in small blocks, so a band's pairs there grow with
+   the nodes, however large a template's group is.
 
 Blocks and bits find candidates only; the similarity of the whole shingle sets
 decides. Sets are made again for candidates, not stored for all texts. A band's
@@ -40,6 +43,7 @@ from leadloom.session import discard, release_shuffles, write_scratch
 HUBS = 24  # blocks of each of the two passes with hubs
 BAND = 96  # blocks handled together
 LARGE = 128  # members of different components from which on a block goes through the prefix filter
+MEETINGS = 64  # with nodes of other components in a band's small blocks; a node with more goes through the prefix filter
 
 
 @dataclass(frozen=True)
@@ -183,17 +187,22 @@ class _Linker:
             held = write_scratch(held, "blocks")
             parts = write_scratch(held.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"))
                                   .where("c0 < c1").select("key", "n"), "open")
-            small = held.join(parts.where(F.col("n") <= LARGE).select("key"), "key", "left_semi").join(
-                self.nodes.select("node", "size", F.slice("fp", 1, 2).alias("head")), "node")
+            small = held.join(parts.where(F.col("n") <= LARGE), "key")
+            own = small.groupBy("key", "c").agg(F.count("*").alias("own"))
+            busy = write_scratch(small.join(own, ["key", "c"]).groupBy("node", "c").agg(F.sum(F.col("n") - F.col("own")).alias("met"))
+                                 .where(F.col("met") > MEETINGS).select("node", "c"), "busy")
+            small = small.drop("n").join(
+                self.nodes.select("node", "size", F.slice("fp", 1, 2).alias("head")), "node").join(
+                busy.select("node", F.lit(True).alias("busy")), "node", "left").withColumn("busy", F.coalesce("busy", F.lit(False)))
             a, b = small.alias("a"), small.alias("b")
             lower, upper = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
-            near = ((F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")) & (lower >= self.similarity * upper)
-                    & (_distance("a.head", "b.head", 2) <= self.how.loose))
+            near = ((F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")) & ~(F.col("a.busy") & F.col("b.busy"))
+                    & (lower >= self.similarity * upper) & (_distance("a.head", "b.head", 2) <= self.how.loose))
             found.append(write_scratch(a.join(b, near).select(
                 F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct(), "pairs"))
             large.append(write_scratch(held.join(parts.where(F.col("n") > LARGE).select("key"), "key", "left_semi")
-                                       .select("node", "c").distinct(), "large"))
-            discard(held, parts)
+                                       .select("node", "c").unionByName(busy).distinct(), "large"))
+            discard(held, parts, busy)
             release_shuffles(self.nodes.sparkSession)
         pairs = self.within_limit(_all(found).distinct())
         many = _all(large).distinct()
@@ -207,7 +216,10 @@ class _Linker:
 
         Shingles are ordered by how many of these nodes hold them, rarest first.
         Of a set of n shingles the first n - ceil(s n) + 1 are its prefix; sets
-        of similarity s share a shingle of both prefixes.
+        of similarity s share a shingle of both prefixes. They have s / (1 + s)
+        of their shingles, counted together, in common, and none of them stands
+        before the first that is in both prefixes: at places i and j (from 0)
+        at most n - i or m - j are left.
         """
         sets = self.sets(some)
         each = some.join(sets, "node").select("node", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
@@ -216,13 +228,18 @@ class _Linker:
         ordered = each.join(held, "shingle").groupBy("node", "c", "n").agg(
             F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("all"))
         first = F.slice("all", F.lit(1), F.col("n") - F.ceil(self.similarity * F.col("n")).cast("int") + 1)
+        alone = F.size(F.filter(first, lambda x: x["df"] == 1))  # the rarest, so they stand in front
         shared = F.transform(F.filter(first, lambda x: x["df"] > 1), lambda x: x["shingle"])
-        prefix = write_scratch(ordered.select("node", "c", "n", shared.alias("prefix")).join(self.heads(), "node"), "prefixes")
-        rows = prefix.select("*", F.explode("prefix").alias("shingle"))
+        prefix = write_scratch(ordered.select("node", "c", "n", alone.alias("alone"), shared.alias("prefix")).join(
+            self.heads(), "node"), "prefixes")
+        rows = prefix.select("*", F.posexplode("prefix").alias("at", "shingle")).withColumn(
+            "rest", F.col("n") - F.col("alone") - F.col("at")).drop("alone", "at")
         a, b = rows.alias("a"), rows.alias("b")
+        least = self.similarity / (1 + self.similarity)
         # A pair comes out at its first common shingle only, and only within the bit limit.
         pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.c") < F.col("b.c"))
                        & (F.least("a.n", "b.n") >= self.similarity * F.greatest("a.n", "b.n"))
+                       & (F.least("a.rest", "b.rest") >= least * (F.col("a.n") + F.col("b.n")) - 1e-6)
                        & (_distance("a.head", "b.head", self.how.checked) <= self.how.limit)
                        & (F.array_intersect("a.prefix", "b.prefix")[0] == F.col("a.shingle"))).select(
             F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))

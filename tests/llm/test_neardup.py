@@ -117,3 +117,29 @@ def test_the_loose_limit_loses_no_pair_to_speak_of():
         over = sum(comb(128, k) * apart**k * (1 - apart) ** (128 - k) for k in range(how.loose + 1, 129))
         unlike = sum(comb(128, k) for k in range(how.loose + 1)) / 2**128
         assert over < 1e-6 and unlike < 1e-3
+
+
+def test_a_templates_group_is_not_expanded_into_its_pairs(spark, monkeypatch):
+    """Texts of one template that are no copies of each other: groups are exact, few pairs are written."""
+    rng = random.Random(9)
+    base = words(rng, 130)
+    texts = [" ".join(edited(rng, base, 3)) for _ in range(220)] + [" ".join(edited(rng, base, 1)) for _ in range(20)]
+    texts += [t.rsplit(" ", 1)[0] for t in texts[:10]]  # near copies of members
+    made, write = [], neardup.write_scratch
+
+    def counted(df, label):
+        out = write(df, label)
+        if label == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "write_scratch", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    groups = {}
+    for r in neardup.near_groups(docs).collect():
+        groups.setdefault(r.group, set()).add(r.id)
+    wanted = {}
+    for i, g in enumerate(exact_groups(texts)):
+        wanted.setdefault(g, set()).add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
+    assert sum(made) < 0.2 * len(texts) * len(texts) / 2
