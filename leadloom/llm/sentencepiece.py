@@ -33,6 +33,7 @@ from leadloom.session import write_scratch
 
 BLANK = "▁"
 NEVER = -np.inf
+MOST_UNITS = 1 << 16  # kept per worker, and as many of before; a long unit counts as one for each 64 characters begun
 _UNITS = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n[^{BLANK}\n]*|[^{BLANK}\n]+")
 _BORDER = re.compile(f"(?<!{BLANK}){BLANK}|\n")
 
@@ -40,7 +41,7 @@ _BORDER = re.compile(f"(?<!{BLANK}){BLANK}|\n")
 class _Pieces:
     """Pieces and scores of a model file, with the ids of frequent units; ``learn`` and ``unit_ids`` are the method's."""
 
-    def __init__(self, path: str, most_units: int = 500_000):
+    def __init__(self, path: str, most_units: int = MOST_UNITS):
         from sentencepiece import SentencePieceProcessor
 
         self.model = model = SentencePieceProcessor(model_file=path)
@@ -78,7 +79,7 @@ class _Pieces:
 class Merges(_Pieces):
     """A model of the BPE kind: every unit has the ids that the library's merges give."""
 
-    def __init__(self, path: str, most_units: int = 500_000):
+    def __init__(self, path: str, most_units: int = MOST_UNITS):
         super().__init__(path, most_units)
         # Units bring their own blank: a second normalizer_spec, merged into the first, has add_dummy_prefix (3) off.
         with open(path, "rb") as f:
@@ -102,7 +103,7 @@ class Merges(_Pieces):
 class Lattice(_Pieces):
     """Best segmentations by the sum of piece scores, as a model of the unigram kind has them."""
 
-    def __init__(self, path: str, most_units: int = 500_000):
+    def __init__(self, path: str, most_units: int = MOST_UNITS):
         super().__init__(path, most_units)
         model = self.model
         self.unknown = model.unk_id()
@@ -313,14 +314,17 @@ class _Known(dict):
         super().__init__()
         self.pieces = pieces
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def learn(self, keys: set[str]) -> None:
         """Add all keys. When full, what was used since the last time stays at hand, the rest goes."""
-        if len(self) >= self.pieces.most_units:
+        if self.held >= self.pieces.most_units:
             self.older = dict(self)
             self.clear()
+            self.held = 0
         units = {}
         for key in keys.difference(self):
+            self.held += 1 + len(key) // 64
             if key in self.older:
                 self[key] = self.older[key]
             else:

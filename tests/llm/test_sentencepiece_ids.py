@@ -49,3 +49,15 @@ def test_decoding_joins_the_pieces_of_every_row(spark):
     found = {r.n: r.text for r in sp.decode(df, path, keep=["n"]).collect()}
     joined = [b"".join(texts[i] for i in r or []) for r in rows]
     assert found == {n: (b[1:] if b[:1] == b" " else b).decode("utf-8", "replace") for n, b in enumerate(joined)}
+
+
+def test_kept_units_are_bounded_by_their_length_too(library):
+    """Every text has new units, some of them long; ids are the library's, and little is kept."""
+    model, rng = sp.Merges(tokenizer_path("piece_bpe_32k.model")), random.Random(8)
+    most = 0
+    for _ in range(60):
+        texts = [" ".join("".join(rng.choices("abcdefghijk", k=rng.choice([9, 9, 9, 20_000]))) for _ in range(8)) for _ in range(20)]
+        found = model.all_ids(texts)
+        assert np.frombuffer(found[0], "<i4").tolist() == library.encode(texts[0])
+        most = max(most, sum(map(len, model.known)) + sum(map(len, model.known.older)))
+    assert 64 * sp.MOST_UNITS < 10_000_000 and most < 3 * 64 * sp.MOST_UNITS
