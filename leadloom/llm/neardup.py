@@ -16,10 +16,11 @@ as the wanted recall needs. Texts with equal shingle sets are one node first.
 3. Nodes of different components in large blocks, and nodes that meet many
    others in the small blocks of a band (texts of one template, say), are
    compared by a prefix filter instead: two sets of similarity s share one of
-   the 1 - s rarest shingles of either. What all of them have in common is
-   frequent, so it makes few pairs; the bit limit holds here too. Two such
-   nodes are not compared in small blocks, so a band's pairs there grow with
-   the nodes, however large a template's group is.
+   the 1 - s rarest shingles of either. Only shingles that several nodes hold,
+   and not very many, get a row for each of them in the join with the counts.
+   What all of them have in common is frequent, so it makes few pairs; the bit
+   limit holds here too. Two such nodes are not compared in small blocks, so a
+   band's pairs there grow with the nodes, however large a template's group is.
 
 Blocks and bits find candidates only; the similarity of the whole shingle sets
 decides. Sets are made again for candidates, not stored for all texts. A band's
@@ -43,6 +44,7 @@ from leadloom.session import discard, release_shuffles, write_scratch
 HUBS = 24  # blocks of each of the two passes with hubs
 BAND = 96  # blocks handled together
 LARGE = 128  # members of different components from which on a block goes through the prefix filter
+OFTEN = 1024  # most of the shingles whose order in the prefix filter is broadcast: those that very many nodes hold
 MEETINGS = 64  # with nodes of other components in a band's small blocks; a node with more goes through the prefix filter
 
 
@@ -219,35 +221,48 @@ class _Linker:
         of similarity s share a shingle of both prefixes. They have s / (1 + s)
         of their shingles, counted together, in common, and none of them stands
         before the first that is in both prefixes: at places i and j (from 0)
-        at most n - i or m - j are left.
+        at most n - i or m - j are left. For the smaller set that is a share of
+        2 s / (1 + s) of its own shingles at least, so one with many shingles
+        that no other node holds is not looked for by larger ones.
         """
         sets = self.sets(some)
-        each = some.join(sets, "node").select("node", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-        each = write_scratch(each, "shingles")
-        held = each.groupBy("shingle").agg(F.count("*").alias("df"))
-        ordered = each.join(held, "shingle").groupBy("node", "c", "n").agg(
-            F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("all"))
-        first = F.slice("all", F.lit(1), F.col("n") - F.ceil(self.similarity * F.col("n")).cast("int") + 1)
-        alone = F.size(F.filter(first, lambda x: x["df"] == 1))  # the rarest, so they stand in front
-        shared = F.transform(F.filter(first, lambda x: x["df"] > 1), lambda x: x["shingle"])
-        prefix = write_scratch(ordered.select("node", "c", "n", alone.alias("alone"), shared.alias("prefix")).join(
+        held = write_scratch(sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(
+            F.count("*").alias("df")).where("df > 1"), "held")
+        most = max(LARGE, (held.agg(F.sum("df")).first()[0] or 0) // OFTEN)
+        often = held.where(F.col("df") > most).agg(F.sort_array(F.collect_list(F.struct("df", "shingle")))["shingle"].alias("often"))
+        parts = write_scratch(some.join(sets, "node").crossJoin(F.broadcast(often)).select(
+            "node", "c", F.size("shingles").alias("n"), F.array_except("shingles", "often").alias("rare"),
+            F.array_intersect("often", "shingles").alias("often")), "parts")
+        ordered = _with_counts(parts, held.where(F.col("df") <= most)).groupBy("node").agg(
+            F.sort_array(F.collect_list(F.struct("df", "shingle")))["shingle"].alias("shared"))
+        shared = F.coalesce("shared", F.array().cast("array<bigint>"))
+        alone = F.size("rare") - F.size(shared)  # the rarest, so they stand in front
+        length = F.col("n") - F.ceil(self.similarity * F.col("n")).cast("int") + 1 - alone
+        prefix = write_scratch(parts.join(ordered, "node", "left").where(length > 0).select(
+            "node", "c", "n", alone.alias("alone"), F.slice(F.concat(shared, "often"), F.lit(1), length).alias("prefix")).join(
             self.heads(), "node"), "prefixes")
         rows = prefix.select("*", F.posexplode("prefix").alias("at", "shingle")).withColumn(
             "rest", F.col("n") - F.col("alone") - F.col("at")).drop("alone", "at")
-        a, b = rows.alias("a"), rows.alias("b")
         least = self.similarity / (1 + self.similarity)
+        a, b = rows.alias("a"), rows.where(F.col("rest") >= 2 * least * F.col("n") - 1e-6).alias("b")
         # A pair comes out at its first common shingle only, and only within the bit limit.
-        pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.c") < F.col("b.c"))
-                       & (F.least("a.n", "b.n") >= self.similarity * F.greatest("a.n", "b.n"))
+        pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.c") != F.col("b.c"))
+                       & (F.struct("b.n", "b.node") < F.struct("a.n", "a.node"))
+                       & (F.col("b.n") >= self.similarity * F.col("a.n"))
                        & (F.least("a.rest", "b.rest") >= least * (F.col("a.n") + F.col("b.n")) - 1e-6)
                        & (_distance("a.head", "b.head", self.how.checked) <= self.how.limit)
                        & (F.array_intersect("a.prefix", "b.prefix")[0] == F.col("a.shingle"))).select(
             F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
         pairs = write_scratch(pairs, "pairs")
-        discard(sets, each, prefix)
+        discard(sets, held, parts, prefix)
         return pairs
 
 
+def _with_counts(parts: DataFrame, held: DataFrame) -> DataFrame:
+    """(node, shingle, df) of the shingles in ``rare`` that other nodes hold too; one row for each at most."""
+    return parts.select("node", F.explode("rare").alias("shingle")).join(held, "shingle")
+
+
 def _all(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:

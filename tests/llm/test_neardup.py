@@ -143,3 +143,29 @@ def test_a_templates_group_is_not_expanded_into_its_pairs(spark, monkeypatch):
         wanted.setdefault(g, set()).add(i)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
     assert sum(made) < 0.2 * len(texts) * len(texts) / 2
+
+
+def test_shingles_of_a_template_are_not_joined_node_by_node(spark, monkeypatch):
+    """Shingles that one node or very many hold get their place without a row in the join with the counts; no pair is lost."""
+    rng = random.Random(5)
+    base = words(rng, 130)
+    texts = [" ".join(edited(rng, base, n % 6)) for n in range(120)] + [" ".join(words(rng, 60)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    how = neardup.plan(len(texts))
+    nodes = neardup._fingerprints(docs, "doc_id", "text", 5, how.words).select(F.col("id").alias("node"), "key", "size", "fp")
+    joined, join = [], type(docs).join
+
+    def seen(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if isinstance(on, str) and on == "shingle":
+            joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "LARGE", 16)
+    monkeypatch.setattr(type(docs), "join", seen)
+    linker = neardup._Linker(docs, nodes, "doc_id", "text", 5, 0.8, how)
+    found = {(r.a, r.b) for r in linker.by_prefix(nodes.select("node", F.col("node").alias("c"))).collect()}
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    near = {(b, a) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(near) > 500 and near <= found
+    assert sum(joined) < 0.2 * sum(map(len, sets))
